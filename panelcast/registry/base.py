@@ -29,8 +29,9 @@ def query(name: str, covers: str, oracle: str | None = None):
 
 
 def r(expr: str, digits: int = 6) -> str:
-    """Rounded double without negative zero."""
-    x = f"round(CAST({expr} AS DOUBLE), {digits})"
+    """Double at ``digits`` decimals without negative zero (see ``util.rd``)."""
+    p = f"CAST({10 ** digits} AS DOUBLE)"
+    x = f"round(CAST({expr} AS DOUBLE) * {p} + CAST(0.0857864 AS DOUBLE)) / {p}"
     return f"CASE WHEN {x} = 0 THEN CAST(0 AS DOUBLE) ELSE {x} END"
 
 
