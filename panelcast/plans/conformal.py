@@ -16,6 +16,7 @@ from panelcast.functions.columns import floor0
 from panelcast.operators.layout import cumulative_cells, exact_quantiles, splitters
 from panelcast.plans.evaluation import with_mean_rows
 from panelcast.schema import CONFORMAL_LEVELS
+from panelcast.session import cut
 
 INF = float("inf")
 
@@ -66,7 +67,8 @@ def leave_one_out_quantiles(scores: DataFrame, levels=CONFORMAL_LEVELS, splits=N
     # positions and cells of one range meet in one ordered pass.
     ends = everyone.groupBy("_range").agg(F.max(F.col("below") + F.col("n")).alias("end"))
     ends = ends.agg(F.array_sort(F.collect_list(F.struct("end", "_range"))).alias("e"))
-    at = F.element_at(F.filter(ends.select("e").scalar(), lambda x: x["end"] >= F.col("pos")), 1)["_range"]
+    asked = asked.withColumn("_ends", ends.select("e").scalar())
+    at = F.element_at(F.filter("_ends", lambda x: x["end"] >= F.col("pos")), 1)["_range"]
     lookups = asked.filter("pos is not null").select(
         at.alias("_range"), "pos", F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("q"),
         "series_id", "level", "n_cal")
@@ -109,8 +111,8 @@ def interval_report(rows: DataFrame, by: list[str], splits=None) -> DataFrame:
 
 def calibration(rows: DataFrame, levels=CONFORMAL_LEVELS, pred: str = "pred") -> DataFrame:
     """The whole leave-one-series-out report with one MEAN row per level."""
-    scores = with_scores(rows, pred)
-    ivs = intervals(scores, leave_one_out_quantiles(scores, levels), pred)
+    scores = cut(with_scores(rows, pred).select("series_id", "slot_utc", "y", pred, "score"))
+    ivs = cut(intervals(scores, leave_one_out_quantiles(scores, levels), pred))
     per = interval_report(ivs, ["series_id", "level"]).withColumn("event", F.col("series_id").cast("string"))
     return with_mean_rows(per, ["level"], ["coverage", "width_mean", "width_median", "width_mean_frac",
                                            "width_median_frac"])

@@ -1,15 +1,95 @@
-"""Checks a built dataset has to pass before modelling."""
+"""Checks a built dataset has to pass before modelling.
+
+Every check is a table; ``verdict`` folds (check, passed) rows into one answer.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators.features import long_form
-from panelcast.operators.layout import exact_quantiles
-from panelcast.schema import TARGET_PERCENTILES
+from panelcast.operators.layout import Layout, PanelWindows, exact_quantiles
+from panelcast.plans.normalise import unpivot, window_statistics
+from panelcast.schema import COVARIATES, FEATURES, HORIZON, LOOKBACK, SCALED, SPLITS, TARGET_PERCENTILES, UNSCALED
+from panelcast.session import cut
 
 IMBALANCE = 0.60
+EXTREME = 10.0
+DRIFT_SKIPPED = UNSCALED + ("hours_since_first_fire",)
+
+
+# ------------------------------------------------------------- coverage, leakage
+
+def window_audit(rows: DataFrame, catalogue: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZON) -> DataFrame:
+    """Usable rows, windows and the reason for none, for every catalogue series.
+
+    ``rows`` are panel rows with ``is_anchor``.  The possible count ignores the
+    lag warm-up on purpose.
+    """
+    per = rows.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("is_anchor").alias("n_windows"))
+    out = catalogue.select("series_id", "split").join(per, "series_id", "left")
+    out = out.withColumns({
+        "n_rows": F.coalesce("n_rows", F.lit(0)),
+        "n_windows": F.coalesce("n_windows", F.lit(0)),
+        "max_possible": F.col("n_rows") - (lookback + horizon - 1),
+    })
+    reason = (
+        F.when(F.col("n_windows") > 0, "ok")
+        .when(F.col("n_rows") == 0, "no data")
+        .when(F.col("max_possible") <= 0, "too short")
+        .otherwise("all windows incomplete")
+    )
+    return out.withColumn("status", reason)
+
+
+def split_leaks(windows: DataFrame) -> DataFrame:
+    """Series that occur in more than one split."""
+    return windows.groupBy("series_id").agg(
+        F.min("split").alias("first_split"), F.max("split").alias("last_split")
+    ).filter("first_split <> last_split")
+
+
+def start_gaps(windows: DataFrame, layout: Layout | None = None, keep: int = 3, hours: float = 1.5) -> DataFrame:
+    """Breaks between consecutive window starts: the first ``keep`` per series."""
+    base = layout or Layout.detect(windows, "input_start_utc")
+    lay = Layout(time="input_start_utc", blocked=base.blocked, block_rows=base.block_rows, chunk_days=base.chunk_days)
+    pw = PanelWindows(windows.select("series_id", "input_start_utc"), lay, 1, 0)
+    step = F.timestamp_diff("SECOND", F.lag("input_start_utc").over(pw.w), F.col("input_start_utc")) / 3600.0
+    gaps = pw.close(pw.df.withColumn("gap_hours", step)).filter(F.col("gap_hours") > hours)
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy("input_start_utc"))
+    return gaps.withColumn("gap_no", rank).filter(F.col("gap_no") <= keep).select(
+        "series_id", "gap_no", "input_start_utc", "gap_hours")
+
+
+def start_gap_counts(windows: DataFrame, layout: Layout | None = None, hours: float = 1.5) -> DataFrame:
+    base = layout or Layout.detect(windows, "input_start_utc")
+    lay = Layout(time="input_start_utc", blocked=base.blocked, block_rows=base.block_rows, chunk_days=base.chunk_days)
+    pw = PanelWindows(windows.select("series_id", "input_start_utc"), lay, 1, 0)
+    step = F.timestamp_diff("SECOND", F.lag("input_start_utc").over(pw.w), F.col("input_start_utc")) / 3600.0
+    rows = pw.close(pw.df.withColumn("_step", step))
+    return rows.groupBy("series_id").agg(F.count_if(F.col("_step") > hours).alias("n_gaps"))
+
+
+# ------------------------------------------------------------- cells and targets
+
+def cell_integrity(weighted: DataFrame, features=FEATURES) -> DataFrame:
+    """Per split and feature over all window cells: NaN, infinite, constant, extreme values."""
+    w = F.col("window_weight")
+    rows = weighted.filter(w > 0)
+    aggs = []
+    for f in features:
+        c = F.col(f)
+        aggs += [
+            F.sum(F.when(c.isNull() | F.isnan(c), w).otherwise(0)).alias(f"{f}__n_nan"),
+            F.sum(F.when(F.abs(c) == float("inf"), w).otherwise(0)).alias(f"{f}__n_inf"),
+            (F.min(f) == F.max(f)).alias(f"{f}__is_constant"),
+            F.sum(F.when(F.abs(c) > EXTREME, w).otherwise(0)).alias(f"{f}__n_extreme"),
+            F.max(F.abs(c)).alias(f"{f}__max_abs"),
+        ]
+    return unpivot(rows.groupBy("split").agg(*aggs), ["split"], features,
+                   ["n_nan", "n_inf", "is_constant", "n_extreme", "max_abs"])
 
 
 def zero_targets(windows: DataFrame) -> DataFrame:
@@ -22,5 +102,147 @@ def zero_targets(windows: DataFrame) -> DataFrame:
 
 
 def positive_target_percentiles(windows: DataFrame, percentiles=TARGET_PERCENTILES) -> DataFrame:
-    y = long_form(windows, "split").filter("y > 0")
+    y = cut(long_form(windows, "split").filter("y > 0").select("y"))
     return exact_quantiles(y, [], "y", {f"p{p}": p / 100 for p in percentiles})
+
+
+def target_sanity(windows: DataFrame) -> DataFrame:
+    """Per split: window count, null and negative targets, zero fraction and flag."""
+    bad = lambda f: F.size(F.filter("targets", f))
+    zero = F.col("target_mean_frp") == 0
+    t = windows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_samples"),
+        F.sum(bad(lambda x: x.isNull() | F.isnan(x))).alias("n_null"),
+        F.sum(bad(lambda x: x < 0)).alias("n_negative"),
+        F.count_if(zero).alias("all_zero"), F.avg(zero.cast("double")).alias("zero_fraction"))
+    return t.withColumns({
+        "flagged": F.col("zero_fraction") > IMBALANCE,
+        "passed": (F.col("n_null") == 0) & (F.col("n_negative") == 0)})
+
+
+def drift(weighted: DataFrame, features=SCALED, split: str = "train") -> DataFrame:
+    """Window-weighted mean and deviation of normalised features against their limits."""
+    kept = [f for f in features if f not in DRIFT_SKIPPED]
+    s = window_statistics(weighted.filter(F.col("split") == split), [], kept)
+    ok = (F.abs("mean") <= 0.15) & F.col("std").between(0.85, 1.15)
+    return s.select("feature", "mean", "std", ok.alias("match"))
+
+
+# ------------------------------------------------------------- alignment
+
+def _close(a, b, atol: float = 0.01, rtol: float = 1e-4):
+    return F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b)
+
+
+def alignment(sample: DataFrame, raw: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZON,
+              params: dict | None = None, compared=COVARIATES + ("sat_fraction",)) -> DataFrame:
+    """Rebuild targets and last-step inputs of sampled windows from raw rows and compare.
+
+    ``sample`` (a few windows per split, so small by construction) has ``targets``
+    and stored inputs; ``raw`` is the joined panel with ``row_no``.
+    """
+    starts = sample.select("series_id", "slot_utc", "split", "input_start_utc", "targets",
+                           *[F.col(c).alias(f"_in_{c}") for c in compared])
+    starts = F.broadcast(starts)
+    first = raw.join(starts.select("series_id", "slot_utc", "input_start_utc").withColumnRenamed("slot_utc", "_anchor"), "series_id").filter(
+        F.col("slot_utc") == F.col("input_start_utc")).select("series_id", F.col("_anchor").alias("slot_utc"), F.col("row_no").alias("_start"))
+    placed = F.broadcast(starts.join(first, ["series_id", "slot_utc"], "left"))
+    rows = raw.select("series_id", "row_no", F.col("frp_sum_mw").alias("_v"), *[F.col(c).alias(f"_raw_{c}") for c in compared])
+    step = F.col("row_no") - F.col("_start")
+    both = placed.join(rows, "series_id").filter((step >= lookback - 1) & (step < lookback + horizon)).withColumn("_k", step - (lookback - 1))
+    good_inputs = F.lit(True)
+    for c in compared:
+        expected = F.col(f"_raw_{c}")
+        if params and c in params:
+            expected = (expected - F.lit(params[c][0])) / F.lit(params[c][1])
+        good_inputs = good_inputs & F.coalesce(_close(F.col(f"_in_{c}"), expected), F.lit(True))
+    y = F.element_at("targets", F.when(F.col("_k") > 0, F.col("_k")).otherwise(1).cast("int"))
+    return both.groupBy("split", "series_id", "slot_utc").agg(
+        (F.count_if((F.col("_k") > 0) & _close(y, F.col("_v"))) == horizon).alias("target_ok"),
+        (F.count_if((F.col("_k") == 0) & good_inputs) == 1).alias("input_ok"))
+
+
+# ------------------------------------------------------------- balance, build, sanity
+
+def split_balance(windows: DataFrame, catalogue: DataFrame, attribute: str, values: list) -> DataFrame:
+    """Series counts per split and attribute value; series outside the catalogue drop out."""
+    series = windows.groupBy("split", "series_id").agg(F.count(F.lit(1)).alias("samples"))
+    known = series.join(catalogue.select("series_id", attribute), "series_id")
+    return known.groupBy("split").pivot(attribute, values).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def fire_content(windows: DataFrame) -> DataFrame:
+    fire = F.col("target_mean_frp") > 0
+    return windows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(fire).alias("fire_active"),
+        F.count_if(~fire).alias("no_fire"), F.avg(fire.cast("double")).alias("fire_fraction"))
+
+
+def tiers_present(windows: DataFrame, catalogue: DataFrame, tiers=("high", "medium", "low"), split: str = "train") -> DataFrame:
+    """One row: does the training split have every tier."""
+    series = windows.filter(F.col("split") == split).select("series_id").distinct()
+    seen = series.join(catalogue.select("series_id", "intensity_tier"), "series_id").agg(
+        *[F.count_if(F.col("intensity_tier") == t).alias(t) for t in tiers])
+    ok = F.lit(True)
+    for t in tiers:
+        ok = ok & (F.col(t) > 0)
+    return seen.select(ok.alias("passed"))
+
+
+def build_checks(windows: DataFrame, rows: DataFrame, features=FEATURES, scaled=SCALED, expected: int | None = None) -> DataFrame:
+    """(check, passed, detail) rows: targets, feature count, normalised range, leaks.
+
+    ``rows`` are z-scored panel rows, ``windows`` the windows built from them.
+    """
+    bad = lambda f: F.size(F.filter("targets", f))
+    t = windows.agg(
+        F.coalesce(F.sum(bad(lambda x: x.isNull() | F.isnan(x))), F.lit(0)).alias("null_targets"),
+        F.coalesce(F.sum(bad(lambda x: x < 0)), F.lit(0)).alias("negative_targets"))
+    aggs = []
+    for f in scaled:
+        aggs += [F.avg(f).alias(f"{f}__mean"), F.stddev_pop(f).alias(f"{f}__std")]
+    stats = unpivot(rows.filter("split = 'train'").agg(*aggs), [], scaled, ["mean", "std"])
+    off = stats.agg(F.count_if(F.abs("mean") > 0.1).alias("mean_range"),
+                    F.count_if(~F.col("std").between(0.9, 1.1)).alias("std_range"))
+    train = windows.filter("split = 'train'").select("series_id").distinct()
+    held = windows.filter("split <> 'train'").select("series_id").distinct()
+    leaks = held.join(train, "series_id", "left_semi").agg(F.count(F.lit(1)).alias("leaked_series"))
+    absent = F.lit(abs((expected or len(features)) - len(features)))
+
+    def long(df, names):
+        cells = F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).cast("long").alias("detail")) for n in names]))
+        return df.select(cells.alias("_c")).select("_c.*")
+
+    out = (
+        long(t, ["null_targets", "negative_targets"])
+        .unionByName(long(off, ["mean_range", "std_range"]))
+        .unionByName(long(leaks, ["leaked_series"]))
+        .unionByName(long(t.select(absent.alias("feature_count")), ["feature_count"]))
+    )
+    return out.withColumn("passed", F.col("detail") == 0).select("check", "passed", "detail")
+
+
+def baseline_sanity(summary: DataFrame, skill: DataFrame, reference: str = "persistence") -> DataFrame:
+    """Is persistence the lowest at t+1, and do the lags beat the weather alone (null if not fitted)?"""
+    first = summary.filter(F.col("lead") == 1).agg(
+        F.min_by("baseline", F.struct("mae_fire_mean", "baseline")).alias("lowest_at_t1")).scalar()
+    ss = lambda b: F.max(F.when(F.col("baseline") == b, F.col("ss_mean")))
+    return skill.agg(ss("weather_ridge").alias("weather_ss"), ss("ar_ridge").alias("ar_ss")).select(
+        first.alias("lowest_at_t1"), (first == reference).alias("persistence_lowest"),
+        (F.col("weather_ss") < F.col("ar_ss")).alias("lags_beat_weather"))
+
+
+def verdict(checks: DataFrame) -> DataFrame:
+    """All checks passed?  The failed list has at most one entry per check."""
+    return checks.agg(
+        F.bool_and("passed").alias("ready"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("passed"), F.col("check")))), ",").alias("failed"))
+
+
+def checks_from(passed: dict[str, DataFrame]) -> DataFrame:
+    """(check, passed) from one-row tables with a boolean ``passed``."""
+    out = None
+    for name, df in passed.items():
+        row = df.agg(F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed")).select(F.lit(name).alias("check"), "passed")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from panelcast.registry import evaluation_queries, feature_queries  # noqa: F401
+from panelcast.registry import dataset_queries, evaluation_queries, feature_queries  # noqa: F401
 from panelcast.registry.base import REGISTRY  # noqa: F401

@@ -13,6 +13,7 @@ from panelcast.plans import evaluation as ev
 from panelcast.registry.base import query, r, rc, register_table, sql
 from panelcast.registry.feature_queries import windows
 from panelcast.registry.util import rd, rounded
+from panelcast.session import cut
 from panelcast.sources import adapter as src
 
 register_table("clim", "lng", """
@@ -222,7 +223,7 @@ def _(spark, d):
     w = windows(spark, d)
     counts = w.groupBy("split", "series_id").agg(F.count(F.lit(1)).alias("n")).groupBy("split").agg(
         F.sum("n").alias("n_samples"), F.count(F.lit(1)).alias("n_events"))
-    y = feat.long_form(w, "split")
+    y = cut(feat.long_form(w, "split"))
     stats = y.groupBy("split").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.max("y").alias("max"))
     q = exact_quantiles(y, ["split"], "y", {"median": 0.5, "p90": 0.9, "p99": 0.99})
     return counts.join(stats, "split").join(q, "split").select(
@@ -318,7 +319,7 @@ register_table("bandr", "bandt", f"SELECT series_id, {_report} FROM bandt GROUP
 SELECT CAST(series_id AS VARCHAR) AS event, n_fire, {', '.join(rc(c, c) for c in _five)} FROM bandr
 UNION ALL SELECT 'MEAN', CAST(sum(n_fire) AS BIGINT), {', '.join(r(f'avg({c})') for c in _five)} FROM bandr"""))
 def _(spark, d):
-    b = E.band(seed_rows(spark, d, 6), ("series_id", "slot_utc"))
+    b = cut(E.band(seed_rows(spark, d, 6), ("series_id", "slot_utc")))
     return E.event_coverage_with_mean(b).select("event", "n_fire", *rounded(*_five))
 
 
@@ -374,20 +375,20 @@ SELECT n.split, l.level, {rc('s.score', 'q')}, n.n AS n_cal FROM (SELECT split,
 JOIN (SELECT split, score, row_number() OVER (PARTITION BY split ORDER BY score) AS rk FROM sc) s
   ON s.split = n.split AND s.rk = CAST(ceil((n.n + 1) * l.level) AS BIGINT)"""))
 def _(spark, d):
-    scores = U.with_scores(E.log_mean(seed_rows(spark, d, 6), ("series_id", "split", "slot_utc")))
+    scores = cut(U.with_scores(E.log_mean(seed_rows(spark, d, 6), ("series_id", "split", "slot_utc"))))
     return U.split_quantiles(scores, ["split"]).select("split", "level", *rounded("q"), "n_cal")
 
 
 @query("leave_one_out_quantiles", "U3", sql("loeo", f"SELECT series_id, level, {rc('q', 'q')}, n_cal FROM loeo"))
 def _(spark, d):
-    q = U.leave_one_out_quantiles(U.with_scores(ensemble_at(spark, d)))
+    q = U.leave_one_out_quantiles(cut(U.with_scores(ensemble_at(spark, d))))
     return q.select("series_id", "level", *rounded("q"), "n_cal")
 
 
 @query("conformal_intervals", "U4", sql("civ", f"""
 SELECT series_id, slot_utc, level, {rc('lo', 'lo')}, {rc('hi', 'hi')} FROM civ"""))
 def _(spark, d):
-    scores = U.with_scores(ensemble_at(spark, d))
+    scores = cut(U.with_scores(ensemble_at(spark, d)))
     iv = U.intervals(scores, U.leave_one_out_quantiles(scores))
     return iv.select("series_id", "slot_utc", "level", *rounded("lo", "hi"))
 
