@@ -222,14 +222,16 @@ def build_checks(windows: DataFrame, rows: DataFrame, features=FEATURES, scaled=
     return out.withColumn("passed", F.col("detail") == 0).select("check", "passed", "detail")
 
 
-def baseline_sanity(summary: DataFrame, skill: DataFrame, reference: str = "persistence") -> DataFrame:
-    """Is persistence the lowest at t+1, and do the lags beat the weather alone (null if not fitted)?"""
-    first = summary.filter(F.col("lead") == 1).agg(
-        F.min_by("baseline", F.struct("mae_fire_mean", "baseline")).alias("lowest_at_t1")).scalar()
-    ss = lambda b: F.max(F.when(F.col("baseline") == b, F.col("ss_mean")))
-    return skill.agg(ss("weather_ridge").alias("weather_ss"), ss("ar_ridge").alias("ar_ss")).select(
-        first.alias("lowest_at_t1"), (first == reference).alias("persistence_lowest"),
-        (F.col("weather_ss") < F.col("ar_ss")).alias("lags_beat_weather"))
+def baseline_sanity(summary: DataFrame, windows: DataFrame, reference: str = "persistence") -> DataFrame:
+    """Is persistence the lowest at t+1; mean target of fire-active windows; window counts."""
+    lowest = summary.filter(F.col("lead") == 1).agg(
+        F.min_by("baseline", F.struct("mae_fire_mean", "baseline")).alias("b")).scalar()
+    total = F.sum(F.when(F.col("fire_active"), F.col("target_mean_frp")))
+    return windows.agg(
+        (total / F.count_if("fire_active")).alias("mean_fire_value"),
+        F.count(F.lit(1)).alias("n_all"), F.count_if("fire_active").alias("n_fire"),
+    ).select(lowest.alias("lowest_at_t1"), (lowest == reference).alias("persistence_lowest"),
+             "mean_fire_value", "n_all", "n_fire")
 
 
 def verdict(checks: DataFrame) -> DataFrame:

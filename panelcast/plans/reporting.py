@@ -78,3 +78,9 @@ def best_baseline(summary: DataFrame, metrics: DataFrame, series, lead: int = 6)
     return rows.groupBy("baseline", "lead").agg(
         F.max(F.when(one, F.col("mae_fire"))).alias("series_mae"),
         F.avg(F.when(~one, F.col("mae_fire"))).alias("others_mae"))
+
+
+def lags_beat_weather(skill: DataFrame, lags: str = "ar_ridge", weather: str = "weather_ridge") -> DataFrame:
+    """Attach whether the lag model outscores the weather-only model (null when one is absent)."""
+    at = lambda n: skill.filter(F.col("baseline") == n).agg(F.max("ss_mean")).scalar()
+    return skill.withColumn("lags_beat_weather", at(weather) < at(lags))

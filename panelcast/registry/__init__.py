@@ -1,4 +1,9 @@
 """All registered queries."""
 
-from panelcast.registry import dataset_queries, evaluation_queries, feature_queries  # noqa: F401
+from panelcast.registry import (  # noqa: F401
+    dataset_queries,
+    evaluation_queries,
+    feature_queries,
+    report_queries,
+)
 from panelcast.registry.base import REGISTRY  # noqa: F401

@@ -91,9 +91,9 @@ HISTORY_FILE_SCHEMA = (
 )
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run result files, one nested document per file (bare NaN allowed)."""
-    return spark.read.schema(HISTORY_FILE_SCHEMA).option("multiLine", True).json(path)
+def read_runs(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Run results (bare NaN allowed): one nested document per file, or one per line."""
+    return spark.read.schema(HISTORY_FILE_SCHEMA).option("multiLine", one_per_file).json(path)
 
 
 def run_history(runs: DataFrame) -> DataFrame:
