@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,7 +151,7 @@ def splitters(df: DataFrame, value: str, parts: int = 256) -> list[float]:
     """At most ``parts - 1`` values that cut the rows into even value ranges."""
     probs = [i / parts for i in range(1, parts)]
     got = df.select(F.percentile_approx(F.col(value).cast("double"), probs, parts * 20)).first()[0]
-    return sorted(set(got or []))
+    return sorted({x for x in got or [] if isfinite(x)})
 
 
 def value_range(df: DataFrame, value: str, splits: list[float], name: str) -> DataFrame:
@@ -227,7 +228,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     for c, a in at.items():
         parts_agg += [value_at(F.floor(a)).alias(f"_lo_{c}"), value_at(F.ceil(a)).alias(f"_hi_{c}")]
     out = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *parts_agg)
-    return out.select(*keys, *[
-        (F.col(f"_lo_{c}") + (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * (at[c] - F.floor(at[c]))).alias(c)
-        for c in probs
-    ])
+
+    def between(c: str) -> Column:
+        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        # Equal ends stay as they are, also when both are infinite.
+        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (at[c] - F.floor(at[c])))
+
+    return out.select(*keys, *[between(c).alias(c) for c in probs])
