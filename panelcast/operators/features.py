@@ -7,7 +7,7 @@ on the series however many features are asked for; unused ones are pruned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions import columns as C
@@ -157,23 +157,29 @@ def weighted_rows(panel: DataFrame, layout: Layout | None = None, features=FEATU
 
 def window_summary(panel: DataFrame, layout: Layout | None = None, features=FEATURES,
                    lookback: int = LOOKBACK) -> DataFrame:
-    """Per window and feature: mean, deviation (ddof 0), last value and slope over the inputs."""
+    """Per window and feature: mean, deviation (ddof 0), last value and slope over the inputs.
+
+    Rows are split by feature in place (no exchange: the series still decides the
+    partition), so three small sliding sums serve every feature.
+    """
     pw = open_panel(panel, layout)
     df = add_windows(add_features(pw), pw, features)
-    w = pw.w.rowsBetween(-(lookback - 1), 0)
-    # A complete window is evenly spaced in rows, so its slope is a fixed combination
-    # of sum(x) and sum(row * x): two plain sums instead of a regression per feature.
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]))
+    inner = [c for c in ("_block", "_home") if c in df.columns]
+    keys = [*pw.layout.keys, *(["_block"] if pw.layout.blocked else [])]
+    rows = df.select(*pw.layout.keys, *inner, "split", "slot_utc", "row_no", "is_anchor", cells.alias("_c")).select("*", "_c.*").drop("_c")
+    w = Window.partitionBy(*keys, "feature").orderBy("row_no").rowsBetween(-(lookback - 1), 0)
+    rows = rows.withColumns({
+        "_sum": F.sum("value").over(w),
+        "_moment": F.sum(F.col("row_no") * F.col("value")).over(w),
+        "std": F.stddev_pop("value").over(w),
+    })
+    # A complete window is evenly spaced in rows, so its slope is a fixed combination of two sums.
     middle = F.col("row_no") - (lookback - 1) / 2.0
     spread = lookback * (lookback ** 2 - 1) / 12.0
-    cols = {}
-    for f in features:
-        total, moment = F.sum(f).over(w), F.sum(F.col("row_no") * F.col(f)).over(w)
-        cols[f"{f}__mean"] = total / lookback
-        cols[f"{f}__std"] = F.stddev_pop(f).over(w)
-        cols[f"{f}__last"] = F.last(f).over(w)
-        cols[f"{f}__slope"] = (moment - middle * total) / spread
-    return pw.close(df.withColumns(cols)).filter("is_anchor").select(
-        "series_id", "split", "slot_utc", "row_no", *cols)
+    return pw.close(rows).filter("is_anchor").select(
+        *pw.layout.keys, "split", "slot_utc", "feature", (F.col("_sum") / lookback).alias("mean"), "std",
+        F.col("value").alias("last"), ((F.col("_moment") - middle * F.col("_sum")) / spread).alias("slope"))
 
 
 def at_lead(windows: DataFrame, lead: int) -> DataFrame:

@@ -15,9 +15,9 @@ Params = dict[str, tuple[float, float]]
 
 def unpivot(df: DataFrame, by: list[str], features, stats: list[str], label: str = "feature") -> DataFrame:
     """One-row-per-group statistics named ``<feature>__<stat>`` to one row per feature."""
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(f).alias(label), *[F.col(f"{f}__{s}").alias(s) for s in stats]) for f in features]))
-    return df.select(*by, rows.alias("_r")).select(*by, "_r.*")
+    rows = ", ".join(
+        f"named_struct('{label}', '{f}', " + ", ".join(f"'{s}', `{f}__{s}`" for s in stats) + ")" for f in features)
+    return df.select(*by, F.expr(f"inline(array({rows}))"))
 
 
 def norm_table(rows: DataFrame, features=SCALED, split: str = "train") -> DataFrame:

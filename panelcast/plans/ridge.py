@@ -34,14 +34,12 @@ def gram(rows: DataFrame, features, targets: list[Column], by: str = "fold") ->
     Products among inputs, of inputs with each target, and each target squared.
     """
     xs, ys = _names(features, len(targets))
-    col = {"one": F.lit(1.0), **{f: F.col(f) for f in features}}
-    pairs = [(a, b, col[a] * col[b]) for i, a in enumerate(xs) for b in xs[i:]]
-    pairs += [(a, y, col[a] * t) for y, t in zip(ys, targets) for a in xs]
-    pairs += [(y, y, t * t) for y, t in zip(ys, targets)]
-    sums = rows.groupBy(by).agg(*[F.sum(v).alias(f"{a}*{b}") for a, b, v in pairs])
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}*{b}`").alias("value")) for a, b, _ in pairs]))
-    return sums.select(by, cells.alias("_c")).select(by, "_c.*")
+    pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
+    pairs += [(a, y) for y in ys for a in xs] + [(y, y) for y in ys]
+    inputs = rows.select(by, F.lit(1.0).alias("one"), *features, *[t.alias(y) for y, t in zip(ys, targets)])
+    sums = inputs.groupBy(by).agg(*[F.expr(f"sum(`{a}` * `{b}`)").alias(f"{a}*{b}") for a, b in pairs])
+    cells = ", ".join(f"named_struct('a', '{a}', 'b', '{b}', 'value', `{a}*{b}`)" for a, b in pairs)
+    return sums.select(by, F.expr(f"inline(array({cells}))"))
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -15,20 +16,27 @@ from panelcast.schema import FEATURES
 
 def predict_windows(windows: DataFrame, model: Callable[[np.ndarray], np.ndarray], features=FEATURES,
                     keep=("series_id", "slot_utc"), batch_size: int = 256) -> DataFrame:
-    """``model`` maps a (batch, lookback, features) array to (batch, horizon) forecasts."""
+    """``model`` maps a (batch, lookback, features) array to (batch, horizon) forecasts.
+
+    Arrow batches become arrays column by column; no Python object per cell.
+    """
     names = tuple(features)
     schema = T.StructType([*[windows.schema[k] for k in keep], T.StructField("preds", T.ArrayType(T.DoubleType()))])
 
-    def score(frames):
-        for pdf in frames:
-            for lo in range(0, len(pdf), batch_size):
-                part = pdf.iloc[lo:lo + batch_size]
-                x = np.array([[[step[f] for f in names] for step in w] for w in part["inputs"]], dtype=np.float64)
-                out = part[list(keep)].copy()
-                out["preds"] = [row.tolist() for row in np.asarray(model(x), dtype=np.float64)]
-                yield out
-
-    return windows.select(*keep, "inputs").mapInPandas(score, schema)
+    def score(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            steps = batch.column(batch.schema.get_field_index("inputs")).flatten()
+            x = np.stack([steps.field(f).to_numpy(zero_copy_only=False) for f in names], axis=-1)
+            x = x.reshape(n, -1, len(names))
+            out = np.concatenate([np.asarray(model(x[i:i + batch_size]), dtype=np.float64) for i in range(0, n, batch_size)])
+            preds = pa.ListArray.from_arrays(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32), out.ravel())
+            kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
+            yield pa.RecordBatch.from_arrays([*kept, preds], names=[*keep, "preds"])
+
+    return windows.select(*keep, "inputs").mapInArrow(score, schema)
 
 
 def predict_panel(panel: DataFrame, model, features=FEATURES, layout: Layout | None = None, batch_size: int = 256) -> DataFrame:

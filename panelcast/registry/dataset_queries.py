@@ -20,10 +20,11 @@ from panelcast.sources import adapter as src
 from panelcast.sources import readers, writers
 
 
-def stored_rows(spark, d, wind=False):
-    """Feature rows written once: statistics and scaling both read them."""
+def stored_rows(spark, d, *columns):
+    """Feature and window rows written once: statistics, scaling and windows all read them."""
     lay = src.layout(spark, d)
-    return cut(feat.feature_rows(src.panel(spark, d, lay), lay, wind=wind))
+    rows = feat.build_rows(src.panel(spark, d, lay), lay)
+    return cut(rows.select(*columns) if columns else rows)
 
 
 def weighted(spark, d, normalised=True):
@@ -48,7 +49,7 @@ def _(spark, d):
 
 @query("zscored_features", "P6 N1", sql("zfeat", f"SELECT series_id, slot_utc, {', '.join(rc(f, f) for f in FEATURES)} FROM zfeat"))
 def _(spark, d):
-    rows = stored_rows(spark, d)
+    rows = stored_rows(spark, d, "series_id", "split", "slot_utc", *FEATURES)
     return N.apply_norm(rows, N.norm_params(N.norm_table(rows))).select("series_id", "slot_utc", *rounded(*FEATURES))
 
 
@@ -56,9 +57,9 @@ def _(spark, d):
 def _(spark, d):
     from panelcast.functions.columns import floor0, unscale
 
-    w = stored_windows(spark, d)
-    lay = src.layout(spark, d)
-    params = N.norm_table(feat.feature_rows(src.panel(spark, d, lay), lay), ["frp_lag_1h"])
+    rows = stored_rows(spark, d, "series_id", "split", "slot_utc", "is_anchor", "frp_lag_1h")
+    w = rows.filter("is_anchor")
+    params = N.norm_table(rows, ["frp_lag_1h"])
     mean, std = readers.value_norm(params)
     z = N.apply_norm(w, {"frp_lag_1h": (mean, std)})
     return z.select("series_id", "slot_utc", rd(floor0(unscale(F.col("frp_lag_1h"), mean, std))).alias("persistence"))
@@ -352,7 +353,7 @@ def _(spark, d):
     lay = src.layout(spark, d)
     rows = stored_rows(spark, d)
     params = N.norm_params(N.norm_table(rows, COVARIATES))
-    sample = cut(N.apply_norm(S.spot_sample(windows(spark, d)), params))
+    sample = cut(N.apply_norm(S.spot_sample(rows.filter("is_anchor")), params))
     joined = A.assemble(src.hourly(spark, d, lay), src.covariates(spark, d, lay), src.catalogue(spark, d))
     raw = feat.open_panel(joined, lay)
     raw = cut(raw.close(raw.df).select("series_id", "slot_utc", "row_no", "frp_sum_mw", "sat_fraction", *COVARIATES))
@@ -397,15 +398,14 @@ register_table("chk", "anc lng zfeat", """
   UNION ALL SELECT 'feature_count', CAST(0 AS BIGINT)""")
 
 
-def _build_checks(spark, d):
-    rows = stored_rows(spark, d)
+def _build_checks(rows):
     z = N.apply_norm(rows, N.norm_params(N.norm_table(rows)))
-    return R.build_checks(stored_windows(spark, d), z)
+    return R.build_checks(rows.filter("is_anchor"), z)
 
 
 @query("build_checks", "C8 J4", sql("chk", 'SELECT "check", detail = 0 AS passed, detail FROM chk'))
 def _(spark, d):
-    return _build_checks(spark, d)
+    return _build_checks(stored_rows(spark, d))
 
 
 @query("readiness_verdict", "C10", sql("chk anc cat", """
@@ -414,7 +414,8 @@ SELECT bool_and(passed) AS ready, coalesce(string_agg("check", ',' ORDER BY "che
   SELECT 'tiers', count(DISTINCT intensity_tier) = 3 FROM anc JOIN cat ON cat.series_id = anc.series_id WHERE anc.split = 'train' UNION ALL
   SELECT 'targets', true)"""))
 def _(spark, d):
-    w = stored_windows(spark, d)
-    checks = _build_checks(spark, d).select("check", "passed").unionByName(R.checks_from({
+    rows = stored_rows(spark, d)
+    w = rows.filter("is_anchor")
+    checks = _build_checks(rows).select("check", "passed").unionByName(R.checks_from({
         "tiers": R.tiers_present(w, src.catalogue(spark, d)), "targets": R.target_sanity(w)}))
     return R.verdict(checks)

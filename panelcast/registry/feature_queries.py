@@ -215,21 +215,20 @@ _feature_query("hot_dry_windy", "F10", ["hdw_product"], True)
 _feature_query("wind_fire_coupling", "F11", ["wind_frp_coupling"], True)
 _feature_query("all_features", "F1 F2 F3 F4 F5 F6 P3 P4 P5", list(FEATURES))
 
-_summ = []
-for _f in FEATURES:
-    _summ += [rc(f"avg({_f}) OVER w48", f"{_f}__mean"), rc(f"stddev_pop({_f}) OVER w48", f"{_f}__std"),
-              rc(_f, f"{_f}__last"), rc(f"regr_slope({_f}, CAST(row_no AS DOUBLE)) OVER w48", f"{_f}__slope")]
+_cells = ", ".join(f"{{'feature': '{f}', 'value': {f}}}" for f in FEATURES)
+register_table("fcell", "win", f"""
+  SELECT series_id, slot_utc, row_no, is_anchor, c.feature AS feature, c.value AS value FROM
+    (SELECT series_id, slot_utc, row_no, is_anchor, unnest([{_cells}]) AS c FROM win)""")
 
 
-@query("window_summary", "F12", sql("win", f"""
-SELECT * EXCLUDE (is_anchor) FROM (SELECT series_id, slot_utc, is_anchor, {', '.join(_summ)} FROM win
-  WINDOW w48 AS (PARTITION BY series_id ORDER BY slot_utc ROWS BETWEEN 47 PRECEDING AND CURRENT ROW))
-WHERE is_anchor"""))
+@query("window_summary", "F12", sql("fcell", f"""
+SELECT series_id, slot_utc, feature, {rc('m', 'mean')}, {rc('s', 'std')}, {rc('value', 'last')}, {rc('b', 'slope')} FROM (
+  SELECT series_id, slot_utc, feature, value, is_anchor, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s,
+    regr_slope(value, CAST(row_no AS DOUBLE)) OVER w AS b FROM fcell
+  WINDOW w AS (PARTITION BY series_id, feature ORDER BY row_no ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)) WHERE is_anchor"""))
 def _(spark, d):
     p, lay = _panel(spark, d)
-    s = feat.window_summary(p, lay)
-    names = [c for c in s.columns if "__" in c]
-    return s.select("series_id", "slot_utc", *rounded(*names))
+    return feat.window_summary(p, lay).select("series_id", "slot_utc", "feature", *rounded("mean", "std", "last", "slope"))
 
 
 @query("gap_runs", "F13", sql("hourly", """

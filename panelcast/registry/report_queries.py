@@ -194,12 +194,14 @@ def _(spark, d):
 
 # ----------------------------------------------------------------- ridge and models
 
-def indexed_windows(spark, d):
+_RIDGE_INPUTS = (*AR_RIDGE_FEATURES, *WEATHER_RIDGE_FEATURES)
+
+
+def indexed_windows(rows):
     """Normalised, indexed anchor rows: what the ridge models are fitted on."""
-    w = cut(windows(spark, d).select("series_id", "split", "slot_utc", "fire_active", "targets", "frp_lag_1h",
-                                     *[f for f in (*AR_RIDGE_FEATURES, *WEATHER_RIDGE_FEATURES) if f != "frp_lag_1h"]))
-    norm = N.norm_params(N.norm_table(stored_rows(spark, d), [*AR_RIDGE_FEATURES, *WEATHER_RIDGE_FEATURES]))
-    w = w.withColumn("prior", B.prior())
+    norm = N.norm_params(N.norm_table(rows, _RIDGE_INPUTS))
+    w = rows.filter("is_anchor").withColumn("prior", B.prior()).select(
+        "series_id", "split", "slot_utc", "fire_active", "targets", "prior", *_RIDGE_INPUTS)
     return cut(N.apply_norm(M.with_sample_index(w), norm))
 
 
@@ -223,7 +225,7 @@ def _gram_query(name, covers, kind):
 
     @query(name, covers, sql(f"{kind}x", body))
     def run(spark, d):
-        g = RG.gram(RG.training_rows(indexed_windows(spark, d)), fs, RG.raw_targets())
+        g = RG.gram(RG.training_rows(indexed_windows(stored_rows(spark, d))), fs, RG.raw_targets())
         return g.select("fold", "a", "b", *rounded("value", digits=3))
 
 
@@ -239,19 +241,19 @@ def _ridge_skill(w, preds):
 
 @query("lag_ridge", "B6")
 def _(spark, d):
-    w = indexed_windows(spark, d)
+    w = indexed_windows(stored_rows(spark, d))
     return _ridge_skill(w, RG.predict(w, RG.fit(w, AR_RIDGE_FEATURES)))
 
 
 @query("weather_ridge", "B7")
 def _(spark, d):
-    w = indexed_windows(spark, d)
+    w = indexed_windows(stored_rows(spark, d))
     return _ridge_skill(w, RG.predict(w, RG.fit(w, WEATHER_RIDGE_FEATURES)))
 
 
 @query("residual_ridge", "B8 P11")
 def _(spark, d):
-    w = indexed_windows(spark, d)
+    w = indexed_windows(stored_rows(spark, d))
     m = RG.fit(w, AR_RIDGE_FEATURES, RG.residual_targets())
     return _ridge_skill(w, RG.predict_residual(w, m))
 
@@ -259,10 +261,10 @@ def _(spark, d):
 @query("six_baselines", "A7 C9 L3")
 def _(spark, d):
     """Skill of all six baselines on validation against gated persistence, and the lag-versus-weather check."""
-    w = cut(windows(spark, d))
-    closed = B.by_baseline(B.forecast_rows(w).filter("split = 'val' AND lead = 6"))
+    rows = stored_rows(spark, d)
+    closed = B.by_baseline(B.forecast_rows(rows.filter("is_anchor")).filter("split = 'val' AND lead = 6"))
     metrics = ev.lead_metrics(closed, ("baseline", "series_id", "lead"))
-    x = indexed_windows(spark, d)
+    x = indexed_windows(rows)
     for name, fs in (("ar_ridge", AR_RIDGE_FEATURES), ("weather_ridge", WEATHER_RIDGE_FEATURES)):
         rows = RG.long_predictions(RG.predict(x, RG.fit(x, fs)).filter("split = 'val'"), "series_id", "fire_active")
         rows = rows.filter("lead = 6").withColumn("baseline", F.lit(name))

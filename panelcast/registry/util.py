@@ -9,8 +9,8 @@ SHIFT = 0.0857864
 def rd(c, digits: int = 6) -> Column:
     """Double at ``digits`` decimals without negative zero."""
     c = F.col(c) if isinstance(c, str) else c
-    x = F.rint(c.cast("double") * F.lit(float(10 ** digits)) + F.lit(SHIFT)) / F.lit(float(10 ** digits))
-    return F.when(x == 0, F.lit(0.0)).otherwise(x)
+    p = F.lit(float(10 ** digits))
+    return F.rint(c.cast("double") * p + F.lit(SHIFT)) / p + F.lit(0.0)
 
 
 def rounded(*names, digits: int = 6) -> list[Column]:

@@ -49,7 +49,7 @@ def test_blocks_give_the_same_window_weights(panel):
 
 def test_blocks_give_the_same_summaries_and_wind_statistics(panel):
     some = ("log_frp", "u10", "cumulative_frp")
-    same(feat.window_summary(panel, PLAIN, some), feat.window_summary(panel, BLOCKED, some), ["series_id", "slot_utc"])
+    same(feat.window_summary(panel, PLAIN, some), feat.window_summary(panel, BLOCKED, some), ["series_id", "slot_utc", "feature"])
     same(N.wind_statistics(panel, PLAIN), N.wind_statistics(panel, BLOCKED), ["feature"])
 
 
