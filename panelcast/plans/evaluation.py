@@ -127,7 +127,7 @@ def skill_aligned_score(rows: DataFrame, table: DataFrame, by=(), pred: str = "p
         .agg(F.sum(ratio * weight_of(F.col("lead"), horizon_weights(horizon, weights))).alias("term"))
     )
     return per_event.groupBy(*by).agg(
-        F.coalesce(F.avg("term"), F.lit(0.0)).alias("ssat_term"), F.count("term").alias("n_events"))
+        F.coalesce(F.avg("term"), F.lit(0.0)).alias("skill_term"), F.count("term").alias("n_events"))
 
 
 def log_score(rows: DataFrame, by=(), pred: str = "pred", alpha: float = 0.5, fire_weight: float = 7.0) -> DataFrame:
@@ -135,13 +135,13 @@ def log_score(rows: DataFrame, by=(), pred: str = "pred", alpha: float = 0.5, fi
         F.avg(log_hybrid(F.col(pred), F.col("y"), _fire(), alpha, fire_weight)).alias("log_anchor"))
 
 
-def total_score(rows: DataFrame, table: DataFrame, by: tuple, w_ssat: float = 1.0, w_log: float = 0.2,
+def total_score(rows: DataFrame, table: DataFrame, by: tuple, w_skill: float = 1.0, w_log: float = 0.2,
                 pred: str = "pred") -> DataFrame:
     a = skill_aligned_score(rows, table, by, pred)
     b = log_score(rows, by, pred)
     return b.join(a, list(by), "left").select(
-        *by, F.coalesce("ssat_term", F.lit(0.0)).alias("ssat_term"), "log_anchor",
-        (w_ssat * F.coalesce("ssat_term", F.lit(0.0)) + w_log * F.col("log_anchor")).alias("loss"),
+        *by, F.coalesce("skill_term", F.lit(0.0)).alias("skill_term"), "log_anchor",
+        (w_skill * F.coalesce("skill_term", F.lit(0.0)) + w_log * F.col("log_anchor")).alias("loss"),
         F.coalesce("n_events", F.lit(0)).alias("n_events"))
 
 

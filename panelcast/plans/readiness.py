@@ -138,18 +138,17 @@ def alignment(sample: DataFrame, raw: DataFrame, lookback: int = LOOKBACK, horiz
               params: dict | None = None, compared=COVARIATES + ("sat_fraction",)) -> DataFrame:
     """Rebuild targets and last-step inputs of sampled windows from raw rows and compare.
 
-    ``sample`` (a few windows per split, so small by construction) has ``targets``
-    and stored inputs; ``raw`` is the joined panel with ``row_no``.
+    ``sample`` has ``targets`` and stored inputs; ``raw`` is the joined panel with ``row_no``.
     """
     starts = sample.select("series_id", "slot_utc", "split", "input_start_utc", "targets",
                            *[F.col(c).alias(f"_in_{c}") for c in compared])
-    starts = F.broadcast(starts)
-    first = raw.join(starts.select("series_id", "slot_utc", "input_start_utc").withColumnRenamed("slot_utc", "_anchor"), "series_id").filter(
-        F.col("slot_utc") == F.col("input_start_utc")).select("series_id", F.col("_anchor").alias("slot_utc"), F.col("row_no").alias("_start"))
-    placed = F.broadcast(starts.join(first, ["series_id", "slot_utc"], "left"))
+    begin = raw.select("series_id", F.col("slot_utc").alias("input_start_utc"), F.col("row_no").alias("_start"))
+    placed = starts.join(begin, ["series_id", "input_start_utc"], "left")
+    # Step 0 is the last input row, steps 1..horizon are the targets; one equi-join fetches them.
+    placed = placed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(horizon)))).withColumn(
+        "row_no", F.col("_start") + F.lit(lookback - 1) + F.col("_k"))
     rows = raw.select("series_id", "row_no", F.col("frp_sum_mw").alias("_v"), *[F.col(c).alias(f"_raw_{c}") for c in compared])
-    step = F.col("row_no") - F.col("_start")
-    both = placed.join(rows, "series_id").filter((step >= lookback - 1) & (step < lookback + horizon)).withColumn("_k", step - (lookback - 1))
+    both = placed.join(rows, ["series_id", "row_no"], "left")
     good_inputs = F.lit(True)
     for c in compared:
         expected = F.col(f"_raw_{c}")
@@ -159,7 +158,7 @@ def alignment(sample: DataFrame, raw: DataFrame, lookback: int = LOOKBACK, horiz
     y = F.element_at("targets", F.when(F.col("_k") > 0, F.col("_k")).otherwise(1).cast("int"))
     return both.groupBy("split", "series_id", "slot_utc").agg(
         (F.count_if((F.col("_k") > 0) & _close(y, F.col("_v"))) == horizon).alias("target_ok"),
-        (F.count_if((F.col("_k") == 0) & good_inputs) == 1).alias("input_ok"))
+        (F.count_if((F.col("_k") == 0) & F.col("_v").isNotNull() & good_inputs) == 1).alias("input_ok"))
 
 
 # ------------------------------------------------------------- balance, build, sanity

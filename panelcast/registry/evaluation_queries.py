@@ -184,7 +184,7 @@ def _(spark, d):
 
 register_table("pmt", "lng", """
   SELECT series_id, lead, avg(abs(pers - y)) AS mae_pers FROM lng WHERE fire_active AND split = 'train' GROUP BY 1, 2""")
-_ssat = """(SELECT seed, avg(term) AS s, count(term) AS n FROM (
+_aligned = """(SELECT seed, avg(term) AS s, count(term) AS n FROM (
     SELECT m.seed, m.series_id, sum(m.m / (pmt.mae_pers + 1e-6::DOUBLE) * CASE m.lead WHEN 1 THEN 0.1::DOUBLE WHEN 3 THEN 0.2::DOUBLE
       WHEN 6 THEN 0.5::DOUBLE WHEN 12 THEN 0.2::DOUBLE ELSE 0 END) AS term
     FROM (SELECT seed, series_id, lead, avg(abs(pred - y)) AS m FROM seedp WHERE fire_active GROUP BY 1, 2, 3) m
@@ -198,19 +198,19 @@ def _table(rows):
     return ev.persistence_mae(t)
 
 
-@query("skill_aligned_score", "A9 J5", sql("seedp pmt", f"SELECT CAST(seed AS INTEGER) AS seed, {rc('s', 'ssat_term')}, n AS n_events FROM {_ssat}"))
+@query("skill_aligned_score", "A9 J5", sql("seedp pmt", f"SELECT CAST(seed AS INTEGER) AS seed, {rc('s', 'skill_term')}, n AS n_events FROM {_aligned}"))
 def _(spark, d):
     rows = seed_rows(spark, d)
-    return ev.skill_aligned_score(rows, _table(rows), ("seed",)).select("seed", *rounded("ssat_term"), "n_events")
+    return ev.skill_aligned_score(rows, _table(rows), ("seed",)).select("seed", *rounded("skill_term"), "n_events")
 
 
 @query("fire_weighted_log_score", "A10", sql("seedp pmt", f"""
-SELECT CAST(a.seed AS INTEGER) AS seed, {rc('s', 'ssat_term')}, {rc('l', 'log_anchor')}, {rc('s + 0.02 * l', 'loss')}
-FROM {_ssat} a JOIN {_logs} b ON a.seed = b.seed"""))
+SELECT CAST(a.seed AS INTEGER) AS seed, {rc('s', 'skill_term')}, {rc('l', 'log_anchor')}, {rc('s + 0.02 * l', 'loss')}
+FROM {_aligned} a JOIN {_logs} b ON a.seed = b.seed"""))
 def _(spark, d):
     rows = seed_rows(spark, d)
     t = ev.total_score(rows, _table(rows), ("seed",), w_log=0.02)
-    return t.select("seed", *rounded("ssat_term", "log_anchor", "loss"))
+    return t.select("seed", *rounded("skill_term", "log_anchor", "loss"))
 
 
 @query("split_statistics", "A11", sql("anc lng", f"""

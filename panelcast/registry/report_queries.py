@@ -184,7 +184,13 @@ def _(spark, d):
     return b.select(*rounded("ci_lo", "ci_hi"), "ci_excludes_zero")
 
 
-@query("exact_bootstrap_interval", "U5")
+@query("exact_bootstrap_interval", "U5", sql("bval", f"""
+SELECT {rc('quantile_cont(m, 0.025)', 'ci_lo')}, {rc('quantile_cont(m, 0.975)', 'ci_hi')},
+  quantile_cont(m, 0.025) > 0 OR quantile_cont(m, 0.975) < 0 AS ci_excludes_zero FROM (
+  SELECT b, avg(value) AS m FROM (
+    SELECT b, i, (b // CAST(pow(n, i) AS BIGINT)) % n AS idx FROM (SELECT DISTINCT n FROM bval) c,
+      (SELECT unnest(range(0, (SELECT CAST(pow(max(n), max(n)) AS BIGINT) FROM bval))) AS b), (SELECT idx AS i FROM bval)) x
+  JOIN bval v ON v.idx = x.idx GROUP BY 1)"""))
 def _(spark, d):
     """Validation series: every resample when there are at most six, else drawn by hash."""
     s = ev.event_skill(rows_at(spark, d).filter("split = 'val'"), ("series_id",))

@@ -67,8 +67,13 @@ def main(sf_dir: str, names: list[str]) -> int:
     for q in picked:
         t = time.time()
         try:
-            got = qs[q](spark, sf_dir).toPandas()
+            df = qs[q](spark, sf_dir)
+            got = df.toPandas()
             took = time.time() - t
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            marks = [m for m in ("CartesianProduct", "NestedLoopJoin", "SinglePartition") if m in plan]
+            if marks:
+                print(f"   {q}: {marks}")
             if q not in oracle:
                 print(f"{q:32s} rows-only {len(got):8d} {took:6.2f}s")
                 continue

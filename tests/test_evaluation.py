@@ -95,9 +95,9 @@ def test_aligned_score_skips_unknown_series_and_is_zero_without_fire(spark):
                                "series_id string, lead int, y double, pred double, fire_active boolean")
     table = spark.createDataFrame([("a", 6, 4.0), ("a", 1, 2.0)], "series_id string, lead int, mae_pers double")
     r = ev.skill_aligned_score(df, table).first()
-    assert r.n_events == 1 and r.ssat_term == pytest.approx(0.5 * 2 / (4 + 1e-6) + 0.1 * 1 / (2 + 1e-6))
+    assert r.n_events == 1 and r.skill_term == pytest.approx(0.5 * 2 / (4 + 1e-6) + 0.1 * 1 / (2 + 1e-6))
     quiet = ev.skill_aligned_score(df.withColumn("fire_active", F.lit(False)), table).first()
-    assert (quiet.ssat_term, quiet.n_events) == (0.0, 0)
+    assert (quiet.skill_term, quiet.n_events) == (0.0, 0)
     assert sum(ev.horizon_weights(6).values()) == pytest.approx(1) and 12 not in ev.horizon_weights(6)
 
 
