@@ -187,7 +187,7 @@ def _h(*parts):
 
 def _picks(size, count, *label):
     raw = ", ".join(f"[{_h(*label, repr(str(j)))} % greatest({size} - {j}, 1)]" for j in range(count))
-    return f"""list_reduce([CAST([] AS BIGINT[]), {raw}], lambda t, x: list_sort(list_append(t,
+    return f"""list_reduce([CAST([] AS BIGINT[]), {raw}][1:least({count}, {size}) + 1], lambda t, x: list_sort(list_append(t,
       list_reduce(list_concat(x, t), lambda v, c: CASE WHEN v >= c THEN v + 1 ELSE v END))))"""
 
 
@@ -197,8 +197,7 @@ register_table("psize", "pool", """
   SELECT series_id, count(*) AS pool_size, row_number() OVER (ORDER BY md5(CAST(series_id AS VARCHAR))) - 1 AS series_no FROM pool GROUP BY 1""")
 register_table("chosen", "psize", f"""
   SELECT b AS batch, unnest({_picks('n', 8, "'0'", "'s'", 'CAST(b AS VARCHAR)')}) AS series_no
-  FROM (SELECT unnest(range(0, greatest(1, total // 64))) AS b, n FROM (SELECT CAST(sum(pool_size) AS BIGINT) AS total, count(*) AS n FROM psize))
-  WHERE n >= 8""")
+  FROM (SELECT unnest(range(0, greatest(1, total // 64))) AS b, n FROM (SELECT CAST(sum(pool_size) AS BIGINT) AS total, count(*) AS n FROM psize))""")
 register_table("picked", "chosen psize", f"""
   SELECT batch, series_id, unnest(CASE WHEN pool_size >= 8 THEN {_picks('pool_size', 8, "'0'", "'w'", 'CAST(batch AS VARCHAR)', 'CAST(series_id AS VARCHAR)')}
     ELSE [{', '.join(_h("'0'", "'w'", 'CAST(batch AS VARCHAR)', 'CAST(series_id AS VARCHAR)', repr(str(j))) + ' % pool_size' for j in range(8))}] END) AS pick
