@@ -30,8 +30,12 @@ class Layout:
 
     @classmethod
     def detect(cls, df: DataFrame, time: str = "slot_utc", slot_seconds: int = 3600,
-               limit: int = SERIES_ROW_LIMIT, **kw) -> "Layout":
-        """Pick the layout from the time span (min and max of one column)."""
+               limit: int | None = None, **kw) -> "Layout":
+        """Pick the layout from the time span (min and max of one column).
+
+        The span bounds a series' rows because (series, slot) rows are unique.
+        """
+        limit = SERIES_ROW_LIMIT if limit is None else limit
         span = df.select(F.timestamp_diff("SECOND", F.min(time), F.max(time))).first()[0]
         return cls(blocked=(span or 0) // slot_seconds + 1 > limit, **kw)
 

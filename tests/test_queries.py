@@ -24,6 +24,35 @@ def test_same_answer_as_sql(spark, small, con, name):
     assert differences(got, con.execute(ORACLE[name]).df()) == ""
 
 
+@pytest.fixture(scope="module")
+def hot(tmp_path_factory, small):
+    """The small tables with one user holding a third of all events."""
+    import shutil
+    from pathlib import Path
+
+    import pandas as pd
+
+    folder = tmp_path_factory.mktemp("hot")
+    for f in Path(small).glob("*.parquet"):
+        if f.stem != "events":
+            shutil.copy(f, folder)
+    ev = pd.read_parquet(f"{small}/events.parquet")
+    extra = ev.sample(len(ev) // 2, random_state=0).assign(user_id=3)
+    extra["ts"] = extra.ts + pd.Timedelta(minutes=7)
+    pd.concat([ev, extra], ignore_index=True).to_parquet(folder / "events.parquet", coerce_timestamps="us")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["all_features", "window_targets", "gap_runs", "wind_statistics", "leave_one_out_quantiles", "manifest"])
+def test_hot_user_and_block_layout_give_the_same_answer(spark, hot, monkeypatch, name):
+    from panelcast.operators import layout
+
+    monkeypatch.setattr(layout, "SERIES_ROW_LIMIT", 100)
+    assert layout.Layout.detect(spark.read.parquet(f"{hot}/events.parquet"), "ts").blocked
+    got = entry.queries()[name](spark, hot).toPandas()
+    assert differences(got, duck(hot).execute(ORACLE[name]).df()) == ""
+
+
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
     assert df.count() > 0
