@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelcast.operators.features import long_form
 from panelcast.operators.layout import Layout, PanelWindows, exact_quantiles
 from panelcast.plans.normalise import unpivot, window_statistics
-from panelcast.schema import COVARIATES, FEATURES, HORIZON, LOOKBACK, SCALED, SPLITS, TARGET_PERCENTILES, UNSCALED
+from panelcast.schema import COVARIATES, FEATURES, HORIZON, LOOKBACK, SCALED, TARGET_PERCENTILES, UNSCALED
 from panelcast.session import cut
 
 IMBALANCE = 0.60

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from panelcast.functions import columns as C
 from panelcast.operators import assemble as A
 from panelcast.operators import features as feat
-from panelcast.registry.base import query, r, rc, register_table, sql
+from panelcast.registry.base import query, rc, register_table, sql
 from panelcast.registry.util import rd, rounded
-from panelcast.schema import COVARIATES, FEATURES, HISTORY_FEATURES, LAGS
+from panelcast.schema import COVARIATES, FEATURES, LAGS
 from panelcast.sources import adapter as src
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.operators import features as feat
 from panelcast.plans import baselines as B
 from panelcast.plans import bootstrap as BS
 from panelcast.plans import evaluation as ev
