@@ -53,3 +53,21 @@ per AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per USING (doc_row)"""
+
+PERSPECTIVES = """
+WITH t AS (
+  SELECT conv_id, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS speaker, coalesce(text, '') AS body, turn FROM conversations),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker, body) - 1 AS rnk,
+    replace(body, '<|im_', '<| im_') || '<|im_end|>' AS said FROM t),
+v AS (
+  SELECT n.conv_id, p.speaker AS perspective, rnk // 256 AS part, rnk, said, n.speaker = p.speaker AS own,
+    '<|im_start|>' || CASE WHEN n.speaker = p.speaker THEN 'assistant' WHEN n.speaker = 'system' THEN 'system'
+      ELSE 'user name=' || replace(n.speaker, '<|im_', '<| im_') END || chr(10) AS head
+  FROM n JOIN (SELECT DISTINCT conv_id, speaker FROM t WHERE speaker <> 'system') p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+w AS (
+  SELECT *, CAST(sum(length(head) + length(said) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY rnk) AS BIGINT) - 1 AS e FROM v)
+SELECT conv_id, perspective, part, CAST(count(*) AS INT) AS n_turns,
+  string_agg(head || said || chr(10), '' ORDER BY rnk) AS text,
+  coalesce(string_agg(CAST(e - length(said) AS VARCHAR) || ':' || CAST(e AS VARCHAR), ',' ORDER BY rnk) FILTER (own), '') AS mask
+FROM w GROUP BY conv_id, perspective, part"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, decontaminate, neardup, oracles, quality, secrets, sharding, vectors
+from panelcast.llm import bpe, chat, decontaminate, neardup, oracles, paragraphs, quality, secrets, sharding, substrings, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,11 +43,27 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_paragraphs")
+def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of documents that repeat earlier ones."""
+    return paragraphs.repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op3_perspectives", oracles.PERSPECTIVES)
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.perspectives(table(spark, sf_dir, "conversations")))
+
+
 @query("op4_bpe")
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), tokens=False)
 
 
+@query("op5_substrings")
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), length=50, texts=False)
+
+
 @query("op7_secrets", oracles.SECRETS)
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
