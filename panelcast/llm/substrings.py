@@ -17,6 +17,7 @@ from panelcast.llm.shingles import P1, P2, mixed
 from panelcast.session import cut
 
 ANCHOR = 16  # bytes of an anchor
+ANCHOR_BITS = 48  # of its hash: anchors only bring windows together, so a rare false meeting costs time, not correctness
 PIECE = 64  # windows of a piece at most
 BLOCK_BYTES = 8_000_000  # of text, as a rule, that a task holds at once
 INDEX_BYTES = 3_000_000  # of pieces, as a rule, in one index
@@ -35,7 +36,7 @@ def anchor_hashes(b: np.ndarray, width: int) -> np.ndarray:
         w = max(x for x in pieces if x <= width - done)
         n = max(0, len(b) - done - w + 1)
         out, done = mixed(out[:n] * P2 + pieces[w][done:done + n]), done + w
-    return out
+    return out >> np.uint64(64 - ANCHOR_BITS)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -133,27 +134,48 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a batch that go to one block, compressed together, with ids and lengths."""
     press = zstandard.ZstdCompressor(level=3).compress
-    for b in batches:
-        for i in range(0, b.num_rows, 256):
-            part = b.slice(i, 256)
-            packed = [press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["block", "doc_id", "packed"])
+    for whole in batches:
+        for i in range(0, whole.num_rows, 10_000):
+            b = whole.slice(i, 10_000)
+            block = b.column(0).to_numpy()
+            order = np.argsort(block, kind="stable")
+            shares = np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []
+            for share in shares:
+                texts = [(b.column(2)[j].as_py() or "").encode("utf-8", "surrogatepass") for j in share.tolist()]
+                head = np.array([b.column(1).to_numpy()[share], [len(t) for t in texts]], dtype="<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block[share[0]]], pa.int64()), pa.array([head.tobytes()], pa.binary()), pa.array([press(b"".join(texts))], pa.binary())],
+                    ["block", "head", "packed"])
 
 
 def _opened(t: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     """The documents of a block in the order that numbers them: by id, then text."""
     open_ = zstandard.ZstdDecompressor().decompress
-    rows = sorted(zip(t.column("doc_id").to_pylist(), map(open_, t.column("packed").to_pylist())))
+    rows = []
+    for head, packed in zip(t.column("head").to_pylist(), t.column("packed").to_pylist()):
+        ids, lens = np.frombuffer(head, dtype="<i8").reshape(2, -1)
+        data, ends = open_(packed), np.cumsum(lens)
+        rows += [(i, data[e - n:e]) for i, n, e in zip(ids.tolist(), lens.tolist(), ends.tolist())]
+    rows.sort()
     return np.array([i for i, _ in rows], dtype=np.int64), [x for _, x in rows]
 
 
+def _copies(t: pa.Table, ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Which documents have the whole text of an earlier one; ``t`` has their ids and the checksums of their texts."""
+    named = set(zip(t.column("doc_id").to_pylist(), t.column("name").to_pylist()))
+    some = {i for i, _ in named}
+    return np.array([i in some and (i, hashlib.sha256(x).hexdigest()) in named for i, x in zip(ids.tolist(), texts)], dtype=bool)
+
+
 def _pieces(length: int):
     """Cuts out of a block what lies around its shared anchors."""
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
         ids, texts = _opened(docs)
-        a = Anchored(texts, length)
-        chosen = np.unique(anchors.column("anchor").to_numpy().view(np.uint64))
+        copy = _copies(anchors.filter(pc.is_valid(anchors.column("name"))), ids, texts)
+        a = Anchored([b"" if c else x for c, x in zip(copy, texts)], length)
+        chosen = np.unique(anchors.column("anchor").drop_null().to_numpy().view(np.uint64))
         at, windows, anchor = a.pieces(chosen)
         lens = windows + length - 1
         data, edges = joined(a.data, at, lens), np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
@@ -279,11 +301,16 @@ def _removals(length: int):
     return run
 
 
-def _cleaned(texts: bool):
+def _cleaned(length: int, texts: bool):
     """Results of a block: spans merged, and what they leave."""
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         ids, raw = _opened(docs)
+        copied = spans.column("name").is_valid()
+        copy = np.flatnonzero(_copies(spans.filter(copied), ids, raw))
+        copy = copy[np.array([len(raw[c]) >= length for c in copy], dtype=bool)]
+        spans = spans.filter(pc.invert(copied))
         nth, start, end = (spans.column(c).to_numpy() for c in ("nth", "start", "end"))
+        nth, start, end = np.append(nth, copy), np.append(start, copy * 0), np.append(end, np.array([len(raw[c]) for c in copy], dtype=np.int64))
         order = np.lexsort((start, nth))
         nth, start, end = nth[order], start[order], end[order]
         edges = np.searchsorted(nth, np.arange(len(raw) + 1))
@@ -316,6 +343,7 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
     A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id. Texts are taken as
     UTF-8 bytes as they came in; matches never cross documents.
 
+    0. Of equal texts only those with the smallest id are searched; the later ones go whole (if they have a window).
     1. Every window gets an anchor; equal windows have equal ones. Anchors that stand in one document alone drop out. Their
        groups are streamed from sorted rows, and hold one row each, whatever their size.
     2. Around the others, pieces are cut out and meet by anchor. Equal pieces of later documents are removed at once; the
@@ -331,17 +359,23 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     named = rows.filter("doc_id is not null")
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
-    packed = named.select(block, "doc_id", "text").mapInArrow(_pack, "block long, doc_id long, packed binary")
+    packed = named.select(block, "doc_id", "text").mapInArrow(_pack, "block long, head binary, packed binary")
+    text_name = F.sha2(F.coalesce("text", F.lit("")), 256)
+    firsts = named.filter(F.octet_length("text") >= length).groupBy(text_name.alias("name")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    copies = cut(named.filter(F.octet_length("text") >= length).select("doc_id", text_name.alias("name")).join(firsts, "name")
+                 .filter("doc_id > first").select(block, "doc_id", "name").distinct())
 
     anchors = named.mapInArrow(_anchors(length), "anchor long, doc_id long").repartition("anchor").sortWithinPartitions("anchor")
     shared = anchors.mapInArrow(_shared, "anchor long, doc_id long").select(block, "anchor")
-    pieces = packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
+    both = shared.unionByName(copies, allowMissingColumns=True)
+    pieces = packed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
         _pieces(length), "anchor long, piece binary, doc_id long, nth int, at long")
     sorted_pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "piece", "doc_id")
     spans = cut(sorted_pieces.mapInArrow(_removals(length), "doc_id long, nth int, start long, end long"))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", removed array<struct<start:long,end:long>>, kept binary" * texts
-    cleaned = packed.groupBy("block").cogroup(spans.select(block, "nth", "start", "end").groupBy("block")).applyInArrow(_cleaned(texts), schema)
+    found = spans.select(block, "nth", "start", "end").unionByName(copies, allowMissingColumns=True)
+    cleaned = packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cleaned(length, texts), schema)
     plain = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     n = F.octet_length(plain).cast("long")
     zero = F.lit(0).cast("long")
