@@ -16,7 +16,7 @@ from panelcast.llm.shingles import LOWER, P1, P2, P3, mixed
 from panelcast.session import cut
 
 PASSAGE, PARAGRAPH = 0, 1
-REACH = 6  # words on either side that a cut inside a paragraph depends on
+REACH = 4  # words on either side that a cut inside a paragraph depends on
 BATCH_BYTES = 4_000_000
 SEED = 4_409
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -168,8 +168,9 @@ def repeats(
     df: DataFrame, k: int = 5, percent: int = 80, least_words: int = 20, least_recall: float = 0.999,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(``doc_id``, ``start``, ``end``, ``n_words``, ``kept_doc_id``, ``kept_start``): stretches to remove from each document,
-    in bytes of its UTF-8 text, ends exclusive, and where the copy that stays begins.
+    """(``doc_id``, ``start``, ``end``, ``n_words``, ``kept_doc_id``, ``kept_start``, ``kept_doc_ids``): stretches to remove from
+    each document, in bytes of its UTF-8 text, ends exclusive, where the copy of its beginning stays, and all documents that
+    keep a copy of some part.
 
     Paragraphs are lines of ``least_words`` words or more. Those that collide in a band (``tune``) are compared: sets of k-word
     shingles with 100 * intersection >= percent * union are linked, and of each component the first paragraph (by document and
@@ -218,6 +219,7 @@ def repeats(
     apart = F.coalesce(F.col("word") > F.max(F.col("word") + F.col("words")).over(so_far), F.lit(True))
     runs = goes.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(whole)).groupBy("row", "run").agg(
         F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
-        (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("long").alias("n_words"), F.min(F.struct("word", "kept")).alias("head"))
+        (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("long").alias("n_words"), F.min(F.struct("word", "kept")).alias("head"),
+        F.sort_array(F.collect_set("kept.doc_id")).alias("kept_doc_ids"))
     return runs.filter(F.col("n_words") >= least_words).select(
-        "doc_id", "start", "end", "n_words", F.col("head.kept.doc_id").alias("kept_doc_id"), F.col("head.kept.start").alias("kept_start"))
+        "doc_id", "start", "end", "n_words", F.col("head.kept.doc_id").alias("kept_doc_id"), F.col("head.kept.start").alias("kept_start"), "kept_doc_ids")
