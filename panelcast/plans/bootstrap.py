@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from panelcast.operators.layout import dense_number, exact_quantiles, hash_chunk, hash_order
 from panelcast.session import cut
 
-EXACT_LIMIT = 6
 
 
 def md5_int(*parts) -> F.Column:
-    """A 32-bit integer from the text of its parts; the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p for p in parts])), 1, 8), 16, 10).cast("long")
+    """A 60-bit integer from the text of its parts; the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p for p in parts])), 1, 15), 16, 10).cast("long")
 
 
 def indexed(per_event: DataFrame, value: str = "ss") -> DataFrame:
@@ -22,19 +21,20 @@ def indexed(per_event: DataFrame, value: str = "ss") -> DataFrame:
     return dense_number(rows, [], hash_chunk("series_id"), [hash_order("series_id")], "idx", 0).select("idx", "value")
 
 
-def resample_means(values: DataFrame, n: int, n_boot: int = 10_000, seed: int = 42, exact: bool | None = None) -> DataFrame:
+def resample_means(values: DataFrame, n: int, n_boot: int = 10_000, seed: int = 42, method: str = "draws") -> DataFrame:
     """(b, m): the mean of each resample of n values.
 
-    Up to six values every one of the n**n resamples is taken, which is the exact
-    distribution; above that, ``n_boot`` resamples are drawn by hash.  Draws reach
-    their values by an equi-join on the index.
+    ``draws``: ``n_boot`` resamples drawn by hash.  ``exact``: every one of the n**n
+    resamples, for tables that are small by nature.  The caller chooses; the number of
+    values never does.  Draws reach their values by an equi-join on the index.
     """
     spark = values.sparkSession
-    exact = n <= EXACT_LIMIT if exact is None else exact
-    total = n ** n if exact else n_boot
-    draws = spark.range(total).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    if exact:
-        place = F.element_at(F.array(*[F.lit(n ** i) for i in range(n)]), F.col("i") + 1)
+    if method not in ("draws", "exact"):
+        raise ValueError("method is draws or exact")
+    total = n ** n if method == "exact" else n_boot
+    draws = spark.range(total * n).select(F.floor(F.col("id") / n).cast("long").alias("b"), (F.col("id") % n).alias("i"))
+    if method == "exact":
+        place = F.element_at(F.array(*[F.lit(n ** i) for i in range(n)]), (F.col("i") + 1).cast("int"))
         idx = (F.floor(F.col("b") / place) % n).cast("long")
     else:
         idx = md5_int(F.lit(seed).cast("string"), F.col("b").cast("string"), F.col("i").cast("string")) % n
@@ -48,9 +48,9 @@ def interval(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataF
 
 
 def bootstrap(per_event: DataFrame, value: str = "ss", n_boot: int = 10_000, seed: int = 42,
-              exact: bool | None = None) -> DataFrame:
+              method: str = "draws") -> DataFrame:
     values = cut(indexed(per_event, value))
     n = values.count()
     if n == 0:
         raise ValueError("no series with a value")
-    return interval(cut(resample_means(values, n, n_boot, seed, exact)))
+    return interval(cut(resample_means(values, n, n_boot, seed, method)))

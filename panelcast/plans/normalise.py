@@ -43,10 +43,11 @@ def apply_norm(df: DataFrame, params: Params) -> DataFrame:
 
 
 def weighted_moments(df: DataFrame, by: list[str], value: Column, weight: Column):
-    """Mean and deviation (ddof 0) of weighted rows."""
+    """Mean and deviation (ddof 0) of weighted rows; null without any weight."""
     n, s, q = F.sum(weight), F.sum(weight * value), F.sum(weight * value * value)
-    mean = s / n
-    return mean, F.sqrt(F.greatest(q / n - mean * mean, F.lit(0.0)))
+    mean = F.try_divide(s, n)
+    square = F.try_divide(q, n) - mean * mean
+    return mean, F.sqrt(F.when(square < 0, 0.0).otherwise(square))
 
 
 def window_statistics(weighted: DataFrame, by: list[str], features) -> DataFrame:

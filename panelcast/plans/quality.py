@@ -9,9 +9,9 @@ from panelcast.functions.columns import verdict
 from panelcast.schema import GATE_LIMITS
 
 
-def half_up(c: Column, digits: int) -> Column:
-    p = F.lit(float(10 ** digits))
-    return F.floor(c * p + 0.5) / p
+def half_even(c: Column, digits: int) -> Column:
+    """Ties go to the even digit: 0.03125 gives 0.0312."""
+    return F.bround(c.cast("double"), digits)
 
 
 def daily_counts(obs: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def audit(obs: DataFrame) -> DataFrame:
     )
     return per.select(
         "series_id",
-        half_up(F.col("n_missing") / F.col("total_slots"), 4).alias("gap_rate"),
-        half_up(F.col("_sat") / F.nullif(F.col("_known"), F.lit(0)), 4).alias("sat_rate"),
-        "complete_days", half_up(F.col("_peak"), 1).alias("peak_frp_mw"),
+        half_even(F.col("n_missing") / F.col("total_slots"), 4).alias("gap_rate"),
+        half_even(F.col("_sat") / F.nullif(F.col("_known"), F.lit(0)), 4).alias("sat_rate"),
+        "complete_days", half_even(F.col("_peak"), 1).alias("peak_frp_mw"),
         "total_slots", "n_fire_slots", "n_missing", "n_days")
 
 

@@ -154,7 +154,7 @@ def alignment(sample: DataFrame, raw: DataFrame, lookback: int = LOOKBACK, horiz
         expected = F.col(f"_raw_{c}")
         if params and c in params:
             expected = (expected - F.lit(params[c][0])) / F.lit(params[c][1])
-        good_inputs = good_inputs & F.coalesce(_close(F.col(f"_in_{c}"), expected), F.lit(True))
+        good_inputs = good_inputs & F.coalesce(_close(F.col(f"_in_{c}"), expected), expected.isNull())
     y = F.element_at("targets", F.when(F.col("_k") > 0, F.col("_k")).otherwise(1).cast("int"))
     return both.groupBy("split", "series_id", "slot_utc").agg(
         (F.count_if((F.col("_k") > 0) & _close(y, F.col("_v"))) == horizon).alias("target_ok"),
@@ -241,9 +241,9 @@ def verdict(checks: DataFrame) -> DataFrame:
 
 
 def checks_from(passed: dict[str, DataFrame]) -> DataFrame:
-    """(check, passed) from one-row tables with a boolean ``passed``."""
+    """(check, passed) from tables with a boolean ``passed``; a check without rows has not passed."""
     out = None
     for name, df in passed.items():
-        row = df.agg(F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed")).select(F.lit(name).alias("check"), "passed")
+        row = df.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed")).select(F.lit(name).alias("check"), "passed")
         out = row if out is None else out.unionByName(row)
     return out

@@ -182,7 +182,7 @@ def _(spark, d):
 # ----------------------------------------------------------------- sampling
 
 def _h(*parts):
-    return "CAST('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 8) AS BIGINT)"
+    return "CAST('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 15) AS BIGINT)"
 
 
 def _picks(size, count, *label):
@@ -226,10 +226,10 @@ register_table("day", "hourly", """
   SELECT series_id, CAST(slot_utc AS DATE) AS day, count(*) AS n, count(*) FILTER (slot_type = 'missing') AS n_missing,
     avg(CASE WHEN slot_type = 'missing' THEN 1 ELSE 0 END) < 0.5 AS complete FROM hourly GROUP BY 1, 2""")
 register_table("audit", "hourly day", """
-  SELECT h.series_id, floor(avg(CASE WHEN slot_type = 'missing' THEN 1.0::DOUBLE ELSE 0 END) * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS gap_rate,
-    floor(avg(CASE WHEN sat_fraction > 0.3 THEN 1.0::DOUBLE ELSE 0 END) FILTER (slot_type = 'fire' AND sat_fraction IS NOT NULL) * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS sat_rate,
+  SELECT h.series_id, round_even(avg(CASE WHEN slot_type = 'missing' THEN 1.0::DOUBLE ELSE 0 END), 4) AS gap_rate,
+    round_even(avg(CASE WHEN sat_fraction > 0.3 THEN 1.0::DOUBLE ELSE 0 END) FILTER (slot_type = 'fire' AND sat_fraction IS NOT NULL), 4) AS sat_rate,
     any_value(d.complete_days) AS complete_days,
-    floor(coalesce(max(frp_sum_mw) FILTER (slot_type = 'fire'), 0) * 10::DOUBLE + 0.5) / 10::DOUBLE AS peak_frp_mw,
+    round_even(coalesce(max(frp_sum_mw) FILTER (slot_type = 'fire'), 0), 1) AS peak_frp_mw,
     count(*) AS total_slots, count(*) FILTER (slot_type = 'fire') AS n_fire_slots, count(*) FILTER (slot_type = 'missing') AS n_missing,
     any_value(d.n_days) AS n_days
   FROM hourly h JOIN (SELECT series_id, count(*) FILTER (complete) AS complete_days, count(*) AS n_days FROM day GROUP BY 1) d

@@ -186,11 +186,11 @@ def _(spark, d):
     return A.leaked_series(marked)
 
 
-@query("stack_series_tables", "J10", sql("cells", f"""
-SELECT series_id, slot_utc, slot_type, {rc('frp_sum_mw', 'frp_sum_mw')} FROM cells"""))
+@query("stack_series_tables", "J10", sql("hourly", f"""
+SELECT series_id, slot_utc, slot_type, {rc('frp_sum_mw', 'frp_sum_mw')} FROM hourly"""))
 def _(spark, d):
     h = src.hourly(spark, d)
-    parts = [h.filter(F.col("slot_type") == t) for t in ("fire", "no_fire")]
+    parts = [h.filter(F.col("slot_type") == t) for t in ("fire", "no_fire", "missing")]
     return A.stack_series(parts).select("series_id", "slot_utc", "slot_type", *rounded("frp_sum_mw"))
 
 

@@ -167,19 +167,19 @@ def _(spark, d):
 # ----------------------------------------------------------------- bootstrap
 
 register_table("bval", "ss6", """
-  SELECT ss AS value, row_number() OVER (ORDER BY md5(CAST(series_id AS VARCHAR))) - 1 AS idx, count(*) OVER () AS n FROM ss6
-  WHERE ss IS NOT NULL AND split = 'val'""")
+  SELECT value, row_number() OVER (ORDER BY md5(wind)) - 1 AS idx, count(*) OVER () AS n FROM (
+    SELECT substr('ABCD', CAST(series_id % 4 AS INT) + 1, 1) AS wind, avg(ss) AS value FROM ss6 WHERE ss IS NOT NULL GROUP BY 1)""")
 
 
 @query("bootstrap_interval", "U5", sql("ss6", f"""
 SELECT {rc('quantile_cont(m, 0.025)', 'ci_lo')}, {rc('quantile_cont(m, 0.975)', 'ci_hi')},
   quantile_cont(m, 0.025) > 0 OR quantile_cont(m, 0.975) < 0 AS ci_excludes_zero FROM (
-  SELECT b, avg(value) AS m FROM (SELECT b, i, CAST('0x' || substr(md5('42:' || CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % n AS idx
+  SELECT b, avg(value) AS m FROM (SELECT b, i, CAST('0x' || substr(md5('42:' || CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 15) AS BIGINT) % n AS idx
     FROM (SELECT unnest(range(0, 10000)) AS b), (SELECT unnest(range(0, n)) AS i, n FROM (SELECT count(*) AS n FROM ss6 WHERE ss IS NOT NULL))) x
   JOIN (SELECT ss AS value, row_number() OVER (ORDER BY md5(CAST(series_id AS VARCHAR))) - 1 AS idx FROM ss6 WHERE ss IS NOT NULL) v ON v.idx = x.idx GROUP BY 1)"""))
 def _(spark, d):
     s = ev.event_skill(rows_at(spark, d), ("series_id",))
-    b = BS.bootstrap(s, exact=False)
+    b = BS.bootstrap(s)
     return b.select(*rounded("ci_lo", "ci_hi"), "ci_excludes_zero")
 
 
@@ -191,9 +191,9 @@ SELECT {rc('quantile_cont(m, 0.025)', 'ci_lo')}, {rc('quantile_cont(m, 0.975)',
       (SELECT unnest(range(0, (SELECT CAST(pow(max(n), max(n)) AS BIGINT) FROM bval))) AS b), (SELECT idx AS i FROM bval)) x
   JOIN bval v ON v.idx = x.idx GROUP BY 1)"""))
 def _(spark, d):
-    """Validation series: every resample when there are at most six, else drawn by hash."""
-    s = ev.event_skill(rows_at(spark, d).filter("split = 'val'"), ("series_id",))
-    b = BS.bootstrap(s)
+    """The mean skill per wind regime: four values at any scale, so every resample is taken."""
+    s = ev.event_skill(rows_at(spark, d), ("series_id",)).join(src.catalogue(spark, d).select("series_id", "wind_regime"), "series_id")
+    b = BS.bootstrap(s.groupBy(F.col("wind_regime").alias("series_id")).agg(F.avg("ss").alias("ss")), method="exact")
     return b.select(*rounded("ci_lo", "ci_hi"), "ci_excludes_zero")
 
 

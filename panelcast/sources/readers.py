@@ -17,6 +17,11 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles}) if doubles else df
 
 
+def _named(path, suffix: str):
+    """The series in a file name; paths come URL-encoded."""
+    return F.url_decode(F.replace(F.regexp_extract(path, rf"([^/=]+){suffix}\.csv", 1), F.lit("+"), F.lit("%2B")))
+
+
 def read_observations(spark: SparkSession, folder: str) -> DataFrame:
     """CSV files (or folders of parts) named ``<series>_hourly.csv``; the name gives the series.
 
@@ -28,7 +33,7 @@ def read_observations(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("_path", F.col("_metadata.file_path"))
         .filter(~F.col("_path").contains("_era5_hourly.csv"))
     )
-    name = F.regexp_extract("_path", r"([^/=]+)_hourly\.csv", 1)
+    name = _named(F.col("_path"), "_hourly")
     return _nan_to_null(df.withColumn("series_id", name)).select("series_id", *[f.name for f in OBSERVATION_SCHEMA])
 
 
@@ -37,7 +42,7 @@ def read_covariates(spark: SparkSession, folder: str) -> DataFrame:
     column ``tp_m`` is dropped when present; an absent covariate is an error."""
     raw = spark.read.option("header", True).option("enforceSchema", False).csv(f"{folder}/*_era5_hourly.csv")
     require(raw, *[f.name for f in COVARIATE_SCHEMA])
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)_era5_hourly\.csv", 1)
+    name = _named(F.col("_metadata.file_path"), "_era5_hourly")
     typed = raw.select(name.alias("series_id"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in COVARIATE_SCHEMA])
     return _nan_to_null(typed)
 

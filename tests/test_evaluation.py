@@ -36,13 +36,13 @@ def per_event(spark, d):
 def test_mean_skill_and_exact_bootstrap(spark, d, mean, ci):
     df = per_event(spark, d)
     assert ev.cross_event(df).first().mean == pytest.approx(mean, abs=1e-12)
-    b = BS.bootstrap(df).first()
+    b = BS.bootstrap(df, method="exact").first()
     assert (b.ci_lo, b.ci_hi) == pytest.approx(ci, abs=1e-8) and b.ci_excludes_zero
 
 
 def test_hash_bootstrap_is_repeatable_and_near_the_exact_one(spark):
     df = per_event(spark, FULL)
-    a, b = (BS.bootstrap(df, n_boot=4000, exact=False).first() for _ in range(2))
+    a, b = (BS.bootstrap(df, n_boot=4000).first() for _ in range(2))
     assert a == b and a.ci_lo == pytest.approx(FULL_CI[0], abs=0.01) and a.ci_hi == pytest.approx(FULL_CI[1], abs=0.01)
 
 
