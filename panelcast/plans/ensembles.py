@@ -31,8 +31,8 @@ def log_mean(preds: DataFrame, keys=KEYS) -> DataFrame:
 def trimmed_log_mean(preds: DataFrame, keys=KEYS) -> DataFrame:
     """Log mean without one smallest and one largest seed; null when no seed is left."""
     log = F.log1p(floor0(F.col("pred")))
-    inner = F.try_divide(F.sum(log) - F.min(log) - F.max(log), F.greatest(F.count(log) - 2, F.lit(0)))
-    return preds.groupBy(*keys).agg(*_carried(preds, keys), _back(inner).alias("pred"))
+    inner = F.try_divide(F.sum(log) - F.min(log) - F.max(log), F.count(log) - 2)
+    return preds.groupBy(*keys).agg(*_carried(preds, keys), F.when(F.count(log) > 2, _back(inner)).alias("pred"))
 
 
 def log_median(preds: DataFrame, keys=KEYS) -> DataFrame:
