@@ -19,6 +19,8 @@ from panelcast.session import cut
 # differences are binomial (40, 0.2): the chance of 20 or more is 3.6e-5, and falls fast above 0.8.
 CHUNKS, WIDTH, BITS = 10, 4, 16
 SEED = 20_261
+FINE = 216  # further symbols, of 8 bits, that tell texts below the threshold from those above it; only for pairs left after the pivots
+BLOCK = 1024  # members of a bucket that meet another block in one task
 
 
 def index_keys(sigs: np.ndarray) -> np.ndarray:
@@ -92,17 +94,110 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def most_differences(percent: int, symbols: int) -> int:
+    """Symbols in which a pair at the threshold differs, with a chance of about 1e-5 of more."""
+    p = 1 - percent / 100
+    return int(np.ceil(symbols * p + 4.5 * np.sqrt(symbols * p * (1 - p))))
+
+
+def _fine_sketches(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, open_ = shingles.WordHashes(), zstandard.ZstdDecompressor().decompress
+        coarse, fine = shingles.permutations(CHUNKS * WIDTH, SEED), shingles.permutations(FINE, SEED + 1)
+        for b in batches:
+            sigs = []
+            for blob in b.column(1).to_pylist():
+                s = shingles.shingle_set(known.of(open_(blob).split()), k)
+                sigs.append(shingles.minhash(s, coarse, BITS).astype("<u2").tobytes() + shingles.minhash(s, fine, 8, 2048).astype("u1").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["id", "sig"])
+    return run
+
+
+def close_pairs(key: int, coarse: np.ndarray, fine: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``left`` and ``right`` of different components whose signatures are close, if ``key`` is the first key they share."""
+    xs, ys = [], []
+    for r in range(0, len(left), 64):
+        some = left[r:r + 64]
+        apart = (coarse[some][:, None, :] != coarse[right][None, :, :]).sum(axis=2)
+        x, y = np.nonzero((apart < 2 * CHUNKS) & (c[some][:, None] != c[right][None, :]))
+        x, y, apart = some[x], right[y], apart[x, y]
+        near = apart + (fine[x] != fine[y]).sum(axis=1) <= most
+        x, y = x[near], y[near]
+        equal = (coarse[x] == coarse[y]).reshape(len(x), CHUNKS, WIDTH)
+        chunk = (equal.sum(axis=2) >= WIDTH - 1).argmax(axis=1)
+        mine = equal[np.arange(len(x)), chunk]
+        left_out = np.where(mine.all(axis=1), 0, mine.argmin(axis=1))
+        first = chunk * WIDTH + left_out == key >> BITS * (WIDTH - 1)
+        xs.append(x[first])
+        ys.append(y[first])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *xs]), np.concatenate([none, *ys])
+
+
+def _meet(most: int):
+    """Over rows sorted by (key, i, j): two blocks of a bucket, or one with itself, held at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(t: pa.Table) -> pa.RecordBatch:
+            key, i, j, side, ids, c = (t.column(n).to_numpy() for n in ("key", "i", "j", "side", "id", "c"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+            coarse, fine = np.ascontiguousarray(sig[:, :-FINE]).view("<u2"), sig[:, -FINE:]
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for lo, hi in zip([0, *edges], [*edges, len(ids)]):
+                here = np.arange(lo, hi)
+                left, right = (here, here) if i[lo] == j[lo] else (here[side[lo:hi] == 0], here[side[lo:hi] == 1])
+                x, y = close_pairs(int(key[lo]), coarse, fine, c, left, right, most)
+                if i[lo] == j[lo]:
+                    x, y = x[x < y], y[x < y]
+                a.append(np.minimum(ids[x], ids[y]))
+                b.append(np.maximum(ids[x], ids[y]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        held = None
+        for part in batches:
+            t = pa.Table.from_batches([part])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            if not len(t):
+                continue
+            key, i, j = (t.column(n).to_numpy() for n in ("key", "i", "j"))
+            last = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0
+            if whole:
+                yield pairs(t.slice(0, whole))
+            held = t.slice(whole)
+        if held is not None and len(held):
+            yield pairs(held)
+    return run
+
+
+def meetings(here: DataFrame, sigs: DataFrame, most: int) -> DataFrame:
+    """(``a``, ``b``): pairs of buckets' members (``key``, ``id``, ``c``) in different components with close signatures, each once.
+
+    A bucket is cut into blocks, and each two blocks meet in one task; only pairs within the signature distance are put out.
+    """
+    sizes = here.groupBy("key").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(SEED)), blocks).cast("int")
+    placed = here.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "c")
+    dealt = placed.join(sigs, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select("key", "i", "j", "side", "id", "c", "sig").mapInArrow(_meet(most), "a long, b long")
+
+
 class HammingJoin:
     """Candidate pairs of a key table (``key``, ``id``), without writing out the pairs of a bucket.
 
     A bucket compares its members with one pivot; members confirmed or linked elsewhere share its component and need no
     pair of their own. Further rounds take other pivots of buckets whose members still lie in several components. After
-    ``pivots`` rounds what is left - members of one bucket in different components, not compared yet - is compared pair by pair,
-    dealt evenly by pair. So every pair of a bucket is either compared or already known to be connected.
+    ``pivots`` rounds what is left - members of one bucket in different components, not compared yet - is given to ``meet``, which
+    tells the pairs to confirm (by default all of them). So every pair of a bucket is either compared or already known to be
+    connected.
     """
 
-    def __init__(self, filed: DataFrame, confirm, pivots: int = 3):
-        self.confirm, self.pivots = confirm, pivots
+    def __init__(self, filed: DataFrame, confirm, pivots: int = 3, meet=None):
+        self.confirm, self.pivots, self.meet = confirm, pivots, meet or self._every_pair
         shared = cut(filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
         self.filed = cut(filed.join(shared, "key"))
 
@@ -136,27 +231,31 @@ class HammingJoin:
             groups = cut(components(links))
         here = self._open(groups)
         if not here.isEmpty():
-            other = here.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-            pairs = here.join(other, "key").filter("id < id2 and c <> c2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-            fresh = self._fresh(pairs, tried)
+            fresh = self._fresh(self.meet(here), tried)
             if not fresh.isEmpty():
                 links = cut(links.unionByName(self.confirm(fresh)))
                 groups = cut(components(links))
         return groups
 
+    @staticmethod
+    def _every_pair(here: DataFrame) -> DataFrame:
+        other = here.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
+        return here.join(other, "key").filter("id < id2 and c <> c2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
     @staticmethod
     def _fresh(pairs: DataFrame, tried: DataFrame) -> DataFrame:
         return cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
 
 
 def near_duplicates(
-    df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+    df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 3,
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``kept``.
 
     Texts whose k-word shingle sets have 100 * intersection >= percent * union are linked. Equal word sequences are one
     class, found by hash, and only the smallest id of a class is searched for further links; so copies never become pairs.
-    The other classes are filed by the multi-index, compared as ``HammingJoin`` says, and confirmed on their full sets.
+    The other classes are filed by the multi-index, compared as ``HammingJoin`` says, and confirmed on their full sets; after
+    the pivot rounds, members of a bucket meet by blocks on longer signatures (``meetings``), and only close ones are confirmed.
 
     Null and empty texts and texts of white space have no shingles and link with nothing. Rows without an id are never linked
     (``component_id`` null, kept). Repeated rows come back as often as they came; an id with several texts takes the links
@@ -174,7 +273,12 @@ def near_duplicates(
         both = b.join(packed.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
         return both.select("a", "b", "wa", "wb").mapInArrow(_confirm(k, percent), "a long, b long")
 
-    join = HammingJoin(filed, confirm)
+    def meet(here: DataFrame) -> DataFrame:
+        open_ = packed.join(here.select("id").distinct(), "id", "left_semi")
+        sigs = cut(open_.distinct().mapInArrow(_fine_sketches(k), "id long, sig binary"))
+        return meetings(here, sigs, most_differences(percent, CHUNKS * WIDTH + FINE))
+
+    join = HammingJoin(filed, confirm, pivots, meet)
     needed = cut(join.members().select(F.col("id").alias("doc_id")))
     packed = cut(docs.filter("doc_id is not null").mapInArrow(_pack, "id long, words binary").join(needed.select(F.col("doc_id").alias("id")), "id", "left_semi"))
     groups = join.components()

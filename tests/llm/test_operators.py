@@ -175,6 +175,46 @@ def test_index_keys_meet_below_the_distance():
         assert set(keys[0]) & set(keys[1])
 
 
+def test_blocks_of_a_bucket_meet(spark, monkeypatch):
+    """A group of near copies that block meetings alone must link, against brute force."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(12)
+    base = words_of(rng, 150, 5000)
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(0, 14)):
+            w[at] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(5, "another text of the same id " + " ".join(words_of(rng, 60))), (200, None)]
+    sets = [(i, shingle_sets(t, 4)) for i, t in rows]
+    links = [(a, b) for a, s in sets for b, t in sets if a < b and s and t and 100 * len(s & t) >= 80 * len(s | t)]
+    root = roots({i for i, _ in rows}, links)
+    assert len(set(root.values())) > 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for pivots in (0, 3):
+        got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df, k=4, pivots=pivots).collect()}
+        assert got == set(root.items())
+
+
+def test_close_pairs_come_once():
+    rng = np.random.default_rng(3)
+    n = neardup.CHUNKS * neardup.WIDTH
+    coarse = np.repeat(rng.integers(0, 1 << 16, (1, n)), 30, axis=0)
+    hit = rng.random(coarse.shape) < 0.12
+    coarse[hit] = rng.integers(0, 1 << 16, hit.sum())
+    fine, c, rows = np.zeros((30, neardup.FINE), dtype=np.uint8), np.arange(30), np.arange(30)
+    found = []
+    for x, keys in enumerate(neardup.index_keys(coarse)):
+        for key in keys:
+            members = np.array([y for y in rows if y > x and key in neardup.index_keys(coarse[y:y + 1])[0]], dtype=np.int64)
+            if len(members):
+                a, b = neardup.close_pairs(int(key), coarse, fine, c, np.array([x]), members, 80)
+                found += list(zip(a.tolist(), b.tolist()))
+    want = [(x, y) for x in rows for y in rows if x < y and (coarse[x] != coarse[y]).sum() < 2 * neardup.CHUNKS]
+    assert sorted(found) == sorted(want) and len(want) > 100
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (9, 8), (8, 9), (7, 7), (3, 1), (20, None)] + [(100, i) for i in range(101, 140)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
