@@ -1,4 +1,4 @@
-"""Benchmark passages in documents, up to edits: CGK embedding, bit-sampling LSH over item-sized windows, exact verification."""
+"""Benchmark passages in documents, up to edits: shared untouched runs counted by diagonal (a filter without loss), exact verification."""
 
 from __future__ import annotations
 
@@ -14,12 +14,8 @@ from pyspark.sql import functions as F
 from panelcast.llm.shingles import P2, mixed
 
 WORDS = re.compile(r"\w+").findall
-LONGEST = 64  # words of a window; longer items are searched by consecutive windows
-GROWTH = 1.3  # item sizes are rounded down to powers of this
-TABLES, SAMPLED = 32, 3
-SEED = 8_011
 BLOCK_BYTES = 8_000_000  # of items that one pass holds and broadcasts
-STEP = 1_000_000  # windows walked at once
+STEP = 1_000_000  # shared runs held at once, or those of one document
 WORDS_KEPT = 1_000_000
 
 
@@ -52,40 +48,9 @@ def grams(h: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def window_sizes(n: int) -> int:
-    """The window size for an item of n words: the largest power of GROWTH (or 1..5) that is not larger."""
-    size = min(n, LONGEST)
-    if size <= 5:
-        return size
-    c = 5.0
-    while c * GROWTH <= size:
-        c *= GROWTH
-    return int(c)
-
-
-def cgk_keys(h: np.ndarray, starts: np.ndarray, size: int, tables: int = TABLES) -> np.ndarray:
-    """(tables, windows) keys of the windows of ``size`` words at ``starts`` of the padded word hashes ``h``.
-
-    The walk of Chakraborty, Goldenberg and Koucky: at step j it emits the word under it and moves on by a random bit of (j, word).
-    Windows a few edits apart fall into step again, so their emitted strings differ in few places. A table's key is a fixed
-    sample of the emitted places; two steps a word are walked, within which the walk stays inside the window.
-    """
-    rng = np.random.default_rng([SEED, size])
-    steps = max(1, 2 * size - 1)
-    sampled = [sorted(rng.choice(steps, min(SAMPLED, steps), replace=False)) for _ in range(tables)]
-    at: dict[int, list[int]] = {}
-    for t, places in enumerate(sampled):
-        for j in places:
-            at.setdefault(int(j), []).append(t)
-    coins = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    keys = np.tile(np.arange(1, tables + 1, dtype=np.uint64)[:, None] * P2, (1, len(starts)))
-    pos = starts.copy()
-    for j in range(steps):
-        w = h[pos]
-        for t in at.get(j, ()):
-            keys[t] = mixed(keys[t] ^ w)
-        pos += (mixed(w * coins[j]) >> np.uint64(63)).astype(np.int64)
-    return keys
+def least_shared(n: int, edits: int, q: int) -> int:
+    """Among n words with so many edits at least this many runs of q words are untouched: an edit touches q of them at most."""
+    return max(1, n - q + 1 - q * edits)
 
 
 def best_ends(item: np.ndarray, region: np.ndarray) -> np.ndarray:
@@ -101,71 +66,64 @@ def best_ends(item: np.ndarray, region: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The LSH tables of a block of items, and the untouched runs that lead to windows."""
+    """The runs of a block of items that lead to their passages, by hash: which item and where in it."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float):
         known = Hashes()
-        self.similarity = similarity
         self.items = [(i, known.of(t)) for i, t in items]
         self.edits = [allowed_edits(len(h), similarity) for _, h in self.items]
-        runs: dict[int, list[np.ndarray]] = {}
-        windows: dict[int, list[tuple[int, int]]] = {}
+        self.need = np.ones(len(self.items), dtype=np.int64)
+        runs: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, (_, h) in enumerate(self.items):
-            n = len(h)
-            if not n:
-                continue
-            size = window_sizes(n)
-            for off in [*range(0, n - size, size), n - size]:
-                windows.setdefault(size, []).append((k, off))
-            q = least_run(min(n, size), allowed_edits(min(n, size), similarity))
-            runs.setdefault(q, []).append(grams(h, q))
-        self.runs = {q: np.unique(np.concatenate(g)) for q, g in runs.items()}
+            if len(h):
+                q = least_run(len(h), self.edits[k])
+                self.need[k] = least_shared(len(h), self.edits[k], q)
+                runs.setdefault(q, []).append((grams(h, q), k))
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.bits = {}
-        for q, g in self.runs.items():
-            bits = np.zeros(1 << 22, dtype=bool)
-            bits[g & np.uint64((1 << 22) - 1)] = True
-            self.bits[q] = bits
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.probes: dict[int, np.ndarray] = {}
-        for size, probes in windows.items():
-            self.probes[size] = np.array(probes, dtype=np.int64)
-            flat = np.concatenate([np.concatenate([self.items[k][1][off:], np.zeros(2 * size, np.uint64)]) for k, off in probes])
-            lens = [len(self.items[k][1]) - off + 2 * size for k, off in probes]
-            starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-            keys = cgk_keys(flat, starts, size)
-            who = np.tile(np.arange(len(probes)), len(keys))
-            order = np.argsort(keys.ravel(), kind="stable")
-            self.tables[size] = (keys.ravel()[order], who[order])
+        for q, found in runs.items():
+            g = np.concatenate([g for g, _ in found])
+            who, at = np.repeat([k for _, k in found], [len(g) for g, _ in found]), np.concatenate([np.arange(len(g)) for g, _ in found])
+            order = np.argsort(g, kind="stable")
+            self.runs[q] = g[order], who[order], at[order]
+            self.bits[q] = np.zeros(1 << 22, dtype=bool)
+            self.bits[q][g & np.uint64((1 << 22) - 1)] = True
 
     def search(self, h: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, start, end, distance) of the passages found in documents that end at ``ends`` in ``h``."""
-        n, longest = len(h), max(self.tables, default=0)
-        if not n or not longest:
-            return []
-        active = np.zeros(n + 1, dtype=np.int32)
-        for q, runs in self.runs.items():
+        found: set[tuple[int, int, int]] = set()
+        for q, (runs, who, at) in self.runs.items():
             g = grams(h, q)
             hit = np.flatnonzero(self.bits[q][g & np.uint64((1 << 22) - 1)])
-            hit = hit[np.searchsorted(runs, g[hit], side="right") > np.searchsorted(runs, g[hit], side="left")]
-            np.add.at(active, np.maximum(hit - longest - longest // 4, 0), 1)  # edits may have made the stretch longer
-            np.add.at(active, hit + 1, -1)
-        starts = np.flatnonzero(np.cumsum(active[:-1]) > 0)
-        if not len(starts):
-            return []
-        padded = np.concatenate([h, np.zeros(2 * longest + 1, np.uint64)])
-        found: set[tuple[int, int, int]] = set()
-        for i in range(0, len(starts), STEP):
-            some = starts[i:i + STEP]
-            for size, (keys, who) in self.tables.items():
-                mine = cgk_keys(padded, some, size)
-                for row in mine:
-                    lo, hi = np.searchsorted(keys, row, side="left"), np.searchsorted(keys, row, side="right")
-                    for j in np.flatnonzero(hi > lo):
-                        for p in who[lo[j]:hi[j]]:
-                            k, off = self.probes[size][p]
-                            found.add((int(np.searchsorted(ends, some[j], side="right")), int(k), int(some[j] - off)))
+            lo, hi = np.searchsorted(runs, g[hit], side="left"), np.searchsorted(runs, g[hit], side="right")
+            hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            doc = np.searchsorted(ends, hit, side="right")
+            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[:len(doc)])
+            held = np.cumsum(n) - n
+            while len(first):  # whole documents, as many as STEP holds
+                a = first[0]
+                first = first[max(1, int(np.searchsorted(held[first], held[a] + STEP, side="right")) - 1):] if held[-1] + n[-1] > held[a] + STEP else first[:0]
+                some = slice(a, first[0] if len(first) else len(hit))
+                place = np.arange(n[some].sum()) + np.repeat(lo[some] - (held[some] - held[a]), n[some])
+                found |= self._met(np.repeat(doc[some], n[some]), who[place], np.repeat(hit[some], n[some]) - at[place])
         return self._verify(h, ends, found)
 
+    def _met(self, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> set[tuple[int, int, int]]:
+        """(document, item, start) of shared runs that enough others join: the runs of a passage shift by its edits at most."""
+        order = np.lexsort((start, item, doc))
+        doc, item, start = doc[order], item[order], start[order]
+        edits = np.array(self.edits)[item]
+        group = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
+        low = start.min()
+        line = group * (int(start.max() - low) + int(edits.max()) + 2) + (start - low)
+        until = np.searchsorted(line, line + edits, side="right")
+        enough = np.flatnonzero(until - np.arange(len(line)) >= self.need[item])
+        cover = np.zeros(len(line) + 1, dtype=np.int64)
+        np.add.at(cover, enough, 1)
+        np.add.at(cover, until[enough], -1)
+        met = np.cumsum(cover[:-1]) > 0
+        return set(zip(doc[met].tolist(), item[met].tolist(), start[met].tolist()))
+
     def _verify(self, h, ends, found) -> list[tuple[int, int, int, int, int]]:
         out = []
         regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -181,12 +139,16 @@ class Index:
         for (doc, k), spans in regions.items():
             item, first = self.items[k][1], int(ends[doc - 1]) if doc else 0
             for a, b in spans:
-                d = best_ends(item, h[a:b])
+                d, taken = best_ends(item, h[a:b]), [0]
                 while len(d) and (e := int(d.argmin())) >= 0 and d[e] <= self.edits[k] and e > 0:
-                    back = best_ends(item[::-1], h[a:a + e][::-1])
-                    start = a + e - int(np.flatnonzero(back == back.min())[0])
-                    out.append((doc, k, start - first, a + e - first, int(d[e])))
-                    d[max(0, start - a + 1):e + len(item)] = len(item) + 1  # what overlaps it is the same passage
+                    free = a + max(t for t in taken if t <= e)
+                    back = best_ends(item[::-1], h[free:a + e][::-1])
+                    d[e] = len(item) + 1
+                    if back.min() <= self.edits[k]:
+                        start = a + e - int(np.flatnonzero(back == back.min())[0])
+                        out.append((doc, k, start - first, a + e - first, int(back.min())))
+                        taken.append(e)
+                        d[max(0, start - a + 1):e + len(item) - self.edits[k]] = len(item) + 1  # what overlaps it is the same passage
         return out
 
 
@@ -196,8 +158,9 @@ def passages(
     """(``doc_id``, ``item_id``, ``start_word``, ``end_word``, ``distance``): stretches of a document within
     (1 - similarity) x words of the item of a benchmark item in word edits; of overlapping ones the closest.
 
-    Words are runs of letters and digits in lower case. An untouched run of words, which every such stretch must share with
-    its item, leads to windows (a filter without loss); the windows' CGK keys find items, and edit distance decides.
+    Words are runs of letters and digits in lower case. Every such stretch shares untouched runs of words with its item, a least
+    number of them (``least_shared``) at places that differ by the edits at most; where that many meet, edit distance decides.
+    So no stretch within the distance is missed, whatever its length and edits.
     Items are held in blocks of ``BLOCK_BYTES``, one pass over the documents for each: the item set is a stated query set,
     and neither driver nor broadcast holds more than a block. There is no exchange; a task holds one Arrow batch.
 

@@ -311,6 +311,49 @@ def test_decontamination(spark, corpus):
     assert decontaminate.passages(df.limit(0), bench).count() == 0 and decontaminate.passages(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_at_the_allowed_distance():
+    rng = random.Random(16)
+    items = [(n, [f"i{rng.randrange(10**9)}" for _ in range(n)]) for n in (1, 4, 5, 6, 9, 10, 15, 20, 29, 30, 40, 53, 55, 59, 64, 80, 130)]
+    index = decontaminate.Index([(n, " ".join(w)) for n, w in items], 0.8)
+    known, texts, want = decontaminate.Hashes(), [], []
+    for k, (n, item) in enumerate(items):
+        for kinds in ("s", "d", "i", "sdi"):
+            for spread in (False, True, True, True):
+                w, edits = list(item), decontaminate.allowed_edits(n, 0.8)
+                inner = list(range(1, n - 1))
+                where = [(i + 1) * n // (edits + 1) for i in range(edits)] if not spread else rng.sample(inner, edits)
+                for at in sorted(where, reverse=True):
+                    kind = rng.choice(kinds)
+                    w[at:at + (kind != "i")] = [] if kind == "d" else [f"new{rng.randrange(10**9)}"]
+                want.append((len(texts), k))
+                texts.append(" ".join(words_of(rng, 150) + w + words_of(rng, rng.randrange(90))))
+    hashes = [known.of(t) for t in texts]
+    got = index.search(np.concatenate(hashes), np.cumsum([len(h) for h in hashes]))
+    assert sorted({(d, k) for d, k, *_ in got}) == want
+    assert all(0 <= x <= index.edits[k] for _, k, _, _, x in got)
+
+
+def test_decontamination_of_adjacent_copies():
+    rng = random.Random(18)
+    item = words_of(rng, 40)
+    h = decontaminate.Hashes().of(" ".join(item + item[:15] + item[18:] + item))
+    index = decontaminate.Index([(1, " ".join(item))], 0.8)
+    assert sorted(index.search(h, np.array([len(h)]))) == [(0, 0, 0, 40, 0), (0, 0, 40, 77, 3), (0, 0, 77, 117, 0)]
+
+
+def test_decontamination_in_small_steps(monkeypatch):
+    rng = random.Random(17)
+    item = words_of(rng, 40)
+    index = decontaminate.Index([(1, " ".join(item)), (2, " ".join(item))], 0.8)
+    hashes = [decontaminate.Hashes().of(" ".join(words_of(rng, i % 7) + (item if i % 3 else []))) for i in range(40)]
+    args = np.concatenate(hashes), np.cumsum([len(h) for h in hashes])
+    want = index.search(*args)
+    assert {d for d, *_ in want} == {i for i in range(40) if i % 3} and len(want) == 2 * len({d for d, *_ in want})
+    for step in (1, 100, 1000):
+        monkeypatch.setattr(decontaminate, "STEP", step)
+        assert index.search(*args) == want
+
+
 def test_vectors_as_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = []
