@@ -368,6 +368,41 @@ def test_vectors_as_brute_force(spark):
     assert got == sorted([(i, sum(i in ab for ab in links), root[i], i is None or root[i] == i) for i, _, _ in rows], key=str)
 
 
+def alike(rng, n, pairs, typical, dim=64, least=0.935):
+    """Unit vectors of one label with this typical cosine, and pairs of them just over the threshold."""
+    common = np.eye(dim)[0] * np.sqrt(typical)
+    m = rng.standard_normal((n, dim))
+    m[:, 0] = 0
+    m = m / np.linalg.norm(m, axis=1)[:, None] * np.sqrt(1 - typical) + common
+    off = rng.standard_normal((pairs, dim))
+    off -= (off * m[:pairs]).sum(axis=1)[:, None] * m[:pairs]
+    return np.vstack([m, m[:pairs] * least + off / np.linalg.norm(off, axis=1)[:, None] * np.sqrt(1 - least**2)])
+
+
+def test_links_of_a_label_of_alike_vectors(spark, monkeypatch):
+    n, pairs = 9000, 300
+    m = alike(np.random.default_rng(21), n, pairs, 0.75)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    close = [(a + i, b) for a in range(0, n + pairs, 1000) for i, b in zip(*np.nonzero(m[a:a + 1000] @ m.T >= 0.93)) if a + i < b]
+    root = roots(range(n + pairs), [(int(a), int(b)) for a, b in close])
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>, label long")
+    got = vectors.near_duplicates(df).collect()
+    assert {r.vec_id: r.component_id for r in got} == root and sum(r.n_links for r in got) == 2 * len(close) >= 2 * pairs
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 3)  # so that passes are fewer than blocks
+    if_large = vectors.near_duplicates(df, whole=1000).collect()
+    assert sum(r.n_links for r in if_large) >= 0.99 * 2 * len(close)
+
+
+def test_passes_grow_with_rows_and_similarity():
+    rng = np.random.default_rng(22)
+    plans = {}
+    for typical in (0.0, 0.5, 0.75):
+        m = alike(rng, 512, 0, typical)
+        plans[typical] = [vectors.passes_for(m, m.mean(axis=0), n, 32, 0.93, 0.999) for n in (20_000, 400_000)]
+        assert plans[typical][0] < plans[typical][1]
+    assert 24 < plans[0.0][1] < plans[0.5][1] < plans[0.75][1] < vectors.MOST_PASSES
+
+
 def test_quality_learns_and_keeps_rows(spark):
     rng = random.Random(9)
     rows = [(i, " ".join((f"good{rng.randrange(30)}" if i % 2 else f"BAD{rng.randrange(30)}!!") for _ in range(30)), 0, None) for i in range(300)]
