@@ -98,7 +98,7 @@ class Words:
         return out
 
 
-def _units(k: int, bands: int, rows: int, least_words: int):
+def _units(k: int, bands: int, rows: int, least_line: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(row, ids, texts) -> Iterator[pa.RecordBatch]:
             w = Words(texts)
@@ -108,7 +108,7 @@ def _units(k: int, bands: int, rows: int, least_words: int):
                 one, two = w.names(starts)
                 ends = np.append(starts[1:], len(w.hash))
                 if kind == PARAGRAPH:
-                    long = ends - starts >= max(least_words, k)
+                    long = ends - starts >= max(least_line, k)
                     starts, ends, one, two = starts[long], ends[long], one[long], two[long]
                     if not len(starts):
                         continue
@@ -145,7 +145,7 @@ def _file(bands: int):
     return run
 
 
-def _pack(least_words: int):
+def _pack(least_line: int):
     """The words of each paragraph that is long enough, compressed, by the two hashes that name it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
@@ -158,25 +158,25 @@ def _pack(least_words: int):
                 starts = w.line_starts()
                 ends = np.append(starts[1:], len(w.hash))
                 one, two = w.names(starts)
-                long = np.flatnonzero(ends - starts >= least_words)
+                long = np.flatnonzero(ends - starts >= least_line)
                 packed = [press(b" ".join(text[w.start[starts[i]]:w.end[ends[i] - 1]].translate(LOWER).split())) for i in long]
                 yield pa.RecordBatch.from_arrays([pa.array(one[long]), pa.array(two[long]), pa.array(packed, pa.binary())], ["one", "two", "words"])
     return run
 
 
 def repeats(
-    df: DataFrame, k: int = 5, percent: int = 80, least_words: int = 20, least_recall: float = 0.999,
+    df: DataFrame, k: int = 5, percent: int = 80, least_words: int = 20, least_line: int = 5, least_recall: float = 0.999,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(``doc_id``, ``start``, ``end``, ``n_words``, ``kept_doc_id``, ``kept_start``, ``kept_doc_ids``): stretches to remove from
     each document, in bytes of its UTF-8 text, ends exclusive, where the copy of its beginning stays, and all documents that
     keep a copy of some part.
 
-    Paragraphs are lines of ``least_words`` words or more. Those that collide in a band (``tune``) are compared: sets of k-word
+    Paragraphs are lines of ``least_line`` words (and ``k``) or more. Those that collide in a band (``tune``) are compared: sets of k-word
     shingles with 100 * intersection >= percent * union are linked, and of each component the first paragraph (by document and
     place) stays. Repeats may begin or end inside a line; so lines are also cut into passages at places that depend on the
     words around them only, and of equal passages the first stays. What goes is joined into stretches; stretches of fewer than
-    ``least_words`` words stay, as common phrases and short lines do.
+    ``least_words`` words without a whole paragraph stay, as common phrases and lines of a few words do.
 
     Equal paragraphs are one class, found by a 128-bit hash with map-side aggregation; only one of each class is searched. Pairs of
     a bucket are never written out whole (``HammingJoin``). Null and empty texts hold no paragraph; rows without an id are left
@@ -186,7 +186,7 @@ def repeats(
     bands, rows = tune(percent / 100, least_recall)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     schema = "kind int, one long, two long, row long, doc_id long, word int, words int, start long, end long, bands binary"
-    units = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_units(k, bands, rows, least_words), schema))
+    units = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_units(k, bands, rows, least_line), schema))
     name = ["one", "two"]
     place = F.struct("doc_id", "row", "start")
 
@@ -203,7 +203,7 @@ def repeats(
 
     join = HammingJoin(first.select("id", "bands").mapInArrow(_file(bands), "key long, id long"), confirm)
     needed = cut(first.select("id", *name).join(join.members(), "id", "left_semi"))
-    texts = docs.select("text").mapInArrow(_pack(least_words), "one long, two long, words binary")
+    texts = docs.select("text").mapInArrow(_pack(least_line), "one long, two long, words binary")
     packed = cut(texts.join(needed, name).groupBy("id").agg(F.first("words").alias("words")))
     groups = join.components()
 
@@ -220,6 +220,7 @@ def repeats(
     runs = goes.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(whole)).groupBy("row", "run").agg(
         F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
         (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("long").alias("n_words"), F.min(F.struct("word", "kept")).alias("head"),
+        F.max(F.col("kind") == PARAGRAPH).alias("whole_line"),
         F.sort_array(F.collect_set("kept.doc_id")).alias("kept_doc_ids"))
-    return runs.filter(F.col("n_words") >= least_words).select(
+    return runs.filter((F.col("n_words") >= least_words) | F.col("whole_line")).select(
         "doc_id", "start", "end", "n_words", F.col("head.kept.doc_id").alias("kept_doc_id"), F.col("head.kept.start").alias("kept_start"), "kept_doc_ids")

@@ -245,6 +245,18 @@ def test_paragraphs(spark, corpus):
     assert paragraphs.repeats(df.limit(0)).count() == 0
 
 
+def test_short_lines_that_repeat(spark):
+    rng = random.Random(23)
+    nine, near, four = words_of(rng, 9), words_of(rng, 19), "only four words here"
+    changed = ["other"] + near[1:]
+    rows = [(i, "\n".join([four, " ".join(words_of(rng, 30, 10**6)), " ".join(line), " ".join(words_of(rng, 30, 10**6))]))
+            for i, line in enumerate([nine, near, nine, changed, nine])]
+    got = {r.doc_id: r for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cut_out = {i: rows[i][1].encode()[r.start:r.end].decode() for i, r in got.items()}
+    assert cut_out == {2: " ".join(nine), 3: " ".join(changed), 4: " ".join(nine)}
+    assert {i: r.kept_doc_id for i, r in got.items()} == {2: 0, 3: 1, 4: 0} and {r.n_words for r in got.values()} == {9, 19}
+
+
 def test_banding_is_tuned_to_the_recall():
     bands, rows = paragraphs.tune(0.8, 0.999, 8)
     assert paragraphs.recall(0.8, bands, rows) >= 0.999 > paragraphs.recall(0.8, bands, rows + 1)
