@@ -278,6 +278,60 @@ def _(spark, d):
     return L.lags_beat_weather(s).select("baseline", *rounded("ss_mean", "ss_std", "ss_excl"), "lags_beat_weather")
 
 
+def six_metrics(spark, d):
+    """Lead metrics on validation of the four closed-form baselines and of both ridges, out of fold, at every lead."""
+    rows = stored_rows(spark, d)
+    keys = ("baseline", "series_id", "lead")
+    metrics = ev.lead_metrics(B.by_baseline(B.forecast_rows(rows.filter("is_anchor")).filter("split = 'val'")), keys)
+    x = indexed_windows(rows)
+    for name, fs in (("ar_ridge", AR_RIDGE_FEATURES), ("weather_ridge", WEATHER_RIDGE_FEATURES)):
+        preds = RG.long_predictions(RG.predict(x, RG.fit(x, fs)).filter("split = 'val'"), "series_id", "fire_active")
+        metrics = metrics.unionByName(ev.lead_metrics(preds.withColumn("baseline", F.lit(name)), keys))
+    return cut(metrics)
+
+
+def _lead():
+    return F.col("lead").cast("long").alias("lead")
+
+
+@query("lead_metrics_of_six", "A5")
+def _(spark, d):
+    return six_metrics(spark, d).select("baseline", "series_id", _lead(), "n_all", "n_fire", *rounded("mae_all", "mae_fire"),
+                                        F.when(F.col("lead").isin(6, 12), rd("rmse")).alias("rmse"))
+
+
+@query("lead_metrics_summary_of_six", "A6")
+def _(spark, d):
+    s = ev.cross_event_by_lead(six_metrics(spark, d), ("baseline", "lead"))
+    return s.select("baseline", _lead(), *rounded("mae_all_mean", "mae_all_std", "mae_fire_mean", "mae_fire_std"))
+
+
+@query("skill_curve_of_six", "A8")
+def _(spark, d):
+    return ev.skill_curve(six_metrics(spark, d)).select("baseline", _lead(), *rounded("ss"))
+
+
+@query("paper_table_of_six", "L3")
+def _(spark, d):
+    m = six_metrics(spark, d)
+    t = L.paper_table(ev.cross_event_by_lead(m, ("baseline", "lead")), ev.baseline_skill(m, exclude=[11]))
+    return t.select("baseline", *rounded(*[c for c in t.columns if c != "baseline"]))
+
+
+@query("best_of_six", "L5")
+def _(spark, d):
+    m = six_metrics(spark, d)
+    b = L.best_baseline(ev.cross_event_by_lead(m, ("baseline", "lead")), m, 11)
+    return b.select("baseline", _lead(), *rounded("series_mae", "others_mae"))
+
+
+@query("sanity_of_six", "C9")
+def _(spark, d):
+    w = windows(spark, d).filter("split = 'val'")
+    s = R.baseline_sanity(ev.cross_event_by_lead(six_metrics(spark, d), ("baseline", "lead")), w)
+    return s.select("lowest_at_t1", "persistence_lowest", *rounded("mean_fire_value"), "n_all", "n_fire")
+
+
 @query("model_scoring", "B9", sql("anc", f"""
 SELECT series_id, slot_utc, {rc('pers * (1 - 1 / 24.0::DOUBLE)', 'p1')}, {rc('pers * 0.5', 'p12')} FROM anc"""))
 def _(spark, d):

@@ -71,3 +71,15 @@ def test_every_inventory_item_has_a_query():
     want += [f"Q{i}" for i in range(1, 5)] + [f"C{i}" for i in range(1, 11)] + [f"L{i}" for i in range(1, 6)]
     have = {c for q in entry.REGISTRY.values() for c in q.covers}
     assert sorted(set(want) - have) == []
+
+
+def test_metrics_of_six_baselines(spark):
+    d = "/root/testdata/sf0.001"
+    run = lambda name: entry.REGISTRY[name].run(spark, d).collect()
+    four, six = run("lead_metrics_summary"), run("lead_metrics_summary_of_six")
+    names = {r.baseline for r in four}
+    assert {r.baseline for r in six} == names | {"ar_ridge", "weather_ridge"} and len(six) == 6 * 12
+    assert sorted((r for r in six if r.baseline in names), key=str) == sorted(four, key=str)
+    assert {r.baseline for r in run("paper_table_of_six")} == names | {"ar_ridge", "weather_ridge"}
+    least = min((r for r in six if r.lead == 6 and r.mae_fire_mean is not None), key=lambda r: (r.mae_fire_mean, r.baseline))
+    assert {r.baseline for r in run("best_of_six")} == {least.baseline}
