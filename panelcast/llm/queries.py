@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, chat, decontaminate, neardup, oracles, paragraphs, quality, secrets, sharding, substrings, vectors
+from panelcast.llm import bpe, chat, decontaminate, neardup, oracles, paragraphs, quality, runs, secrets, sharding, substrings, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("op10_quality")
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("seed", F.crc32(F.col("doc_id").cast("string")))
+    return runs.digest(runs.periodic_runs(docs, least=12, times=2, seed_col="seed", texts=False))
