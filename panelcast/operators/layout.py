@@ -16,8 +16,12 @@ from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelcast.session import cut
 
 SERIES_ROW_LIMIT = 1_000_000
+RANGE_ROWS = 500_000  # of a value range that one task orders
 
 
 @dataclass(frozen=True)
@@ -142,20 +146,40 @@ def dense_number(df: DataFrame, keys: list[str], chunk: Column, order: list, nam
     )
 
 
-def hash_chunk(key: str) -> Column:
-    """A coarse, monotone part of the md5 order of a key: 4096 even chunks."""
-    return F.substring(F.md5(F.col(key).cast("string")), 1, 3)
-
-
 def hash_order(key: str) -> Column:
     return F.md5(F.col(key).cast("string"))
 
 
-def splitters(df: DataFrame, value: str, parts: int = 256) -> list[float]:
-    """At most ``parts - 1`` values that cut the rows into even value ranges."""
-    probs = [i / parts for i in range(1, parts)]
-    got = df.select(F.percentile_approx(F.col(value).cast("double"), probs, parts * 20)).first()[0]
-    return sorted({x for x in got or [] if isfinite(x)})
+def order_value(df: DataFrame, key: str, hashed: bool | None = None) -> tuple[Column, Column]:
+    """The order of a key, and a double that never falls along it: numbers in their own order, text (or any key with
+    ``hashed``) by its md5."""
+    if isinstance(df.schema[key].dataType, T.StringType) if hashed is None else hashed:
+        return hash_order(key), F.conv(F.substring(hash_order(key), 1, 13), 16, 10).cast("double")
+    return F.col(key), F.col(key).cast("double")
+
+
+def splitters(df: DataFrame, value: str, parts: int | None = None, share: int = RANGE_ROWS) -> list[float]:
+    """Values that cut the rows into even ranges: at least as many as shuffle partitions, and so many that a range
+    has ``share`` rows at most (and a tenth more; equal values always fall together).
+
+    The quantile sketch is off by a twentieth of a range; if the count that comes with it says that the ranges are
+    too few for the rows, it is asked again for as many as are needed.
+    """
+    parts = parts or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    while True:
+        probs = [i / parts for i in range(1, parts)]
+        v = F.col(value).cast("double")
+        n, got = df.select(F.count(v), F.percentile_approx(v, probs, parts * 20)).first()
+        if n <= parts * share:
+            return sorted({x for x in got or [] if isfinite(x)})
+        parts = -(-n // share)
+
+
+def hash_number(df: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
+    """Gap-free numbers of all rows in md5 order of a key, by even ranges of it."""
+    order, coarse = order_value(df, key, hashed=True)
+    rows = cut(df.withColumn("_v", coarse))
+    return dense_number(value_range(rows, "_v", splitters(rows, "_v"), "_r"), [], F.col("_r"), [order], name, start).drop("_v", "_r")
 
 
 def value_range(df: DataFrame, value: str, splits: list[float], name: str) -> DataFrame:
@@ -193,7 +217,7 @@ def cumulative_cells(df: DataFrame, keys: list[str], value: str, splits: list[fl
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    parts: int = 256, splits: list[float] | None = None) -> DataFrame:
+                    parts: int | None = None, splits: list[float] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per key; no task holds a whole key.
 
     ``probs`` maps output column to probability.  Only the value ranges that hold

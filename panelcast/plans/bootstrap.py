@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.layout import dense_number, exact_quantiles, hash_chunk, hash_order
+from panelcast.operators.layout import exact_quantiles, hash_number
 from panelcast.session import cut
 
 
-
 def md5_int(*parts) -> F.Column:
     """A 60-bit integer from the text of its parts; the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p for p in parts])), 1, 15), 16, 10).cast("long")
@@ -18,7 +17,7 @@ def md5_int(*parts) -> F.Column:
 def indexed(per_event: DataFrame, value: str = "ss") -> DataFrame:
     """(idx, value), idx from 0 in md5 order of the series."""
     rows = per_event.filter(F.col(value).isNotNull()).select("series_id", F.col(value).alias("value"))
-    return dense_number(rows, [], hash_chunk("series_id"), [hash_order("series_id")], "idx", 0).select("idx", "value")
+    return hash_number(rows, "series_id", "idx").select("idx", "value")
 
 
 def resample_means(values: DataFrame, n: int, n_boot: int = 10_000, seed: int = 42, method: str = "draws") -> DataFrame:

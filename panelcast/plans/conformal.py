@@ -4,7 +4,8 @@ The leave-one-series-out form asks, for every series, for an order statistic of
 all *other* series' scores.  Instead of pairing every series with every score,
 scores are ranked once.  For one series let C(v) and c(v) count all and own
 scores up to v; its own scores that precede the k-th other score are those with
-C(v) - c(v) < k.  With j of them, the k-th other score is number k + j overall.
+C(v) - c(v) < k.  With j of them, the k-th other score is number k + j overall,
+and positions are looked up in blocks that hold an even share of them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import floor0
-from panelcast.operators.layout import cumulative_cells, exact_quantiles, splitters
+from panelcast.operators.layout import RANGE_ROWS, cumulative_cells, exact_quantiles, splitters
 from panelcast.plans.evaluation import with_mean_rows
 from panelcast.schema import CONFORMAL_LEVELS
 from panelcast.session import cut
@@ -46,13 +47,39 @@ def split_quantiles(scores: DataFrame, by: list[str], levels=CONFORMAL_LEVELS, s
         F.max("total").alias("n_cal"))
 
 
-def leave_one_out_quantiles(scores: DataFrame, levels=CONFORMAL_LEVELS, splits=None) -> DataFrame:
-    """Per series and level: the conformal quantile of all other series' scores."""
-    if splits is None:
-        splits = splitters(scores, "score")
-    own = cumulative_cells(scores, ["series_id"], "score", splits)
-    everyone = cumulative_cells(scores, [], "score", splits)
-
+def placed_lookups(cells: DataFrame, asked: DataFrame) -> DataFrame:
+    """Lookups and the cells they need, in groups of bounded size.
+
+    ``cells`` (distinct scores with ``below``, ``n`` and ``total``) cover the positions 1..total; ``asked`` rows have a ``pos``.
+    Positions are cut into even blocks, and a cell goes to every block it reaches into, so a block has no more cells than
+    positions. Lookups may crowd on few positions: they are counted per block, and a block with more of them than its
+    share is dealt out several times. No group has more than a block's share of lookups (by hash, a fifth of leeway) or cells.
+    """
+    total = cells.agg(F.max("total")).first()[0] or 1
+    blocks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
+    share = -(-total // blocks)
+    block = lambda p: F.floor((p - 1) / share)
+    asked = asked.withColumns({"_block": block(F.col("pos")), "_kind": F.lit(0), "q": F.lit(None).cast("double")})
+    loads = asked.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / (0.8 * share)).alias("_copies"))
+    loads = F.broadcast(loads)  # a row for each block: as many as there are partitions
+    lookups = asked.join(loads, "_block").withColumn("_copy", F.pmod(F.xxhash64("series_id", "level"), F.col("_copies")))
+    end = F.col("below") + F.col("n")
+    reached = cells.withColumn("_block", F.explode(F.sequence(block(F.col("below") + 1), block(end))))
+    reached = reached.join(loads, "_block").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    known = reached.select("_block", "_copy", end.alias("pos"), F.lit(1).alias("_kind"), F.col("score").alias("q"))
+    return lookups.drop("_copies").unionByName(known, allowMissingColumns=True)
+
+
+def scores_at(cells: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` with ``q``, the score at each ``pos``: that of the first cell which ends there or later."""
+    down = Window.partitionBy("_block", "_copy").orderBy(F.desc("pos"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed_lookups(cells, asked).withColumn("q", F.last("q", ignorenulls=True).over(down))
+    return rows.filter("_kind = 0").drop("_block", "_copy", "_kind")
+
+
+def asked_positions(scores: DataFrame, everyone: DataFrame, levels=CONFORMAL_LEVELS, splits=None) -> DataFrame:
+    """Per series and level: how many other scores there are, and the position of the wanted one among all (null beyond them)."""
+    own = cumulative_cells(scores, ["series_id"], "score", splits or [])
     both = own.join(
         everyone.select("score", (F.col("below") + F.col("n")).alias("_C"), F.col("total").alias("_N")), "score")
     both = both.withColumn("level", _levels(levels))
@@ -61,26 +88,15 @@ def leave_one_out_quantiles(scores: DataFrame, levels=CONFORMAL_LEVELS, splits=N
     preceding = F.when(F.col("_C") - F.col("below") - F.col("n") < k, F.col("n")).otherwise(0)
     asked = both.groupBy("series_id", "level").agg(
         F.max(n_cal).alias("n_cal"), F.max(k).alias("_k"), F.sum(preceding).alias("_j"))
-    asked = asked.withColumn("pos", F.when(F.col("_k") <= F.col("n_cal"), F.col("_k") + F.col("_j")))
-
-    # Position -> score.  The value ranges (a few hundred) say where to look, then
-    # positions and cells of one range meet in one ordered pass.
-    ends = everyone.groupBy("_range").agg(F.max(F.col("below") + F.col("n")).alias("end"))
-    ends = ends.agg(F.array_sort(F.collect_list(F.struct("end", "_range"))).alias("e"))
-    asked = asked.withColumn("_ends", ends.select("e").scalar())
-    at = F.element_at(F.filter("_ends", lambda x: x["end"] >= F.col("pos")), 1)["_range"]
-    lookups = asked.filter("pos is not null").select(
-        at.alias("_range"), "pos", F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("q"),
-        "series_id", "level", "n_cal")
-    known = everyone.select(
-        "_range", (F.col("below") + F.col("n")).alias("pos"), F.lit(1).alias("_kind"), F.col("score").alias("q"))
-    down = Window.partitionBy("_range").orderBy(F.desc("pos"), F.desc("_kind")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    found = (
-        lookups.unionByName(known, allowMissingColumns=True)
-        .withColumn("q", F.last("q", ignorenulls=True).over(down))
-        .filter("_kind = 0").select("series_id", "level", "n_cal", "q")
-    )
+    return asked.select("series_id", "level", "n_cal", F.when(F.col("_k") <= F.col("n_cal"), F.col("_k") + F.col("_j")).alias("pos"))
+
+
+def leave_one_out_quantiles(scores: DataFrame, levels=CONFORMAL_LEVELS, splits=None) -> DataFrame:
+    """Per series and level: the conformal quantile of all other series' scores."""
+    splits = splitters(scores, "score") if splits is None else splits
+    everyone = cut(cumulative_cells(scores, [], "score", splits))
+    asked = cut(asked_positions(scores, everyone, levels, splits))
+    found = scores_at(everyone, asked.filter("pos is not null")).select("series_id", "level", "n_cal", "q")
     beyond = asked.filter("pos is null").select("series_id", "level", "n_cal", F.lit(INF).alias("q"))
     return found.unionByName(beyond)
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from panelcast.operators.layout import dense_number, hash_chunk, hash_order
+from panelcast.operators.layout import dense_number, order_value, splitters, value_range
 from panelcast.schema import SPLITS
+from panelcast.session import cut
 
 MANIFEST = ("sample_idx", "series_id", "split", "input_start_utc", "target_end_utc", "target_mean_frp", "target_max_frp")
-SERIES_PER_CHUNK = 4096
 
 
 def split_rank():
@@ -20,23 +19,22 @@ def split_rank():
     return out
 
 
-def series_offsets(windows: DataFrame, order: str = "series_id") -> DataFrame:
-    """Windows before each series, in split order and then by ``order``.
+def series_offsets(windows: DataFrame, order: str = "series_id", splits: list[float] | None = None) -> DataFrame:
+    """Windows before each series, in split order and then by ``order`` (text by its md5).
 
-    Counts are added up per chunk of series first, so the only ordered pass over
-    everything has one row per chunk.  Numbers keep their order, 4096 series to a
-    chunk; text has no even cut that keeps its order, so it goes by its md5.
+    Prefix sums on two levels: series fall into even ranges of their order (``splitters``), each (split, range) is summed
+    on its own, and gets the total of those before it. The only ordered pass over everything has one row per split and range.
     """
-    text = isinstance(windows.schema[order].dataType, T.StringType)
-    chunk, inner = (hash_chunk(order), hash_order(order)) if text else (F.floor(F.col(order) / SERIES_PER_CHUNK), F.col(order))
     counts = windows.groupBy("split", "series_id", *([order] if order != "series_id" else [])).agg(
         F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumns({"_s": split_rank(), "_c": chunk})
-    chunks = counts.groupBy("_s", "_c").agg(F.sum("_n").alias("_m"))
+    inner, coarse = order_value(counts, order)
+    counts = cut(counts.withColumns({"_s": split_rank(), "_v": coarse}))
+    ranged = value_range(counts, "_v", splitters(counts, "_v") if splits is None else splits, "_c")
+    ranges = ranged.groupBy("_s", "_c").agg(F.sum("_n").alias("_m"))
     earlier = Window.orderBy("_s", "_c").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select("_s", "_c", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"))
+    ranges = ranges.select("_s", "_c", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_s", "_c").orderBy(inner).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.join(chunks, ["_s", "_c"]).select(
+    return ranged.join(ranges, ["_s", "_c"]).select(
         "series_id", "split", (F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_offset"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.layout import dense_number, hash_chunk, hash_order
+from panelcast.operators.layout import dense_number, hash_number
 from panelcast.plans.bootstrap import md5_int
 from panelcast.session import cut
 
@@ -42,7 +42,7 @@ def event_balanced_batches(windows: DataFrame, events_per_batch: int = 8, sample
     month = F.datediff(F.col("slot_utc").cast("date"), F.lit("1970-01-01").cast("date"))
     pool = cut(dense_number(pool, ["series_id"], F.floor(month / 28), ["slot_utc"], "pick", 0))
     sizes = pool.groupBy("series_id").agg(F.count(F.lit(1)).alias("pool_size"))
-    sizes = cut(dense_number(sizes, [], hash_chunk("series_id"), [hash_order("series_id")], "series_no", 0))
+    sizes = cut(hash_number(sizes, "series_id", "series_no"))
     n, total = sizes.agg(F.count(F.lit(1)), F.sum("pool_size")).first()
     if not n:
         return spark.createDataFrame([], StructType(windows.select("series_id", "slot_utc").schema.fields)).withColumn("batch", F.lit(0).cast("long"))

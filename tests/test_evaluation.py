@@ -179,3 +179,50 @@ def test_climatology_falls_back_to_the_overall_mean(spark):
     empty = B.hourly_climatology(spark.createDataFrame(pdf).filter("y < 0"))
     assert {r.diurnal_climatology for r in empty.collect()} == {0.0}
     assert long_form is not None
+
+
+def test_leave_one_out_lookups_spread_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from panelcast.operators.layout import cumulative_cells, splitters
+    from panelcast.plans import conformal as U
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"series_id": np.repeat(np.arange(20_000), 5), "score": np.round(rng.gamma(1.0, 1.0, 100_000), 3)})
+    scores = spark.createDataFrame(pdf).cache()
+    everyone = cumulative_cells(scores, [], "score", splitters(scores, "score")).cache()
+    asked = U.asked_positions(scores, everyone, splits=splitters(scores, "score"))
+    groups = U.placed_lookups(everyone, asked.filter("pos is not null")).groupBy("_block", "_copy").agg(
+        F.count_if(F.col("_kind") == 0).alias("lookups"), F.count_if(F.col("_kind") == 1).alias("cells"))
+    most = groups.agg(F.max("lookups"), F.max("cells"), F.sum("lookups")).first()
+    share = -(-100_000 // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert most[0] <= share and most[1] <= share + 1 and most[2] == 60_000
+    got = U.leave_one_out_quantiles(scores).filter("series_id % 2500 = 0").toPandas()
+    assert len(got) == 24
+    for r in got.itertuples():
+        other = np.sort(pdf.score[pdf.series_id != r.series_id].to_numpy())
+        assert r.q == other[int(np.ceil((len(other) + 1) * r.level)) - 1] and r.n_cal == len(other)
+    scores.unpersist(), everyone.unpersist()
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_window_numbers_of_sparse_ids_meet_in_even_ranges(spark, text):
+    from pyspark.sql import functions as F
+
+    from panelcast.operators import layout as lay
+    from panelcast.plans import manifest as M
+
+    rng = np.random.default_rng(4)
+    ids = rng.integers(-(1 << 62), 1 << 62, 6_000)
+    pdf = pd.DataFrame({"series_id": ids, "n": rng.integers(1, 6, 6_000), "split": rng.choice(["train", "val", "test"], 6_000, p=[0.8, 0.1, 0.1])})
+    df = spark.createDataFrame(pdf).withColumn("slot_utc", F.explode(F.expr("sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-01' + make_dt_interval(0, int(n) - 1), interval 1 hour)")))
+    df = df.withColumn("series_id", F.concat(F.lit("s"), F.col("series_id").cast("string"))) if text else df
+    _, coarse = lay.order_value(df, "series_id")
+    held = lay.value_range(df.select("series_id", "split", coarse.alias("v")).distinct(), "v", lay.splitters(df.select("series_id", coarse.alias("v")).distinct(), "v"), "c")
+    sizes = held.groupBy("c").count().toPandas()["count"]
+    assert len(sizes) >= 8 and sizes.max() <= 2 * sizes.mean()
+    got = M.with_sample_index(df, "series_id").toPandas()
+    got["key"] = [__import__("hashlib").md5(s.encode()).hexdigest() for s in got.series_id] if text else got.series_id
+    got["rank"] = got.split.map({"train": 0, "val": 1, "test": 2})
+    got = got.sort_values(["rank", "key", "slot_utc"])
+    assert got.sample_idx.tolist() == list(range(len(got)))
