@@ -64,7 +64,7 @@ def window_statistics(weighted: DataFrame, by: list[str], features) -> DataFrame
 
 
 def wind_statistics(panel: DataFrame, layout: Layout | None = None, split: str = "train",
-                    rows: int = 12, lookback: int = LOOKBACK) -> DataFrame:
+                    rows: int = 12, lookback: int = LOOKBACK, features=FEATURES) -> DataFrame:
     """Statistics of the wind features over every step of every training window.
 
     Inside a window the trailing frames stop at its first step, so the first
@@ -72,7 +72,7 @@ def wind_statistics(panel: DataFrame, layout: Layout | None = None, split: str =
     value per distinct frame length with the number of windows that use it.
     """
     pw = open_panel(panel, layout)
-    df = add_windows(add_features(pw), pw, lookback=lookback)
+    df = add_windows(add_features(pw), pw, features, lookback)
     w, anchor = pw.w, F.col("is_anchor").cast("long")
     entries = []
     for step in range(rows):

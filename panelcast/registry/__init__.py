@@ -5,5 +5,6 @@ from panelcast.registry import (  # noqa: F401
     evaluation_queries,
     feature_queries,
     report_queries,
+    store_queries,
 )
 from panelcast.registry.base import REGISTRY  # noqa: F401

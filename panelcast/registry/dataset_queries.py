@@ -83,15 +83,6 @@ def _(spark, d):
     return N.wind_statistics(src.panel(spark, d, lay), lay).select("feature", *rounded("mean", "std"))
 
 
-@query("train_feature_statistics", "A12", sql("wcell", "\nUNION ALL ".join(
-    f"SELECT '{f}' AS feature, {rc(f'avg({f})', 'mean')}, {rc(f'stddev_pop({f})', 'std')}, "
-    f"(SELECT {r(f'min({f})')} FROM feat WHERE split = 'train') AS lo, (SELECT {r(f'max({f})')} FROM feat WHERE split = 'train') AS hi "
-    "FROM wcell WHERE asplit = 'train'" for f in FEATURES)))
-def _(spark, d):
-    s = N.window_statistics(weighted(spark, d, False).filter("split = 'train'"), [], FEATURES)
-    return s.select("feature", *rounded("mean", "std", "lo", "hi"))
-
-
 # ----------------------------------------------------------------- manifest and store
 
 register_table("man", "anc", """
@@ -114,28 +105,6 @@ def _(spark, d):
         "sample_idx", "series_id", "split", "input_start_utc", "target_end_utc", *rounded("target_mean_frp", "target_max_frp"))
 
 
-@query("sample_store", "IO4 IO6", sql("wcell", f"""
-SELECT CAST(w.series_id AS BIGINT) AS series_id, w.anchor_utc AS slot_utc, count(*) AS n_steps, {rc('sum(w.frp_lag_1h)', 'lag_sum')},
-  {rc('max(a.targets[12])', 'y12')} FROM wcell w JOIN anc a ON a.series_id = w.series_id AND a.slot_utc = w.anchor_utc
-WHERE w.asplit = 'val' GROUP BY 1, 2""".replace("FROM wcell", "FROM wcell")))
-def _(spark, d):
-    lay = src.layout(spark, d)
-    path = stage_path(spark)
-    writers.write_samples(feat.input_windows(src.panel(spark, d, lay), lay), path)
-    v = readers.read_split(spark, path, "val")
-    total = F.aggregate("inputs", F.lit(0.0), lambda acc, s: acc + s["frp_lag_1h"])
-    return v.select("series_id", "slot_utc", F.size("inputs").cast("long").alias("n_steps"), rd(total).alias("lag_sum"),
-                    rd(F.col("targets")[11]).alias("y12"))
-
-
-@query("store_metadata", "IO9")
-def _(spark, d):
-    rows = stored_rows(spark, d)
-    path = stage_path(spark)
-    writers.write_metadata(spark, path, N.norm_params(N.norm_table(rows)))
-    return readers.read_metadata(spark, path)
-
-
 @query("observation_files", "IO1", sql("hourly cat", f"""
 SELECT series_name AS series_id, slot_utc, slot_type, {rc('frp_sum_mw', 'frp_sum_mw')}, {rc('sat_fraction', 'sat_fraction')}, n_pixels
 FROM hourly JOIN cat ON cat.series_id = hourly.series_id"""))

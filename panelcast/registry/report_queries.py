@@ -12,13 +12,12 @@ from panelcast.plans import normalise as N
 from panelcast.plans import reporting as L
 from panelcast.plans import readiness as R
 from panelcast.plans import ridge as RG
-from panelcast.plans import scoring as SC
 from panelcast.registry.base import query, r, rc, register_table, sql
 from panelcast.registry.dataset_queries import stored_rows
 from panelcast.registry.evaluation_queries import baseline_metrics, rows_at, seed_rows
 from panelcast.registry.feature_queries import windows
 from panelcast.registry.util import rd, rounded
-from panelcast.schema import AR_RIDGE_FEATURES, FEATURES, WEATHER_RIDGE_FEATURES
+from panelcast.schema import AR_RIDGE_FEATURES, WEATHER_RIDGE_FEATURES
 from panelcast.session import cut, stage_path
 from panelcast.sources import adapter as src
 from panelcast.sources import readers, writers
@@ -330,20 +329,3 @@ def _(spark, d):
     w = windows(spark, d).filter("split = 'val'")
     s = R.baseline_sanity(ev.cross_event_by_lead(six_metrics(spark, d), ("baseline", "lead")), w)
     return s.select("lowest_at_t1", "persistence_lowest", *rounded("mean_fire_value"), "n_all", "n_fire")
-
-
-@query("model_scoring", "B9", sql("anc", f"""
-SELECT series_id, slot_utc, {rc('pers * (1 - 1 / 24.0::DOUBLE)', 'p1')}, {rc('pers * 0.5', 'p12')} FROM anc"""))
-def _(spark, d):
-    """A user model on whole input windows: the prior fading with the lead."""
-    import numpy as np
-
-    lag = FEATURES.index("frp_lag_1h")
-
-    def model(x):
-        fade = 1.0 - np.arange(1, 13) / 24.0
-        return np.maximum(x[:, -1, lag], 0.0)[:, None] * fade[None, :]
-
-    lay = src.layout(spark, d)
-    p = SC.predict_panel(src.panel(spark, d, lay), model, layout=lay)
-    return p.select("series_id", "slot_utc", rd(F.col("preds")[0]).alias("p1"), rd(F.col("preds")[11]).alias("p12"))

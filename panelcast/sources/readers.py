@@ -66,6 +66,10 @@ def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/metadata")
 
 
+def read_store_series(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/series")
+
+
 def read_manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     df = spark.read.option("header", True).schema(
         "sample_idx bigint, series_id string, split string, input_start_utc timestamp_ntz, "

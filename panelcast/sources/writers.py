@@ -12,18 +12,27 @@ from panelcast.schema import FEATURES, HORIZON, LOOKBACK
 
 
 def write_samples(windows: DataFrame, folder: str, mode: str = "error") -> None:
-    """Windows with ``inputs`` and ``targets``, one partition folder per split."""
-    windows.select("split", "series_id", "slot_utc", "inputs", "targets").write.mode(mode).partitionBy(
-        "split").option("compression", "zstd").parquet(f"{folder}/samples")
+    """Windows with ``inputs`` and ``targets``, one partition folder per split, each file ordered by series and time.
+
+    Windows leave their build grouped by series, so this only sorts inside tasks: a reader of one series skips the other files
+    and row groups by their limits.
+    """
+    windows.select("split", "series_id", "slot_utc", "inputs", "targets").sortWithinPartitions("split", "series_id", "slot_utc").write.mode(
+        mode).partitionBy("split").option("compression", "zstd").parquet(f"{folder}/samples")
 
 
 def write_metadata(spark: SparkSession, folder: str, norm: dict, features=FEATURES, mode: str = "error") -> None:
-    """One row: feature order, normalisation parameters, window sizes."""
+    """One row: channels in order, their scaling, window sizes."""
     row = (list(features), {k: {"mean": m, "std": s} for k, (m, s) in norm.items()}, LOOKBACK, HORIZON)
     schema = "feature_names array<string>, normalization_params map<string, struct<mean: double, std: double>>, LOOKBACK int, HORIZON int"
     spark.createDataFrame([row], schema).coalesce(1).write.mode(mode).parquet(f"{folder}/metadata")
 
 
+def write_store_series(windows: DataFrame, folder: str, mode: str = "error") -> None:
+    """Which series each split of the store holds."""
+    windows.select("split", "series_id").distinct().write.mode(mode).parquet(f"{folder}/series")
+
+
 def write_manifest(manifest: DataFrame, path: str, mode: str = "error") -> None:
     manifest.select(*MANIFEST).write.mode(mode).option("header", True).csv(path)
 
