@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelcast.operators.features import long_form
 from panelcast.operators.layout import Layout, PanelWindows, exact_quantiles
 from panelcast.plans.normalise import unpivot, window_statistics
-from panelcast.schema import COVARIATES, FEATURES, HORIZON, LOOKBACK, SCALED, TARGET_PERCENTILES, UNSCALED
+from panelcast.schema import COVARIATES, FEATURES, HORIZON, LOOKBACK, SCALED, SPLITS, TARGET_PERCENTILES, UNSCALED
 from panelcast.session import cut
 
 IMBALANCE = 0.60
@@ -163,11 +163,15 @@ def alignment(sample: DataFrame, raw: DataFrame, lookback: int = LOOKBACK, horiz
 
 # ------------------------------------------------------------- balance, build, sanity
 
-def split_balance(windows: DataFrame, catalogue: DataFrame, attribute: str, values: list) -> DataFrame:
-    """Series counts per split and attribute value; series outside the catalogue drop out."""
-    series = windows.groupBy("split", "series_id").agg(F.count(F.lit(1)).alias("samples"))
-    known = series.join(catalogue.select("series_id", attribute), "series_id")
-    return known.groupBy("split").pivot(attribute, values).agg(F.count(F.lit(1))).na.fill(0)
+def split_balance(windows: DataFrame, catalogue: DataFrame, attribute: str) -> DataFrame:
+    """(split, value, n_series): series with windows per split, for every value the catalogue holds (unknown included);
+    series outside the catalogue drop out."""
+    known = catalogue.select("series_id", F.col(attribute).alias("value"))
+    seen = windows.select("split", "series_id").distinct().join(known, "series_id").groupBy(
+        F.col("split").alias("_s"), F.col("value").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    grid = known.select("value").distinct().withColumn("split", F.explode(F.array(*[F.lit(x) for x in SPLITS])))
+    return grid.join(seen, (F.col("split") == F.col("_s")) & F.col("value").eqNullSafe(F.col("_v")), "left").select(
+        "split", "value", F.coalesce("_n", F.lit(0)).alias("n_series"))
 
 
 def fire_content(windows: DataFrame) -> DataFrame:
@@ -177,26 +181,38 @@ def fire_content(windows: DataFrame) -> DataFrame:
         F.count_if(~fire).alias("no_fire"), F.avg(fire.cast("double")).alias("fire_fraction"))
 
 
-def tiers_present(windows: DataFrame, catalogue: DataFrame, tiers=("high", "medium", "low"), split: str = "train") -> DataFrame:
-    """One row: does the training split have every tier."""
+def missing_tiers(windows: DataFrame, catalogue: DataFrame, tiers=("high", "medium", "low"), split: str = "train") -> DataFrame:
+    """One row: how many tiers no series of the training split has."""
     series = windows.filter(F.col("split") == split).select("series_id").distinct()
     seen = series.join(catalogue.select("series_id", "intensity_tier"), "series_id").agg(
         *[F.count_if(F.col("intensity_tier") == t).alias(t) for t in tiers])
-    ok = F.lit(True)
-    for t in tiers:
-        ok = ok & (F.col(t) > 0)
-    return seen.select(ok.alias("passed"))
+    return seen.select(sum((F.when(F.col(t) > 0, 0).otherwise(1) for t in tiers), F.lit(0)).cast("long").alias("missing_tiers"))
 
 
-def build_checks(windows: DataFrame, rows: DataFrame, features=FEATURES, scaled=SCALED, expected: int | None = None) -> DataFrame:
-    """(check, passed, detail) rows: targets, feature count, normalised range, leaks.
+def _items(check: str, df: DataFrame, limits: dict[str, bool]) -> DataFrame:
+    """A one-row table of counts as evidence rows; a count that matters has to be there and zero."""
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).cast("long").alias("detail"), F.lit(m).alias("_m")) for n, m in limits.items()]))
+    rows = df.select(cells.alias("_c")).select("_c.*")
+    passed = F.coalesce(~F.col("_m") | (F.col("detail") == 0), F.lit(False))
+    return rows.select(F.lit(check).alias("check"), "item", "detail", passed.alias("passed"))
 
-    ``rows`` are z-scored panel rows, ``windows`` the windows built from them.
+
+def build_checks(windows: DataFrame, rows: DataFrame, names, scaled=SCALED, lookback: int = LOOKBACK) -> DataFrame:
+    """(check, passed, detail) rows over stored windows: targets, input cells, channels, normalised range, leaks.
+
+    ``windows`` have ``inputs`` and ``targets`` as stored, ``rows`` are the z-scored panel rows, ``names`` the channels that the
+    store's metadata lists.
     """
     bad = lambda f: F.size(F.filter("targets", f))
+    held = windows.schema["inputs"].dataType.elementType.names
+    cells = F.aggregate("inputs", F.lit(0), lambda n, x: n + sum(
+        (F.when(x[c].isNull() | F.isnan(x[c]), 1).otherwise(0) for c in held), F.lit(0)))
+    channels = len(set(held) ^ set(names))
     t = windows.agg(
+        F.coalesce(F.sum(cells), F.lit(0)).alias("null_inputs"),
         F.coalesce(F.sum(bad(lambda x: x.isNull() | F.isnan(x))), F.lit(0)).alias("null_targets"),
-        F.coalesce(F.sum(bad(lambda x: x < 0)), F.lit(0)).alias("negative_targets"))
+        F.coalesce(F.sum(bad(lambda x: x < 0)), F.lit(0)).alias("negative_targets"),
+        (F.count_if(F.size("inputs") != lookback) + F.lit(channels)).alias("feature_count"))
     aggs = []
     for f in scaled:
         aggs += [F.avg(f).alias(f"{f}__mean"), F.stddev_pop(f).alias(f"{f}__std")]
@@ -204,21 +220,17 @@ def build_checks(windows: DataFrame, rows: DataFrame, features=FEATURES, scaled=
     off = stats.agg(F.count_if(F.abs("mean") > 0.1).alias("mean_range"),
                     F.count_if(~F.col("std").between(0.9, 1.1)).alias("std_range"))
     train = windows.filter("split = 'train'").select("series_id").distinct()
-    held = windows.filter("split <> 'train'").select("series_id").distinct()
-    leaks = held.join(train, "series_id", "left_semi").agg(F.count(F.lit(1)).alias("leaked_series"))
-    absent = F.lit(abs((expected or len(features)) - len(features)))
-
-    def long(df, names):
-        cells = F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).cast("long").alias("detail")) for n in names]))
-        return df.select(cells.alias("_c")).select("_c.*")
-
-    out = (
-        long(t, ["null_targets", "negative_targets"])
-        .unionByName(long(off, ["mean_range", "std_range"]))
-        .unionByName(long(leaks, ["leaked_series"]))
-        .unionByName(long(t.select(absent.alias("feature_count")), ["feature_count"]))
-    )
-    return out.withColumn("passed", F.col("detail") == 0).select("check", "passed", "detail")
+    held_out = windows.filter("split <> 'train'").select("series_id").distinct()
+    leaks = held_out.join(train, "series_id", "left_semi").agg(F.count(F.lit(1)).alias("leaked_series"))
+    out = _items("build", t, dict.fromkeys(("null_inputs", "null_targets", "negative_targets", "feature_count"), True))
+    out = out.unionByName(_items("build", off, {"mean_range": True, "std_range": True}))
+    out = out.unionByName(_items("build", leaks, {"leaked_series": True}))
+    return out.select(F.col("item").alias("check"), "passed", "detail")
+
+
+def sanity_by_series(windows: DataFrame) -> DataFrame:
+    """Windows and fire-active windows of every series."""
+    return windows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("fire_active").alias("n_fire"))
 
 
 def baseline_sanity(summary: DataFrame, windows: DataFrame, reference: str = "persistence") -> DataFrame:
@@ -233,17 +245,54 @@ def baseline_sanity(summary: DataFrame, windows: DataFrame, reference: str = "pe
              "mean_fire_value", "n_all", "n_fire")
 
 
+def integrity_counts(cells: DataFrame) -> DataFrame:
+    """One row from ``cell_integrity``: bad cells, constant (split, feature) pairs, extreme cells."""
+    return cells.agg(F.sum("n_nan").alias("n_nan"), F.sum("n_inf").alias("n_inf"),
+                     F.count_if("is_constant").alias("constant"), F.sum("n_extreme").alias("n_extreme"))
+
+
+def integrity_verdict(cells: DataFrame) -> DataFrame:
+    """Per split: the counts, and whether no cell is NaN or infinite and no feature constant."""
+    per = cells.groupBy("split").agg(F.sum("n_nan").alias("n_nan"), F.sum("n_inf").alias("n_inf"),
+                                     F.count_if("is_constant").alias("n_constant"), F.sum("n_extreme").alias("n_extreme"))
+    return per.withColumn("passed", (F.col("n_nan") == 0) & (F.col("n_inf") == 0) & (F.col("n_constant") == 0))
+
+
+def evidence(rows: DataFrame, aligned: DataFrame, catalogue: DataFrame, features=FEATURES, layout: Layout | None = None) -> DataFrame:
+    """(check, item, detail, passed): all seven readiness checks from the built dataset.
+
+    ``rows`` are scaled panel rows with window columns and ``window_weight``; ``aligned`` comes from ``alignment``. Counts that only
+    inform (gaps between windows, extreme values, series without windows whose reason is known) never fail. A check without
+    rows has not passed.
+    """
+    w = rows.filter("is_anchor")
+    audit = window_audit(rows, catalogue).agg(
+        F.count_if(F.col("n_windows") == 0).alias("series_without_windows"),
+        F.count_if(F.col("status").isNull()).alias("undocumented"), F.nullif(F.count(F.lit(1)), F.lit(0)).alias("_n"))
+    audit = audit.withColumn("undocumented", F.when(F.col("_n").isNotNull(), F.col("undocumented")))
+    leaks = split_leaks(w).agg(F.count(F.lit(1)).alias("cross_split"))
+    gaps = start_gap_counts(w, layout).agg(F.sum("n_gaps").alias("start_gaps"))
+    cells = integrity_counts(cell_integrity(rows, features))
+    targets = target_sanity(w).agg(F.sum("n_null").alias("n_null"), F.sum("n_negative").alias("n_negative"))
+    drifted = drift(rows, [f for f in SCALED if f in features]).agg(F.count_if(~F.col("match") | F.col("match").isNull()).alias("mismatches"))
+    spots = aligned.agg(F.sum((~F.col("target_ok")).cast("long")).alias("targets"), F.sum((~F.col("input_ok")).cast("long")).alias("inputs"))
+    parts = [
+        _items("coverage", audit, {"undocumented": True, "series_without_windows": False}),
+        _items("leakage", leaks, {"cross_split": True}), _items("leakage", gaps, {"start_gaps": False}),
+        _items("integrity", cells, {"n_nan": True, "n_inf": True, "constant": True, "n_extreme": False}),
+        _items("targets", targets, {"n_null": True, "n_negative": True}),
+        _items("drift", drifted, {"mismatches": True}),
+        _items("alignment", spots, {"targets": True, "inputs": True}),
+        _items("tiers", missing_tiers(w, catalogue), {"missing_tiers": True}),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def verdict(checks: DataFrame) -> DataFrame:
     """All checks passed?  The failed list has at most one entry per check."""
     return checks.agg(
         F.bool_and("passed").alias("ready"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("passed"), F.col("check")))), ",").alias("failed"))
-
-
-def checks_from(passed: dict[str, DataFrame]) -> DataFrame:
-    """(check, passed) from tables with a boolean ``passed``; a check without rows has not passed."""
-    out = None
-    for name, df in passed.items():
-        row = df.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed")).select(F.lit(name).alias("check"), "passed")
-        out = row if out is None else out.unionByName(row)
-    return out

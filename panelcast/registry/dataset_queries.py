@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import assemble as A
 from panelcast.operators import features as feat
+from panelcast.plans import dataset as D
 from panelcast.plans import manifest as M
 from panelcast.plans import normalise as N
 from panelcast.plans import quality as Q
@@ -34,6 +35,14 @@ def weighted(spark, d, normalised=True):
     return N.apply_norm(rows, N.norm_params(N.norm_table(rows))) if normalised else rows
 
 
+def scaled(spark, d):
+    """Scaled rows with window columns, written once, and what they were scaled by."""
+    lay = src.layout(spark, d)
+    panel = src.panel(spark, d, lay)
+    scaling = D.fit(panel, lay, wind=False)
+    return cut(D.scaled_rows(panel, scaling, lay).drop("n_pixels", *[f"raw_{f}" for f in scaling.params])), scaling, lay
+
+
 def stored_windows(spark, d):
     return cut(windows(spark, d))
 
@@ -285,20 +294,30 @@ register_table("zcell", "zfeat anc", """
   SELECT z.*, a.split AS asplit FROM anc a JOIN zfeat z ON z.series_id = a.series_id AND z.row_no BETWEEN a.row_no - 47 AND a.row_no""")
 
 
-@query("cell_integrity", "C3", sql("zcell", "\nUNION ALL ".join(
+register_table("icell", "zcell", "\nUNION ALL ".join(
     f"SELECT asplit AS split, '{f}' AS feature, count(*) FILTER ({f} IS NULL OR isnan({f})) AS n_nan, count(*) FILTER (isinf({f})) AS n_inf, "
     f"min({f}) = max({f}) AS is_constant, count(*) FILTER (abs({f}) > 10) AS n_extreme, {rc(f'max(abs({f}))', 'max_abs')} FROM zcell GROUP BY 1"
-    for f in FEATURES)))
+    for f in FEATURES))
+
+
+@query("cell_integrity", "C3", sql("icell", "SELECT * FROM icell"))
 def _(spark, d):
     c = R.cell_integrity(weighted(spark, d))
     return c.select("split", "feature", "n_nan", "n_inf", "is_constant", "n_extreme", *rounded("max_abs"))
 
 
+@query("cell_integrity_verdict", "C3", sql("icell", """
+SELECT split, CAST(sum(n_nan) AS BIGINT) AS n_nan, CAST(sum(n_inf) AS BIGINT) AS n_inf, count(*) FILTER (is_constant) AS n_constant,
+  CAST(sum(n_extreme) AS BIGINT) AS n_extreme, sum(n_nan) = 0 AND sum(n_inf) = 0 AND count(*) FILTER (is_constant) = 0 AS passed FROM icell GROUP BY 1"""))
+def _(spark, d):
+    return R.integrity_verdict(R.cell_integrity(weighted(spark, d)))
+
+
 @query("target_sanity", "C4 A13", sql("anc lng", f"""
-SELECT a.split, count(*) AS n_samples, CAST(0 AS BIGINT) AS n_null, (SELECT count(*) FROM lng WHERE lng.split = a.split AND y < 0) AS n_negative,
+SELECT a.split, count(*) AS n_samples, (SELECT count(*) FROM lng WHERE lng.split = a.split AND (y IS NULL OR isnan(y))) AS n_null, (SELECT count(*) FROM lng WHERE lng.split = a.split AND y < 0) AS n_negative,
   count(*) FILTER (target_max_frp = 0) AS all_zero, {rc('avg(CASE WHEN target_max_frp = 0 THEN 1 ELSE 0 END)', 'zero_fraction')},
   avg(CASE WHEN target_max_frp = 0 THEN 1 ELSE 0 END) > 0.6 AS flagged,
-  (SELECT count(*) FROM lng WHERE lng.split = a.split AND y < 0) = 0 AS passed FROM anc a GROUP BY 1"""))
+  (SELECT count(*) FROM lng WHERE lng.split = a.split AND (y IS NULL OR isnan(y) OR y < 0)) = 0 AS passed FROM anc a GROUP BY 1"""))
 def _(spark, d):
     t = R.target_sanity(windows(spark, d))
     return t.select("split", "n_samples", F.col("n_null").cast("long").alias("n_null"), F.col("n_negative").cast("long").alias("n_negative"),
@@ -315,37 +334,67 @@ def _(spark, d):
     return R.drift(weighted(spark, d)).select("feature", *rounded("mean", "std"), "match")
 
 
-@query("alignment_check", "C6", sql("spot", "SELECT split, series_id, slot_utc, true AS target_ok, true AS input_ok FROM spot"))
-def _(spark, d):
-    """Stored normalised windows against an independent rebuild from the joined tables."""
-    lay = src.layout(spark, d)
-    rows = stored_rows(spark, d)
-    params = N.norm_params(N.norm_table(rows, COVARIATES))
-    sample = cut(N.apply_norm(S.spot_sample(rows.filter("is_anchor")), params))
-    joined = A.assemble(src.hourly(spark, d, lay), src.covariates(spark, d, lay), src.catalogue(spark, d))
+_compared = COVARIATES + ("sat_fraction",)
+register_table("rawpos", "panel", "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY slot_utc) AS pos FROM panel")
+register_table("rebuilt", "spot rawpos", f"""
+  SELECT s.split, s.series_id, s.slot_utc, s.targets, list(p.frp_sum_mw ORDER BY p.pos) FILTER (p.pos > b.pos + 47) AS expected,
+    {', '.join(f'max(p.{c}) FILTER (p.pos = b.pos + 47) AS raw_{c}' for c in _compared)}
+  FROM spot s JOIN rawpos b ON b.series_id = s.series_id AND b.slot_utc = s.input_start_utc
+  JOIN rawpos p ON p.series_id = s.series_id AND p.pos BETWEEN b.pos + 47 AND b.pos + 59 GROUP BY 1, 2, 3, 4""")
+
+
+def _alignment_sql(first="x.targets[1]", u10="z.u10"):
+    """Stored values against those rebuilt from raw rows, number by number."""
+    near = lambda a, b: f"abs({a} - {b}) <= 0.01 + 1e-4 * abs({b})"
+    raw = {c: f"(x.raw_{c} - (SELECT mean FROM norm WHERE feature = '{c}')) / (SELECT std FROM norm WHERE feature = '{c}')" if c in SCALED else f"x.raw_{c}"
+           for c in _compared}
+    target = " AND ".join(near(first if k == 1 else f"x.targets[{k}]", f"x.expected[{k}]") for k in range(1, 13))
+    inputs = " AND ".join(f"(x.raw_{c} IS NULL OR {near(u10 if c == 'u10' else f'z.{c}', raw[c])})" for c in _compared)
+    return f"""SELECT x.split, x.series_id, x.slot_utc, len(x.expected) = 12 AND {target} AS target_ok, {inputs} AS input_ok
+      FROM rebuilt x JOIN zfeat z ON z.series_id = x.series_id AND z.slot_utc = x.slot_utc"""
+
+
+def aligned(spark, d, rows, scaling, lay, damage=None):
+    """A few sampled windows of the scaled rows against a rebuild from the joined tables, of the sampled series alone."""
+    keys = cut(S.spot_sample(rows.filter("is_anchor").select("split", "series_id", "slot_utc")))
+    sample = rows.join(F.broadcast(keys.select("series_id", "slot_utc")), ["series_id", "slot_utc"], "left_semi")
+    sample = damage(sample) if damage else sample
+    joined = A.assemble(src.hourly(spark, d, lay, keys), src.covariates(spark, d, lay, keys), src.catalogue(spark, d))
     raw = feat.open_panel(joined, lay)
-    raw = cut(raw.close(raw.df).select("series_id", "slot_utc", "row_no", "frp_sum_mw", "sat_fraction", *COVARIATES))
-    return R.alignment(sample, raw, params=params)
+    raw = raw.close(raw.df).select("series_id", "slot_utc", "row_no", "frp_sum_mw", "sat_fraction", *COVARIATES)
+    return R.alignment(sample, raw, params=scaling.params)
 
 
-@query("split_balance", "C7 J6", sql("anc cat", """
-SELECT a.split, count(*) FILTER (intensity_tier = 'high') AS high, count(*) FILTER (intensity_tier = 'medium') AS medium,
-  count(*) FILTER (intensity_tier = 'low') AS low FROM (SELECT DISTINCT split, series_id FROM anc) a JOIN cat ON cat.series_id = a.series_id GROUP BY 1"""))
+@query("alignment_check", "C6", sql("rebuilt zfeat", _alignment_sql()))
 def _(spark, d):
-    return R.split_balance(windows(spark, d), src.catalogue(spark, d), "intensity_tier", ["high", "medium", "low"])
+    rows, scaling, lay = scaled(spark, d)
+    return aligned(spark, d, rows, scaling, lay)
 
 
-@query("wind_regime_balance", "C7", sql("anc cat", "SELECT a.split, " + ", ".join(
-    f"count(*) FILTER (wind_regime = '{x}') AS {x}" for x in "ABCD") + " FROM (SELECT DISTINCT split, series_id FROM anc) a JOIN cat ON cat.series_id = a.series_id GROUP BY 1"))
+@query("alignment_of_damaged", "C6", sql("rebuilt zfeat", _alignment_sql(
+    "(x.targets[1] + CASE WHEN x.series_id % 3 = 0 THEN 1 ELSE 0 END)", "(z.u10 + CASE WHEN x.series_id % 3 = 1 THEN 0.5 ELSE 0 END)")))
 def _(spark, d):
-    return R.split_balance(windows(spark, d), src.catalogue(spark, d), "wind_regime", list("ABCD"))
+    """The same on a store with some targets and inputs changed: the check has to find them."""
+    def damage(df):
+        y = F.transform("targets", lambda x, i: x + F.when((i == 0) & (F.col("series_id") % 3 == 0), 1.0).otherwise(0.0))
+        return df.withColumns({"targets": y, "u10": F.col("u10") + F.when(F.col("series_id") % 3 == 1, 0.5).otherwise(0.0)})
 
+    rows, scaling, lay = scaled(spark, d)
+    return aligned(spark, d, rows, scaling, lay, damage)
+
+
+def _balance_query(name, covers, attribute):
+    @query(name, covers, sql("anc cat", f"""
+SELECT s.split, v.value, (SELECT count(DISTINCT anc.series_id) FROM anc JOIN cat ON cat.series_id = anc.series_id
+  WHERE anc.split = s.split AND cat.{attribute} IS NOT DISTINCT FROM v.value) AS n_series
+FROM (VALUES ('train'), ('val'), ('test')) s(split), (SELECT DISTINCT {attribute} AS value FROM cat) v"""))
+    def run(spark, d):
+        return R.split_balance(windows(spark, d), src.catalogue(spark, d), attribute)
 
-@query("country_balance", "C7", sql("anc cat", """
-SELECT a.split, count(*) FILTER (country = 'X') AS X, count(*) FILTER (country = 'Y') AS Y
-FROM (SELECT DISTINCT split, series_id FROM anc) a JOIN cat ON cat.series_id = a.series_id GROUP BY 1"""))
-def _(spark, d):
-    return R.split_balance(windows(spark, d), src.catalogue(spark, d), "country", ["X", "Y"])
+
+_balance_query("split_balance", "C7 J6", "intensity_tier")
+_balance_query("wind_regime_balance", "C7", "wind_regime")
+_balance_query("country_balance", "C7", "country")
 
 
 @query("fire_content", "C7", sql("anc", f"""
@@ -353,37 +402,3 @@ SELECT split, count(*) AS total, count(*) FILTER (target_mean_frp > 0) AS fire_a
   {rc('avg(CASE WHEN target_mean_frp > 0 THEN 1 ELSE 0 END)', 'fire_fraction')} FROM anc GROUP BY 1"""))
 def _(spark, d):
     return R.fire_content(windows(spark, d)).select("split", "total", "fire_active", "no_fire", *rounded("fire_fraction"))
-
-
-register_table("chk", "anc lng zfeat", """
-  SELECT 'null_targets' AS "check", count(*) FILTER (y IS NULL) AS detail FROM lng
-  UNION ALL SELECT 'negative_targets', count(*) FILTER (y < 0) FROM lng
-  UNION ALL SELECT 'mean_range', CAST(""" + " + ".join(
-    f"(SELECT CASE WHEN abs(avg({f})) > 0.1 THEN 1 ELSE 0 END FROM zfeat WHERE split = 'train')" for f in SCALED) + """ AS BIGINT)
-  UNION ALL SELECT 'std_range', CAST(""" + " + ".join(
-    f"(SELECT CASE WHEN stddev_pop({f}) BETWEEN 0.9 AND 1.1 THEN 0 ELSE 1 END FROM zfeat WHERE split = 'train')" for f in SCALED) + """ AS BIGINT)
-  UNION ALL SELECT 'leaked_series', count(DISTINCT series_id) FROM anc WHERE split <> 'train' AND series_id IN (SELECT series_id FROM anc WHERE split = 'train')
-  UNION ALL SELECT 'feature_count', CAST(0 AS BIGINT)""")
-
-
-def _build_checks(rows):
-    z = N.apply_norm(rows, N.norm_params(N.norm_table(rows)))
-    return R.build_checks(rows.filter("is_anchor"), z)
-
-
-@query("build_checks", "C8 J4", sql("chk", 'SELECT "check", detail = 0 AS passed, detail FROM chk'))
-def _(spark, d):
-    return _build_checks(stored_rows(spark, d))
-
-
-@query("readiness_verdict", "C10", sql("chk anc cat", """
-SELECT bool_and(passed) AS ready, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (NOT passed), '') AS failed FROM (
-  SELECT "check", detail = 0 AS passed FROM chk UNION ALL
-  SELECT 'tiers', count(DISTINCT intensity_tier) = 3 FROM anc JOIN cat ON cat.series_id = anc.series_id WHERE anc.split = 'train' UNION ALL
-  SELECT 'targets', true)"""))
-def _(spark, d):
-    rows = stored_rows(spark, d)
-    w = rows.filter("is_anchor")
-    checks = _build_checks(rows).select("check", "passed").unionByName(R.checks_from({
-        "tiers": R.tiers_present(w, src.catalogue(spark, d)), "targets": R.target_sanity(w)}))
-    return R.verdict(checks)

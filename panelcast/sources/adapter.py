@@ -18,9 +18,14 @@ USERS_PER_SERIES = 5
 SEEDS = tuple(range(10))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """All events, or those of the few series in ``only`` (a sample of bounded size), left out right at the scan."""
     use_utc(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if only is None:
+        return ev
+    few = F.broadcast(only.select(F.col("series_id").alias("_only")).distinct())
+    return ev.join(few, F.floor(F.col("user_id") / USERS_PER_SERIES) == F.col("_only"), "left_semi")
 
 
 def layout(spark: SparkSession, sf_dir: str) -> Layout:
@@ -56,13 +61,13 @@ def _cells(ev: DataFrame) -> DataFrame:
 OBS = ["series_id", "slot_utc", "slot_type", "frp_sum_mw", "sat_fraction", "n_pixels"]
 
 
-def hourly(spark: SparkSession, sf_dir: str, lay: Layout | None = None) -> DataFrame:
+def hourly(spark: SparkSession, sf_dir: str, lay: Layout | None = None, only: DataFrame | None = None) -> DataFrame:
     """Observations on the full hourly grid from a series' first to its last event.
 
     The gap after a slot is filled from that slot itself (next slot by ``lead``),
     so no grid table has to be built and joined.
     """
-    ev = events(spark, sf_dir)
+    ev = events(spark, sf_dir, only)
     cells = _cells(ev).select(*OBS)
     pw = PanelWindows(cells, lay or Layout.detect(ev, "ts"), 0, 1)
     until = F.coalesce(F.lead("slot_utc").over(pw.w) - F.expr("INTERVAL 1 HOUR"), F.col("slot_utc"))
@@ -91,10 +96,10 @@ def _weather(cells: DataFrame, lay: Layout) -> DataFrame:
     })).drop("row_no")
 
 
-def covariates(spark: SparkSession, sf_dir: str, lay: Layout | None = None) -> DataFrame:
+def covariates(spark: SparkSession, sf_dir: str, lay: Layout | None = None, only: DataFrame | None = None) -> DataFrame:
     from panelcast.schema import COVARIATES
 
-    ev = events(spark, sf_dir)
+    ev = events(spark, sf_dir, only)
     rows = _weather(_cells(ev), lay or Layout.detect(ev, "ts"))
     return rows.select("series_id", "slot_utc", *COVARIATES)
 

@@ -62,6 +62,11 @@ def read_split(spark: SparkSession, folder: str, split: str, unsealed: bool = Fa
     return spark.read.parquet(f"{folder}/samples").filter(F.col("split") == split)
 
 
+def read_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """All splits, for checks of the store itself."""
+    return spark.read.parquet(f"{folder}/samples")
+
+
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/metadata")
 
