@@ -7,8 +7,9 @@ on the series however many features are asked for; unused ones are pruned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.functions import columns as C
 from panelcast.operators.layout import Layout, PanelWindows
@@ -155,31 +156,52 @@ def weighted_rows(panel: DataFrame, layout: Layout | None = None, features=FEATU
     return pw.close(df.withColumn("window_weight", weight))
 
 
+SUMMARY_ROWS = 1024  # windows summarised at once: their inputs are what a task holds beside a block of rows
+
+
+def _summaries(features, keep: list[str], lookback: int):
+    """Over the rows of one series (or block of it): sliding statistics of all features at the marked rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    step = np.arange(lookback) - (lookback - 1) / 2.0
+    slope_weights = step / (step @ step)  # a complete window is evenly spaced in rows
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("row_no")
+        x = np.stack([t.column(f"_x{i}").to_numpy() for i in range(len(features))])
+        at = np.flatnonzero(t.column("_mine").to_numpy(zero_copy_only=False))
+        stats: dict[str, list] = {"mean": [], "std": [], "last": [], "slope": []}
+        for lo in range(0, len(at), SUMMARY_ROWS):
+            some = at[lo:lo + SUMMARY_ROWS]
+            cells = x[:, some[:, None] + np.arange(1 - lookback, 1)].transpose(1, 0, 2)
+            for name, value in (("mean", cells.mean(axis=2)), ("std", cells.std(axis=2)), ("last", cells[:, :, -1]), ("slope", cells @ slope_weights)):
+                stats[name].append(value.ravel())
+        edges = pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(features))
+        flat = lambda v: pa.ListArray.from_arrays(edges, pa.array(np.concatenate(v) if v else np.zeros(0)))
+        return pa.table([t.column(c).take(pa.array(at)) for c in keep] + [flat(v) for v in stats.values()], names=[*keep, *stats])
+    return run
+
+
 def window_summary(panel: DataFrame, layout: Layout | None = None, features=FEATURES,
                    lookback: int = LOOKBACK) -> DataFrame:
     """Per window and feature: mean, deviation (ddof 0), last value and slope over the inputs.
 
-    Rows are split by feature in place (no exchange: the series still decides the
-    partition), so three small sliding sums serve every feature.
+    The rows of a series are already together (and bounded by the layout); array arithmetic inside the task gives all
+    features of all its windows, without an exchange, and only the results become one row per window and feature. (Sliding
+    aggregates of 32 features in one window pass took four times as long, 32 rows per panel row twice.)
     """
     pw = open_panel(panel, layout)
-    df = add_windows(add_features(pw), pw, features)
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]))
-    inner = [c for c in ("_block", "_home") if c in df.columns]
-    keys = [*pw.layout.keys, *(["_block"] if pw.layout.blocked else [])]
-    rows = df.select(*pw.layout.keys, *inner, "split", "slot_utc", "row_no", "is_anchor", cells.alias("_c")).select("*", "_c.*").drop("_c")
-    w = Window.partitionBy(*keys, "feature").orderBy("row_no").rowsBetween(-(lookback - 1), 0)
-    rows = rows.withColumns({
-        "_sum": F.sum("value").over(w),
-        "_moment": F.sum(F.col("row_no") * F.col("value")).over(w),
-        "std": F.stddev_pop("value").over(w),
-    })
-    # A complete window is evenly spaced in rows, so its slope is a fixed combination of two sums.
-    middle = F.col("row_no") - (lookback - 1) / 2.0
-    spread = lookback * (lookback ** 2 - 1) / 12.0
-    return pw.close(rows).filter("is_anchor").select(
-        *pw.layout.keys, "split", "slot_utc", "feature", (F.col("_sum") / lookback).alias("mean"), "std",
-        F.col("value").alias("last"), ((F.col("_moment") - middle * F.col("_sum")) / spread).alias("slope"))
+    df = add_windows(add_features(pw), pw, features, lookback)
+    blocked = pw.layout.blocked
+    mine = F.col("is_anchor") & (F.col("_block") == F.col("_home")) if blocked else F.col("is_anchor")
+    keep = [*pw.layout.keys, "split", "slot_utc"]
+    rows = df.select(*keep, "row_no", *(["_block"] if blocked else []), mine.alias("_mine"), *[F.col(f).alias(f"_x{i}") for i, f in enumerate(features)])
+    schema = T.StructType([*[rows.schema[c] for c in keep], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("mean", "std", "last", "slope")]])
+    found = rows.groupBy(*pw.layout.keys, *(["_block"] if blocked else [])).applyInArrow(_summaries(features, keep, lookback), schema)
+    names = F.array(*[F.lit(f) for f in features])
+    cells = F.arrays_zip(names.alias("feature"), "mean", "std", "last", "slope")
+    return found.select(*keep, F.explode(cells).alias("_c")).select(*keep, "_c.feature", "_c.mean", "_c.std", "_c.last", "_c.slope")
 
 
 def at_lead(windows: DataFrame, lead: int) -> DataFrame:

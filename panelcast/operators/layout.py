@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from panelcast.session import cut
 
-SERIES_ROW_LIMIT = 1_000_000
+SERIES_ROW_LIMIT = 250_000
 RANGE_ROWS = 500_000  # of a value range that one task orders
 
 
@@ -50,7 +50,8 @@ class PanelWindows:
 
     ``df``/``w`` are the rows and the window to compute on; ``close`` drops the
     borrowed neighbour rows.  ``sums`` and ``mins`` name running aggregates from
-    the series start, which no bounded frame can give.
+    the series start, which no bounded frame can give.  Sums of doubles are added as
+    decimals of 12 places, so that they are the same to the last bit in any layout.
     """
 
     source: DataFrame
@@ -61,6 +62,8 @@ class PanelWindows:
     mins: dict[str, Column] = field(default_factory=dict)
 
     def __post_init__(self):
+        self._real = {n: isinstance(self.source.select(c.alias(n)).schema[n].dataType, T.DoubleType) for n, c in self.sums.items()}
+        self.sums = {n: c.cast("decimal(38,12)") if self._real[n] else c for n, c in self.sums.items()}
         if self.layout.blocked:
             self._open_blocks()
         else:
@@ -72,10 +75,13 @@ class PanelWindows:
         upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
         self.df = self.source.withColumns({
             "row_no": F.row_number().over(self.w).cast("long"),
-            **{n: F.sum(c).over(upto) for n, c in self.sums.items()},
+            **{n: self._out(n, F.sum(c).over(upto)) for n, c in self.sums.items()},
             **{n: F.min(c).over(upto) for n, c in self.mins.items()},
         })
 
+    def _out(self, name: str, total: Column) -> Column:
+        return total.cast("double") if self._real[name] else total
+
     def _open_blocks(self):
         lay, size = self.layout, self.layout.block_rows
         if size < max(self.lookback, self.lookahead):
@@ -101,7 +107,7 @@ class PanelWindows:
         upto = here.rowsBetween(Window.unboundedPreceding, 0)
         numbered = src.join(carried, keys).withColumns({
             "row_no": (F.col("_n0") + F.row_number().over(here)).cast("long"),
-            **{n: _plus(F.col(f"_s0_{n}"), F.sum(c).over(upto)) for n, c in self.sums.items()},
+            **{n: self._out(n, _plus(F.col(f"_s0_{n}"), F.sum(c).over(upto))) for n, c in self.sums.items()},
             **{n: F.least(F.col(f"_m0_{n}"), F.min(c).over(upto)) for n, c in self.mins.items()},
         }).drop("_chunk", "_n0", *[f"_s0_{n}" for n in self.sums], *[f"_m0_{n}" for n in self.mins])
 

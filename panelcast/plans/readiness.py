@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.features import long_form
 from panelcast.operators.layout import Layout, PanelWindows, exact_quantiles
-from panelcast.plans.normalise import unpivot, window_statistics
+from panelcast.plans.normalise import unpivot, weighted_moments, window_statistics
 from panelcast.schema import COVARIATES, FEATURES, HORIZON, LOOKBACK, SCALED, SPLITS, TARGET_PERCENTILES, UNSCALED
 from panelcast.session import cut
 
@@ -128,6 +128,20 @@ def drift(weighted: DataFrame, features=SCALED, split: str = "train") -> DataFra
     return s.select("feature", "mean", "std", ok.alias("match"))
 
 
+def drift_of_raw(weighted: DataFrame, features=SCALED, split: str = "train") -> DataFrame:
+    """``drift`` from rows that are not scaled yet, in one aggregation: the plain moments are the scaling, and scaling moves
+    the weighted ones in a known way."""
+    kept = [f for f in features if f not in DRIFT_SKIPPED]
+    w = F.col("window_weight")
+    aggs = []
+    for f in kept:
+        mean, std = weighted_moments(weighted, [], F.col(f), w)
+        aggs += [F.avg(f).alias(f"{f}__m"), F.stddev_pop(f).alias(f"{f}__s"), mean.alias(f"{f}__wm"), std.alias(f"{f}__ws")]
+    t = unpivot(weighted.filter(F.col("split") == split).agg(*aggs), [], kept, ["m", "s", "wm", "ws"]).filter("s > 0")
+    t = t.select("feature", ((F.col("wm") - F.col("m")) / F.col("s")).alias("mean"), (F.col("ws") / F.col("s")).alias("std"))
+    return t.withColumn("match", (F.abs("mean") <= 0.15) & F.col("std").between(0.85, 1.15))
+
+
 # ------------------------------------------------------------- alignment
 
 def _close(a, b, atol: float = 0.01, rtol: float = 1e-4):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,20 +76,22 @@ def _r2(g: np.ndarray, gy: np.ndarray, yy: float, b0: float, w: np.ndarray) -> f
     return 1.0 - sse / sst if sst > 0 else (1.0 if sse <= 0 else 0.0)
 
 
-def solve(cells: DataFrame, features, horizon: int = HORIZON, alphas=RIDGE_ALPHAS, by: str = "fold") -> RidgeFit:
-    """Pick the penalty per lead by mean fold score, then fit on all folds (first best wins)."""
+def solve(folds: pd.DataFrame, features, horizon: int = HORIZON, alphas=RIDGE_ALPHAS, by: str = "fold") -> RidgeFit:
+    """Pick the penalty per lead by mean fold score, then fit on all folds (first best wins).
+
+    ``folds`` may hold sums of further features. What a fold leaves is the total less its own sums.
+    """
     xs, ys = _names(features, horizon)
-    folds = cells.toPandas()  # folds x a few hundred sums
     at = {n: i for i, n in enumerate(xs)}
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for f, part in folds.groupby(by):
         g, gy, yy = np.zeros((len(xs),) * 2), np.zeros((len(xs), horizon)), np.zeros(horizon)
         for a, b, v in part[["a", "b", "value"]].itertuples(index=False):
-            if b in at:
+            if a in at and b in at:
                 g[at[a], at[b]] = g[at[b], at[a]] = v
-            elif a in at:
+            elif a in at and b in ys:
                 gy[at[a], ys.index(b)] = v
-            else:
+            elif a in ys:
                 yy[ys.index(b)] = v
         grams[f] = (g, gy, yy)
     total = [sum(x[i] for x in grams.values()) for i in range(3)]
@@ -123,10 +126,16 @@ def residual_targets(horizon: int = HORIZON, prior: str = "prior") -> list[Colum
     return [F.log1p(F.col("targets")[k]) - F.log1p(F.col(prior)) for k in range(horizon)]
 
 
-def fit(indexed: DataFrame, features, targets: list[Column] | None = None) -> RidgeFit:
-    """Fit on z-scored inputs of indexed training windows."""
+def fit_all(indexed: DataFrame, models: dict[str, tuple[str, ...]], targets: list[Column] | None = None) -> dict[str, RidgeFit]:
+    """Several models on z-scored inputs of indexed training windows, from one pass: sums of all their features together."""
     targets = targets or raw_targets()
-    return solve(gram(training_rows(indexed), features, targets), features, len(targets))
+    features = list(dict.fromkeys(f for fs in models.values() for f in fs))
+    folds = gram(training_rows(indexed), features, targets).toPandas()  # folds x a few hundred sums
+    return {name: solve(folds, fs, len(targets)) for name, fs in models.items()}
+
+
+def fit(indexed: DataFrame, features, targets: list[Column] | None = None) -> RidgeFit:
+    return fit_all(indexed, {"": tuple(features)}, targets)[""]
 
 
 def predict(windows: DataFrame, model: RidgeFit) -> DataFrame:

@@ -10,11 +10,17 @@ from panelcast.plans import baselines as B
 from panelcast.plans import conformal as U
 from panelcast.plans import ensembles as E
 from panelcast.plans import evaluation as ev
+from panelcast.plans import manifest as M
+from panelcast.plans import normalise as N
+from panelcast.plans import ridge as RG
+from panelcast.registry import dataset_queries, ridge_sql  # noqa: F401  (tables that the SQL below builds on)
 from panelcast.registry.base import query, r, rc, register_table, sql
 from panelcast.registry.feature_queries import windows
 from panelcast.registry.util import rd, rounded
-from panelcast.session import cut
+from panelcast.schema import AR_RIDGE_FEATURES, WEATHER_RIDGE_FEATURES
+from panelcast.session import cut, stage_path
 from panelcast.sources import adapter as src
+from panelcast.sources import readers, writers
 
 register_table("clim", "lng", """
   SELECT h.hour, coalesce(c.m, (SELECT avg(y) FROM lng WHERE split = 'train' AND fire_active), CAST(0 AS DOUBLE)) AS diurnal_climatology
@@ -30,10 +36,13 @@ register_table("bl", "anc lng clim", """
   FROM lng l JOIN anc a ON a.series_id = l.series_id AND a.slot_utc = l.slot_utc
   JOIN clim c ON c.hour = hour(l.target_end_utc - INTERVAL 12 HOUR + to_hours(CAST(l.lead AS INTEGER)))""")
 _four = ("persistence", "diurnal_persistence", "diurnal_climatology", "linear_trend")
-register_table("bm", "bl", "\n  UNION ALL ".join(f"""
+register_table("bm4", "bl", "\n  UNION ALL ".join(f"""
   SELECT '{n}' AS baseline, series_id, lead, avg(abs({n} - y)) AS mae_all, avg(abs({n} - y)) FILTER (fire_active) AS mae_fire,
     sqrt(avg(pow({n} - y, 2))) AS rmse, count(*) AS n_all, count(*) FILTER (fire_active) AS n_fire
   FROM bl WHERE split = 'val' GROUP BY 1, 2, 3""" for n in _four))
+register_table("bm", "bm4 lagp weatherp", "SELECT * FROM bm4" + "".join(f"""
+  UNION ALL SELECT '{name}', series_id, lead, avg(abs(pred - y)), avg(abs(pred - y)) FILTER (fire_active), sqrt(avg(pow(pred - y, 2))), count(*),
+    count(*) FILTER (fire_active) FROM {t} WHERE split = 'val' GROUP BY 2, 3""" for name, t in (("ar_ridge", "lagp"), ("weather_ridge", "weatherp"))))
 register_table("sk6", "lng", """
   SELECT series_id, split, count(*) FILTER (fire_active) AS n_fire,
     avg(abs(greatest(frp_lag_24h, 0) - y)) FILTER (fire_active) AS mae_model, avg(abs(pers - y)) FILTER (fire_active) AS mae_pers
@@ -66,8 +75,40 @@ def baseline_rows(spark, d):
     return B.forecast_rows(windows(spark, d))
 
 
+RIDGES = {"ar_ridge": AR_RIDGE_FEATURES, "weather_ridge": WEATHER_RIDGE_FEATURES}
+RIDGE_INPUTS = tuple(dict.fromkeys(f for fs in RIDGES.values() for f in fs))
+
+
+def ridge_windows(spark, d):
+    """Windows with their closed-form inputs, and z-scored ridge inputs under ``z``, numbered for the folds; written once."""
+    lay = src.layout(spark, d)
+    rows = feat.build_rows(src.panel(spark, d, lay), lay)
+    keep = ["series_id", "split", "slot_utc", "row_no", "fire_active", "is_fire", "target_end_utc", "targets", "target_mean_frp"]
+    rows = cut(rows.select(*keep, "is_anchor", *RIDGE_INPUTS))
+    norm = N.norm_params(N.norm_table(rows, RIDGE_INPUTS))
+    w = rows.filter("is_anchor").withColumns({"prior": B.prior(), **{f"raw_{f}": F.col(f) for f in AR_RIDGE_FEATURES}})
+    return cut(N.apply_norm(M.with_sample_index(w), norm))
+
+
+def closed_inputs(w):
+    """The windows of ``ridge_windows`` with raw lags, as the closed-form baselines take them."""
+    return w.withColumns({f: F.col(f"raw_{f}") for f in AR_RIDGE_FEATURES})
+
+
 def baseline_metrics(spark, d, split="val"):
-    rows = B.by_baseline(baseline_rows(spark, d).filter(F.col("split") == split))
+    """Lead metrics of all six baselines: four closed forms, and two ridges fitted out of fold from one Gram pass."""
+    return six_metrics(ridge_windows(spark, d), split)
+
+
+def six_metrics(w, split="val"):
+    models = RG.fit_all(w, RIDGES)
+    # The climatology learns from all training windows; only the wanted split is forecast.
+    closed = B.by_baseline(B.forecast_rows(closed_inputs(w)).filter(F.col("split") == split))
+    keep = ["series_id", "split", "slot_utc", "fire_active", "lead", "y"]
+    rows = closed.select("baseline", *keep, "pred")
+    for name, model in models.items():
+        preds = RG.long_predictions(RG.predict(w.filter(F.col("split") == split), model), *keep[:4])
+        rows = rows.unionByName(preds.select(F.lit(name).alias("baseline"), *keep, "pred"))
     return ev.lead_metrics(rows, ("baseline", "series_id", "lead"))
 
 
@@ -343,6 +384,16 @@ def _(spark, d):
     return E.missing_seeds(seed_rows(spark, d, 6), wanted)
 
 
+@query("seed_prediction_files", "IO10", sql("seedp", f"""
+SELECT CAST(seed AS INTEGER) AS seed, count(*) AS n, {rc('sum(pred)', 'total', 4)}, {rc('max(pred)', 'most')} FROM seedp WHERE lead = 6 AND seed <> 7 GROUP BY 1"""))
+def _(spark, d):
+    """Forecasts written as one file set per seed; all but one seed read back."""
+    path = stage_path(spark)
+    writers.write_predictions(seed_rows(spark, d, 6).select("seed", "series_id", "slot_utc", "lead", "pred"), path)
+    p = readers.read_predictions(spark, path, [s for s in src.SEEDS if s != 7])
+    return p.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), rd(F.sum("pred"), 4).alias("total"), rd(F.max("pred")).alias("most"))
+
+
 # ----------------------------------------------------------------- calibration
 
 def ensemble_at(spark, d, lead=6):

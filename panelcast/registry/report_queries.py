@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 from panelcast.plans import baselines as B
 from panelcast.plans import bootstrap as BS
 from panelcast.plans import evaluation as ev
-from panelcast.plans import manifest as M
-from panelcast.plans import normalise as N
 from panelcast.plans import reporting as L
 from panelcast.plans import readiness as R
 from panelcast.plans import ridge as RG
 from panelcast.registry.base import query, r, rc, register_table, sql
-from panelcast.registry.dataset_queries import stored_rows
-from panelcast.registry.evaluation_queries import baseline_metrics, rows_at, seed_rows
+from panelcast.registry.evaluation_queries import baseline_metrics, ridge_windows, rows_at, seed_rows, six_metrics
 from panelcast.registry.feature_queries import windows
 from panelcast.registry.util import rd, rounded
 from panelcast.schema import AR_RIDGE_FEATURES, WEATHER_RIDGE_FEATURES
@@ -94,13 +91,17 @@ SELECT b AS lowest_at_t1, b = 'persistence' AS persistence_lowest,
   (SELECT count(DISTINCT (series_id, slot_utc)) FROM bl WHERE split = 'val' AND fire_active) AS n_fire FROM
   (SELECT baseline AS b FROM bm WHERE lead = 1 GROUP BY 1 ORDER BY avg(mae_fire), baseline LIMIT 1)"""))
 def _(spark, d):
-    w = cut(windows(spark, d))
-    rows = B.forecast_rows(w).filter("split = 'val'")
-    m = cut(ev.lead_metrics(B.by_baseline(rows), ("baseline", "series_id", "lead")))
-    s = R.baseline_sanity(ev.cross_event_by_lead(m, ("baseline", "lead")), w.filter("split = 'val'"))
+    w = ridge_windows(spark, d)
+    s = R.baseline_sanity(ev.cross_event_by_lead(six_metrics(w), ("baseline", "lead")), w.filter("split = 'val'"))
     return s.select("lowest_at_t1", "persistence_lowest", *rounded("mean_fire_value"), "n_all", "n_fire")
 
 
+@query("baseline_sanity_by_series", "C9", sql("anc", """
+SELECT series_id, count(*) AS n_all, count(*) FILTER (fire_active) AS n_fire FROM anc WHERE split = 'val' GROUP BY 1"""))
+def _(spark, d):
+    return R.sanity_by_series(windows(spark, d).filter("split = 'val'"))
+
+
 # Configurations: the stand-in seeds damped to 100, 75 and 50 percent.
 register_table("cfg", "seedp", """
   SELECT s.* EXCLUDE (pred), c.config, s.pred * c.f AS pred FROM seedp s,
@@ -139,7 +140,7 @@ def _(spark, d):
 def _version_sql(split, extra=""):
     from panelcast.registry.base import TABLES
 
-    bm = TABLES["bm"][1].replace("split = 'val'", f"split = '{split}'")
+    bm = TABLES["bm4"][1].replace("split = 'val'", f"split = '{split}'")
     register_table(f"bm_{split}", "bl", bm)
     register_table(f"v_{split}", f"bm_{split}", f"""
       SELECT b.baseline, CASE WHEN b.baseline = 'persistence' THEN 0 ELSE avg(1 - b.mae_fire / nullif(p.mae_fire, 0)) END AS ss
@@ -196,18 +197,7 @@ def _(spark, d):
     return b.select(*rounded("ci_lo", "ci_hi"), "ci_excludes_zero")
 
 
-# ----------------------------------------------------------------- ridge and models
-
-_RIDGE_INPUTS = (*AR_RIDGE_FEATURES, *WEATHER_RIDGE_FEATURES)
-
-
-def indexed_windows(rows):
-    """Normalised, indexed anchor rows: what the ridge models are fitted on."""
-    norm = N.norm_params(N.norm_table(rows, _RIDGE_INPUTS))
-    w = rows.filter("is_anchor").withColumn("prior", B.prior()).select(
-        "series_id", "split", "slot_utc", "fire_active", "targets", "prior", *_RIDGE_INPUTS)
-    return cut(N.apply_norm(M.with_sample_index(w), norm))
-
+# ----------------------------------------------------------------- ridge
 
 _gx = {}
 for _kind, _fs in (("lag", AR_RIDGE_FEATURES), ("weather", WEATHER_RIDGE_FEATURES)):
@@ -229,7 +219,7 @@ def _gram_query(name, covers, kind):
 
     @query(name, covers, sql(f"{kind}x", body))
     def run(spark, d):
-        g = RG.gram(RG.training_rows(indexed_windows(stored_rows(spark, d))), fs, RG.raw_targets())
+        g = RG.gram(RG.training_rows(ridge_windows(spark, d)), fs, RG.raw_targets())
         return g.select("fold", "a", "b", *rounded("value", digits=3))
 
 
@@ -238,94 +228,56 @@ _gram_query("weather_gram", "B7", "weather")
 
 
 def _ridge_skill(w, preds):
-    rows = RG.long_predictions(preds, "series_id", "split", "fire_active", "prior").withColumnRenamed("prior", "persistence")
-    s = ev.event_skill(rows.filter("split <> 'train'"), ("split", "lead", "series_id"))
-    return s.select("split", "lead", "series_id", "n_fire", *rounded("mae_model", "mae_pers", "ss"))
+    rows = RG.long_predictions(preds.filter("split <> 'train'"), "series_id", "split", "fire_active", "prior").withColumnRenamed("prior", "persistence")
+    s = ev.event_skill(rows, ("split", "lead", "series_id"))
+    return s.select("split", F.col("lead").cast("long").alias("lead"), "series_id", "n_fire", *rounded("mae_model", "mae_pers", "ss"))
+
+
+def _skill_sql(table):
+    return f"""
+SELECT split, lead, series_id, n_fire, {rc('m', 'mae_model')}, {rc('p', 'mae_pers')}, {rc('1 - m / nullif(p, 0)', 'ss')} FROM (
+  SELECT split, lead, series_id, count(*) FILTER (fire_active) AS n_fire, avg(abs(pred - y)) FILTER (fire_active) AS m,
+    avg(abs(pers - y)) FILTER (fire_active) AS p FROM {table} WHERE split <> 'train' GROUP BY 1, 2, 3)"""
 
 
-@query("lag_ridge", "B6")
+@query("lag_ridge", "B6", sql("lagp", _skill_sql("lagp")))
 def _(spark, d):
-    w = indexed_windows(stored_rows(spark, d))
+    w = ridge_windows(spark, d)
     return _ridge_skill(w, RG.predict(w, RG.fit(w, AR_RIDGE_FEATURES)))
 
 
-@query("weather_ridge", "B7")
+@query("weather_ridge", "B7", sql("weatherp", _skill_sql("weatherp")))
 def _(spark, d):
-    w = indexed_windows(stored_rows(spark, d))
+    w = ridge_windows(spark, d)
     return _ridge_skill(w, RG.predict(w, RG.fit(w, WEATHER_RIDGE_FEATURES)))
 
 
-@query("residual_ridge", "B8 P11")
+@query("residual_ridge", "B8 P11", sql("residualp", _skill_sql("residualp")))
 def _(spark, d):
-    w = indexed_windows(stored_rows(spark, d))
+    w = ridge_windows(spark, d)
     m = RG.fit(w, AR_RIDGE_FEATURES, RG.residual_targets())
     return _ridge_skill(w, RG.predict_residual(w, m))
 
 
-@query("six_baselines", "A7 C9 L3")
-def _(spark, d):
-    """Skill of all six baselines on validation against gated persistence, and the lag-versus-weather check."""
-    rows = stored_rows(spark, d)
-    closed = B.by_baseline(B.forecast_rows(rows.filter("is_anchor")).filter("split = 'val' AND lead = 6"))
-    metrics = ev.lead_metrics(closed, ("baseline", "series_id", "lead"))
-    x = indexed_windows(rows)
-    for name, fs in (("ar_ridge", AR_RIDGE_FEATURES), ("weather_ridge", WEATHER_RIDGE_FEATURES)):
-        rows = RG.long_predictions(RG.predict(x, RG.fit(x, fs)).filter("split = 'val'"), "series_id", "fire_active")
-        rows = rows.filter("lead = 6").withColumn("baseline", F.lit(name))
-        metrics = metrics.unionByName(ev.lead_metrics(rows, ("baseline", "series_id", "lead")))
-    s = ev.baseline_skill(cut(metrics), exclude=[11])
-    return L.lags_beat_weather(s).select("baseline", *rounded("ss_mean", "ss_std", "ss_excl"), "lags_beat_weather")
-
-
-def six_metrics(spark, d):
-    """Lead metrics on validation of the four closed-form baselines and of both ridges, out of fold, at every lead."""
-    rows = stored_rows(spark, d)
-    keys = ("baseline", "series_id", "lead")
-    metrics = ev.lead_metrics(B.by_baseline(B.forecast_rows(rows.filter("is_anchor")).filter("split = 'val'")), keys)
-    x = indexed_windows(rows)
-    for name, fs in (("ar_ridge", AR_RIDGE_FEATURES), ("weather_ridge", WEATHER_RIDGE_FEATURES)):
-        preds = RG.long_predictions(RG.predict(x, RG.fit(x, fs)).filter("split = 'val'"), "series_id", "fire_active")
-        metrics = metrics.unionByName(ev.lead_metrics(preds.withColumn("baseline", F.lit(name)), keys))
-    return cut(metrics)
+def _coefficient_query(name, covers, kind, features, targets):
+    body = f"""SELECT CAST(lead AS INTEGER) AS lead, {rc('alpha', 'alpha')}, unnest(['one', {', '.join(repr(f) for f in features)}]) AS feature,
+      unnest(list_prepend({r('b')}, list_transform(w, lambda x: {r('x')}))) AS value FROM {kind}best"""
 
-
-def _lead():
-    return F.col("lead").cast("long").alias("lead")
-
-
-@query("lead_metrics_of_six", "A5")
-def _(spark, d):
-    return six_metrics(spark, d).select("baseline", "series_id", _lead(), "n_all", "n_fire", *rounded("mae_all", "mae_fire"),
-                                        F.when(F.col("lead").isin(6, 12), rd("rmse")).alias("rmse"))
-
-
-@query("lead_metrics_summary_of_six", "A6")
-def _(spark, d):
-    s = ev.cross_event_by_lead(six_metrics(spark, d), ("baseline", "lead"))
-    return s.select("baseline", _lead(), *rounded("mae_all_mean", "mae_all_std", "mae_fire_mean", "mae_fire_std"))
-
-
-@query("skill_curve_of_six", "A8")
-def _(spark, d):
-    return ev.skill_curve(six_metrics(spark, d)).select("baseline", _lead(), *rounded("ss"))
-
-
-@query("paper_table_of_six", "L3")
-def _(spark, d):
-    m = six_metrics(spark, d)
-    t = L.paper_table(ev.cross_event_by_lead(m, ("baseline", "lead")), ev.baseline_skill(m, exclude=[11]))
-    return t.select("baseline", *rounded(*[c for c in t.columns if c != "baseline"]))
+    @query(name, covers, sql(f"{kind}best", body))
+    def run(spark, d):
+        m = RG.fit(ridge_windows(spark, d), features, targets())
+        rows = [(k + 1, m.alphas[k], f, v) for k in range(len(m.alphas)) for f, v in zip(("one", *features), (m.intercepts[k], *m.weights[k]))]
+        return spark.createDataFrame(rows, "lead int, alpha double, feature string, value double").select("lead", *rounded("alpha"), "feature", *rounded("value"))
 
 
-@query("best_of_six", "L5")
-def _(spark, d):
-    m = six_metrics(spark, d)
-    b = L.best_baseline(ev.cross_event_by_lead(m, ("baseline", "lead")), m, 11)
-    return b.select("baseline", _lead(), *rounded("series_mae", "others_mae"))
+_coefficient_query("lag_ridge_coefficients", "B6", "lag", AR_RIDGE_FEATURES, RG.raw_targets)
+_coefficient_query("weather_ridge_coefficients", "B7", "weather", WEATHER_RIDGE_FEATURES, RG.raw_targets)
 
 
-@query("sanity_of_six", "C9")
+@query("six_baselines", "A7 C9 L3", sql("bss", f"""
+SELECT baseline, {rc('ss_mean', 'ss_mean')}, {rc('ss_std', 'ss_std')}, {rc('ss_excl', 'ss_excl')},
+  (SELECT ss_mean FROM bss WHERE baseline = 'weather_ridge') < (SELECT ss_mean FROM bss WHERE baseline = 'ar_ridge') AS lags_beat_weather FROM bss"""))
 def _(spark, d):
-    w = windows(spark, d).filter("split = 'val'")
-    s = R.baseline_sanity(ev.cross_event_by_lead(six_metrics(spark, d), ("baseline", "lead")), w)
-    return s.select("lowest_at_t1", "persistence_lowest", *rounded("mean_fire_value"), "n_all", "n_fire")
+    """Skill of all six baselines on validation against gated persistence, and the lag-versus-weather check."""
+    s = ev.baseline_skill(cut(baseline_metrics(spark, d)), exclude=[11])
+    return L.lags_beat_weather(s).select("baseline", *rounded("ss_mean", "ss_std", "ss_excl"), "lags_beat_weather")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.schema import CATALOGUE_SCHEMA, COVARIATE_SCHEMA, NORM_SCHEMA, OBSERVATION_SCHEMA, require
+from panelcast.schema import CATALOGUE_SCHEMA, COVARIATE_SCHEMA, NORM_SCHEMA, OBSERVATION_SCHEMA
 
 SEALED = "test"
 
@@ -37,14 +37,38 @@ def read_observations(spark: SparkSession, folder: str) -> DataFrame:
     return _nan_to_null(df.withColumn("series_id", name)).select("series_id", *[f.name for f in OBSERVATION_SCHEMA])
 
 
+def _files_by_header(spark: SparkSession, glob: str, mark: str) -> dict[tuple[str, ...], list[str]]:
+    """Files with the same header line, which is the one that names the column ``mark``.
+
+    One pass over the lines, with one row per file beyond it: the driver gets the file names it lists for any read, and a
+    header for each kind of file. A file with lines but without a header is an error.
+    """
+    lines = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("path")).filter("value <> ''")
+    heads = lines.groupBy("path").agg(F.max(F.when(F.col("value").contains(mark), F.col("value"))).alias("head"))
+    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    found = {r["head"]: sorted(r["paths"]) for r in heads.groupBy("head").agg(F.collect_list(path).alias("paths")).collect()}
+    if None in found:
+        raise ValueError(f"no header with {mark} in {found[None][0]}")
+    return {tuple(c.strip().strip('"').lstrip("\ufeff") for c in h.split(",")): files for h, files in sorted(found.items())}
+
+
 def read_covariates(spark: SparkSession, folder: str) -> DataFrame:
-    """Weather tables.  Columns are read by name from the header, so a raw accumulation
-    column ``tp_m`` is dropped when present; an absent covariate is an error."""
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(f"{folder}/*_era5_hourly.csv")
-    require(raw, *[f.name for f in COVARIATE_SCHEMA])
-    name = _named(F.col("_metadata.file_path"), "_era5_hourly")
-    typed = raw.select(name.alias("series_id"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in COVARIATE_SCHEMA])
-    return _nan_to_null(typed)
+    """Weather tables, each file read by its own header: columns may stand in any order and further ones (a raw accumulation
+    ``tp_m``) may be there in some files only; an absent covariate is an error that names the file."""
+    wanted = [f.name for f in COVARIATE_SCHEMA]
+    out = None
+    for header, files in _files_by_header(spark, f"{folder}/*_era5_hourly.csv", "slot_utc").items():
+        absent = [c for c in wanted if c not in header]
+        if absent:
+            raise ValueError(f"missing columns: {absent} in {files[0]}")
+        schema = T.StructType([T.StructField(c or f"_c{i}", T.StringType()) for i, c in enumerate(header)])
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(files)
+        name = _named(F.col("_metadata.file_path"), "_era5_hourly")
+        part = raw.select(name.alias("series_id"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in COVARIATE_SCHEMA])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise FileNotFoundError(f"no weather rows in {folder}")
+    return _nan_to_null(out)
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -114,8 +138,20 @@ def run_history(runs: DataFrame) -> DataFrame:
     return runs.select("seed", F.explode("history").alias("h")).select("seed", "h.epoch", "h.val_SS_paper", "h.per_event")
 
 
-def read_predictions(spark: SparkSession, path: str, seeds) -> DataFrame:
-    """Long seed forecasts; an expected seed without rows is an error."""
+def prediction_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(seed, path) of the files ``seed_<number>_valpreds.parquet`` (or folders of parts); only names are read."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path")
+    seed = F.regexp_extract("path", r"seed_(\d+)_valpreds\.parquet", 1)
+    return names.filter(seed != "").select(seed.cast("int").alias("seed"), "path")
+
+
+def read_predictions(spark: SparkSession, folder: str, seeds) -> DataFrame:
+    """Long forecasts of the wanted seeds, from one file (or folder) per seed. Which seeds have files is settled before anything
+    is read: a wanted seed without one is an error."""
     from panelcast.plans.ensembles import require_seeds
 
-    return require_seeds(spark.read.parquet(path), seeds)
+    seeds = sorted({int(x) for x in seeds})
+    require_seeds(prediction_files(spark, folder), seeds)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
+    seed = F.regexp_extract(F.col("_metadata.file_path"), r"seed_(\d+)_valpreds\.parquet", 1)
+    return df.withColumn("seed", F.when(seed != "", seed).cast("int")).filter(F.col("seed").isin(seeds))

@@ -57,5 +57,11 @@ def write_series_files(df: DataFrame, folder: str, name: str, suffix: str) -> No
         "f").option("header", True).csv(folder)
 
 
+def write_predictions(df: DataFrame, folder: str, mode: str = "error") -> None:
+    """Seed forecasts, a folder of parts per seed under the names ``readers.read_predictions`` looks for."""
+    name = F.format_string("seed_%03d_valpreds.parquet", F.col("seed"))
+    df.withColumn("f", name).drop("seed").write.mode(mode).partitionBy("f").parquet(folder)
+
+
 def params_json(norm: dict) -> str:
     return json.dumps({k: {"mean": m, "std": s} for k, (m, s) in norm.items()}, indent=2)
