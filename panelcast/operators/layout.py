@@ -79,6 +79,9 @@ class PanelWindows:
             **{n: F.min(c).over(upto) for n, c in self.mins.items()},
         })
 
+    def _held(self, name: str, part: Column) -> Column:
+        return part.cast("decimal(36,12)") if self._real[name] else part  # two of these add without loss of places
+
     def _out(self, name: str, total: Column) -> Column:
         return total.cast("double") if self._real[name] else total
 
@@ -107,7 +110,7 @@ class PanelWindows:
         upto = here.rowsBetween(Window.unboundedPreceding, 0)
         numbered = src.join(carried, keys).withColumns({
             "row_no": (F.col("_n0") + F.row_number().over(here)).cast("long"),
-            **{n: self._out(n, _plus(F.col(f"_s0_{n}"), F.sum(c).over(upto))) for n, c in self.sums.items()},
+            **{n: self._out(n, _plus(self._held(n, F.col(f"_s0_{n}")), self._held(n, F.sum(c).over(upto)))) for n, c in self.sums.items()},
             **{n: F.least(F.col(f"_m0_{n}"), F.min(c).over(upto)) for n, c in self.mins.items()},
         }).drop("_chunk", "_n0", *[f"_s0_{n}" for n in self.sums], *[f"_m0_{n}" for n in self.mins])
 

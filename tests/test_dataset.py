@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import features as feat
 from panelcast.operators.layout import Layout
+from panelcast.plans import dataset as D
 from panelcast.plans import manifest as M
 from panelcast.plans import quality as Q
 from panelcast.plans import readiness as R
 from panelcast.plans import ridge as RG
 from panelcast.plans import sampling as S
 from panelcast.plans import scoring as SC
-from panelcast.schema import AR_RIDGE_FEATURES, COVARIATES, FEATURES
+from panelcast.schema import AR_RIDGE_FEATURES, COVARIATES, FEATURES, WIND_FEATURES
 from panelcast.sources import readers, writers
 
 PLAIN = Layout()
@@ -146,18 +147,107 @@ def test_audit_gives_the_reason_for_no_windows(spark, panel):
 
 
 def test_checks_fail_when_they_should(spark, panel):
-    w = feat.anchors(panel, PLAIN)
+    scaling = D.fit(panel, PLAIN)
+    w = D.scaled_windows(panel, scaling, PLAIN).cache()
+    rows = D.scaled_rows(panel, scaling, PLAIN)
+    good = {r.check: r for r in R.build_checks(w, rows, scaling.channels, scaling.params).collect()}
+    assert all(r.passed for r in good.values()) and len(good) == 7
     moved = w.withColumn("split", F.when((F.col("series_id") == "a") & (F.col("row_no") > 90), "val").otherwise(F.col("split")))
     assert [r.series_id for r in R.split_leaks(moved).collect()] == ["a"]
-    rows = feat.feature_rows(panel, PLAIN)
-    got = {r.check: r for r in R.build_checks(moved, rows).collect()}
-    assert not got["leaked_series"].passed and not got["mean_range"].passed and got["null_targets"].passed
-    v = R.verdict(R.build_checks(moved, rows)).first()
+    raw = feat.feature_rows(panel, PLAIN)
+    got = {r.check: r for r in R.build_checks(moved, raw, scaling.channels[:-1], scaling.params).collect()}
+    assert {c for c, r in got.items() if not r.passed} == {"leaked_series", "mean_range", "std_range", "feature_count"}
+    v = R.verdict(R.build_checks(moved, raw, scaling.channels, scaling.params)).first()
     assert not v.ready and v.failed == "leaked_series,mean_range,std_range"
+    holes = w.withColumn("inputs", F.transform("inputs", lambda x, i: x.withField("u10", F.when(i != 4, x["u10"]))))
+    got = {r.check: r.detail for r in R.build_checks(holes, rows, scaling.channels, scaling.params).collect()}
+    assert got["null_inputs"] == w.count()
+    empty = R.build_checks(w.limit(0), rows.limit(0), scaling.channels, scaling.params).filter("not passed").collect()
+    assert {r.check for r in empty} == set()  # no window has a fault; that there are none is the evidence's to say
     bad = w.withColumn("targets", F.transform("targets", lambda x: x - 1e6))
     assert not R.target_sanity(bad).filter("split = 'val'").first().passed
 
 
+def test_evidence_names_what_is_wrong(spark, panel):
+    scaling = D.fit(panel, PLAIN, wind=False)
+    rows = D.scaled_rows(panel, scaling, PLAIN).cache()
+    ids = [r.series_id for r in panel.select("series_id").distinct().collect()]
+    tiers = ("high", "medium", "low")
+    cat = spark.createDataFrame([(s, "train", tiers[i % 3]) for i, s in enumerate(sorted(ids))], "series_id string, split string, intensity_tier string")
+    fine = spark.createDataFrame([(True, True)], "target_ok boolean, input_ok boolean")
+
+    def failed(rows=rows, aligned=fine, cat=cat):
+        e = R.evidence(rows, aligned, cat, scaling.features, PLAIN)
+        assert e.count() == 14
+        return {(r.check, r.item) for r in e.filter("not passed").collect()}
+
+    base = failed()
+    assert base <= {("tiers", "missing_tiers"), ("drift", "mismatches")}  # small hand-made panels drift
+    assert failed(aligned=spark.createDataFrame([(True, False)], "target_ok boolean, input_ok boolean")) - base == {("alignment", "inputs")}
+    assert failed(aligned=fine.limit(0)) - base == {("alignment", "targets"), ("alignment", "inputs")}
+    assert failed(rows.withColumn("u10", F.lit(1.0))) - base == {("integrity", "constant")} | ({("drift", "mismatches")} - base)
+    assert ("targets", "n_negative") in failed(rows.withColumn("targets", F.transform("targets", lambda x: -1 - x)))
+    assert failed(cat=cat.withColumn("intensity_tier", F.lit("high"))) >= {("tiers", "missing_tiers")}
+    crossed = rows.withColumn("split", F.when((F.col("series_id") == "a") & (F.col("row_no") > 90), "val").otherwise(F.col("split")))
+    assert ("leakage", "cross_split") in failed(crossed)
+    assert not R.verdict(R.evidence(crossed, fine, cat, scaling.features, PLAIN)).first().ready
+
+
+def brute_window(g, end, scaling):
+    """Inputs of the window that ends at row ``end`` of one series' feature rows, wind frames inside the window only."""
+    steps = g.iloc[end - 47:end + 1]
+    x = {f: steps[f].to_numpy() for f in scaling.features}
+    for f, (m, s) in scaling.params.items():
+        x[f] = (x[f] - m) / s
+    wind = {f: np.empty(48) for f in scaling.wind}
+    for t in range(48):
+        part = steps.iloc[max(0, t - 11):t + 1]
+        row = steps.iloc[t]
+        wind["shear_signed"][t] = row.wind_speed_850 - row.wind_speed_10m
+        wind["hdw_product"][t] = row.vpd_kPa * row.wind_speed_10m
+        wind["wind_frp_coupling"][t] = row.wind_speed_850 * max(row.frp_lag_1h, 0)
+        wind["wind_var_12h"][t] = part.u10.std(ddof=0) + part.v10.std(ddof=0)
+        wind["ws850_max_12h"][t] = part.wind_speed_850.max()
+    return np.stack([*x.values(), *[(wind[f] - m) / s for f, (m, s) in scaling.wind.items()]], axis=1)
+
+
+@pytest.mark.parametrize("lay", [PLAIN, Layout(blocked=True, block_rows=90, chunk_days=3)])
+def test_scaled_windows_equal_brute_force(panel, lay):
+    scaling = D.fit(panel, lay)
+    assert scaling.channels == (*FEATURES, *WIND_FEATURES)
+    rows = feat.feature_rows(panel, PLAIN).toPandas().sort_values(["series_id", "slot_utc"])
+    got = D.scaled_windows(panel, scaling, lay).filter("series_id in ('a', 'b')").toPandas()
+    assert len(got) > 20
+    for r in got.sample(12, random_state=1).itertuples():
+        g = rows[rows.series_id == r.series_id].reset_index(drop=True)
+        want = brute_window(g, r.row_no - 1, scaling)
+        have = np.array([[x[c] for c in scaling.channels] for x in r.inputs], float)
+        np.testing.assert_allclose(have, want, rtol=1e-9, atol=1e-9)
+    every = np.concatenate([brute_window(g.reset_index(drop=True), t - 1, scaling)[:, len(FEATURES):]
+                            for s, g in rows[rows.split == "train"].groupby("series_id")
+                            for t in D.scaled_windows(panel, scaling, PLAIN).filter(F.col("series_id") == s).toPandas().row_no])
+    np.testing.assert_allclose(every.mean(axis=0), 0, atol=1e-6)
+    np.testing.assert_allclose(every.std(axis=0), 1, atol=1e-6)
+
+
+def test_a_constant_feature_is_left_out_and_nulls_in_it_do_not_matter(panel):
+    flat = panel.withColumn("blh_m", F.when(F.col("slot_utc") > F.lit("2024-02-22").cast("timestamp_ntz"), 7.0))
+    scaling = D.fit(flat, PLAIN)
+    assert "blh_m" not in scaling.channels and len(scaling.channels) == 36
+    w = D.scaled_windows(flat, scaling, PLAIN)
+    assert w.count() == feat.anchors(panel, PLAIN).count()
+    assert w.schema["inputs"].dataType.elementType.names == list(scaling.channels)
+
+
+def test_drift_of_raw_rows_is_that_of_scaled_ones(panel):
+    scaling = D.fit(panel, PLAIN, wind=False)
+    a = R.drift(D.scaled_rows(panel, scaling, PLAIN)).toPandas().set_index("feature").sort_index()
+    b = R.drift_of_raw(feat.weighted_rows(panel, PLAIN)).toPandas().set_index("feature").sort_index()
+    np.testing.assert_allclose(a["mean"], b["mean"], atol=1e-8)
+    np.testing.assert_allclose(a["std"], b["std"], atol=1e-8)
+    assert (a.match == b.match).all()
+
+
 def test_alignment_notices_a_shifted_target(panel):
     w = S.spot_sample(feat.anchors(panel, PLAIN)).cache()
     pw = feat.open_panel(panel, PLAIN)
@@ -183,9 +273,31 @@ def test_series_files_and_named_columns(spark, tmp_path):
     assert o.count() == c.count() == 30 and {r.series_id for r in o.select("series_id").distinct().collect()} == {"big_fire_2021"}
     assert o.filter("sat_fraction is null").count() == 1 and "tp_m" not in c.columns
     np.testing.assert_allclose(c.orderBy("slot_utc").toPandas().u10, p.u10)
-    cov.drop(columns=["u10"]).to_csv(tmp_path / "big_fire_2021_era5_hourly.csv", index=False)
-    with pytest.raises(ValueError, match="u10"):
+    cov[["u10", *[c for c in reversed(COVARIATES) if c != "u10"], "slot_utc"]].to_csv(tmp_path / "odd name+1_era5_hourly.csv", index=False)
+    two = readers.read_covariates(spark, str(tmp_path)).toPandas()
+    assert set(two.series_id) == {"big_fire_2021", "odd name+1"} and len(two) == 60
+    for _, g in two.groupby("series_id"):
+        for c in COVARIATES:
+            np.testing.assert_allclose(g.sort_values("slot_utc")[c], p[c])
+    cov.drop(columns=["u10"]).to_csv(tmp_path / "third_era5_hourly.csv", index=False)
+    with pytest.raises(ValueError, match="u10.*third"):
         readers.read_covariates(spark, str(tmp_path))
+    (tmp_path / "third_era5_hourly.csv").write_text("1,2,3\n")
+    with pytest.raises(ValueError, match="no header"):
+        readers.read_covariates(spark, str(tmp_path))
+
+
+def test_a_lost_seed_is_an_error_before_anything_is_read(spark, tmp_path):
+    df = spark.createDataFrame([(s, f"e{i}", float(s + i)) for s in (0, 1, 12) for i in range(3)], "seed int, series_id string, pred double")
+    writers.write_predictions(df, str(tmp_path / "p"))
+    got = readers.read_predictions(spark, str(tmp_path / "p"), (0, 12))
+    assert sorted((r.seed, r.series_id, r.pred) for r in got.collect()) == sorted((r.seed, r.series_id, r.pred) for r in df.filter("seed <> 1").collect())
+    with pytest.raises(FileNotFoundError, match="2, 3"):
+        readers.read_predictions(spark, str(tmp_path / "p"), (0, 2, 3))
+    for f in (tmp_path / "p").glob("f=seed_012*/*.parquet"):
+        f.write_bytes(b"no parquet")  # names alone tell that seed 5 is lost
+    with pytest.raises(FileNotFoundError, match="5"):
+        readers.read_predictions(spark, str(tmp_path / "p"), (12, 5))
 
 
 def test_sample_store_is_pruned_and_the_test_split_sealed(spark, panel, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.plans import bootstrap, ensembles, normalise, quality, readiness
+from panelcast.plans import bootstrap, ensembles, normalise, quality
 from panelcast.sources import readers
 
 
@@ -27,12 +27,6 @@ def test_statistics_of_a_group_without_windows_are_null(spark):
     assert got == {"train": (3.0, 1.0), "val": (None, None)}
 
 
-def test_a_check_without_rows_fails(spark):
-    good = spark.createDataFrame([(True,)], "passed boolean")
-    v = readiness.verdict(readiness.checks_from({"good": good, "empty": good.limit(0)})).first()
-    assert (v.ready, v.failed) == (False, "empty")
-
-
 def test_bootstrap_method_is_the_callers(spark):
     values = spark.createDataFrame([(0, 1.0), (1, 4.0)], "idx long, value double")
     exact = sorted(r.m for r in bootstrap.resample_means(values, 2, method="exact").collect())

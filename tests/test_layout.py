@@ -43,6 +43,21 @@ def test_blocks_give_the_same_rows_as_whole_series(panel):
         same(feat.build_rows(panel, PLAIN, wind=wind), feat.build_rows(panel, BLOCKED, wind=wind), ["series_id", "slot_utc"])
 
 
+def test_running_sums_are_equal_to_the_last_bit(panel):
+    whole = feat.feature_rows(panel, PLAIN).select("series_id", "slot_utc", "cumulative_frp").toPandas().sort_values(["series_id", "slot_utc"])
+    for rows, days in ((97, 2), (140, 5)):
+        part = feat.feature_rows(panel, lay.Layout(blocked=True, block_rows=rows, chunk_days=days)).toPandas().sort_values(["series_id", "slot_utc"])
+        assert whole.cumulative_frp.tolist() == part.cumulative_frp.tolist()
+
+
+def test_value_ranges_stay_within_their_share(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame({"v": rng.lognormal(0, 3, 40_000)})).cache()
+    for share in (100_000, 700, 90):
+        sizes = lay.value_range(df, "v", lay.splitters(df, "v", share=share), "r").groupBy("r").count().toPandas()["count"]
+        assert sizes.max() <= 1.1 * max(min(share, 40_000 / 8), 1) + 1 and len(sizes) >= 8
+
+
 def test_blocks_give_the_same_window_weights(panel):
     same(feat.weighted_rows(panel, PLAIN), feat.weighted_rows(panel, BLOCKED), ["series_id", "slot_utc"])
 
