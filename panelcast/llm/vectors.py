@@ -1,4 +1,4 @@
-"""Near-duplicate vectors: all pairs of a label by blocks, and in very large labels sorted projection passes where those are fewer."""
+"""Near-duplicate vectors: sorted projection passes, as many as a label's size and crowding ask for; verified pairs are united."""
 
 from __future__ import annotations
 
@@ -17,10 +17,8 @@ HASH_BITS = 40
 SWEPT = {"seam": pa.int32(), "side": pa.int32(), "pass": pa.int32(), "label": pa.int64(), "dim": pa.int32(), "key": pa.int64(),
          "id": pa.int64(), "vec": pa.binary(), "root": pa.int64()}
 SEED = 97
-BLOCK_ROWS, BLOCK_BYTES = 8192, 32_000_000  # of vectors that a task compares with as many others
-STRIP = 512  # rows compared at once
-SAMPLE = 512  # vectors of a large label that say how crowded it is
-MOST_PASSES = 100_000
+SAMPLE = 512  # vectors of a label that say how crowded it is
+MOST_PASSES = 100_000  # a label that asks for more is an error: a wider window serves it
 
 
 def _tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +52,7 @@ def passes_for(sample: np.ndarray, centre: np.ndarray, n: int, window: int, leas
 
     A pair agrees in j signs with a chance of p ** j. It is seen where the rows that agree in as many signs with one of it are no
     more than half a window; how many do, and so j, is read off the sample for each of its rows, and the recall is the mean over them.
-    Rows that a row is linked with do not count as its crowd.
+    Rows that a row is linked with do not count as its crowd. A recall that MOST_PASSES do not reach is an error, never lowered.
     """
     c = sample - centre
     size = np.sqrt((c * c).sum(axis=1))
@@ -67,6 +65,8 @@ def passes_for(sample: np.ndarray, centre: np.ndarray, n: int, window: int, leas
         j = np.where((j == HASH_BITS) & (n * crowd.sum(axis=1) / len(sample) <= window / 2), k, j)
         crowd = crowd * same
     missed = np.log1p(-np.minimum(p**j, 1 - 1e-12))
+    if 1 - np.exp(missed * MOST_PASSES).mean() < recall:
+        raise ValueError(f"{n} vectors of one label are too alike for a recall of {recall} in {MOST_PASSES} passes: take a wider window than {window}")
     lo, hi = 1, MOST_PASSES
     while lo < hi:
         mid = (lo + hi) // 2
@@ -75,13 +75,13 @@ def passes_for(sample: np.ndarray, centre: np.ndarray, n: int, window: int, leas
 
 
 def _plan(window: int, least: float, recall: float):
-    """Centre and number of passes of a large label, from a sample of it."""
+    """Centre and number of passes of a label, from a sample of it."""
     def run(t: pa.Table) -> pa.Table:
         m, n = unit_rows(t.column("vec").to_pylist()), t.column("rows")[0].as_py()
         centre = m.mean(axis=0)
         return pa.table({
             "label": t.column("label").slice(0, 1), "dim": t.column("dim").slice(0, 1), "centre": pa.array([centre.tobytes()], pa.binary()),
-            "passes": pa.array([passes_for(m, centre, n, window, least, recall)], pa.int32()), "blocks": t.column("blocks").slice(0, 1)})
+            "passes": pa.array([passes_for(m, centre, n, window, least, recall)], pa.int32())})
     return run
 
 
@@ -101,30 +101,6 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ["pass", "label", "dim", "key", "id", "vec"])
 
 
-def _unite(least: float):
-    """Unites the pairs between two blocks of a label (or within one) that pass; no pair is written out."""
-    def run(t: pa.Table) -> pa.Table:
-        side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
-        m = unit_rows(t.column("vec").to_pylist())
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        others = right if len(right) else left
-        root = np.arange(len(ids))
-        if t.column("i")[0].as_py() == t.column("j")[0].as_py() or len(left) and len(right):
-            for at in range(0, len(left), STRIP):
-                a, b = np.nonzero(m[left[at:at + STRIP]] @ m[others].T >= least)
-                a, b = left[at + a], others[b]
-                while len(a):
-                    low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-                    np.minimum.at(root, high, low)
-                    while (root != root[root]).any():
-                        root = root[root]
-                    apart = root[a] != root[b]
-                    a, b = a[apart], b[apart]
-        linked = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table({"id": pa.array(ids[linked], pa.int64()), "root": pa.array(ids[root[linked]], pa.int64())})
-    return run
-
-
 class _Unions(dict):
     def root(self, x: int) -> int:
         while (up := self.get(x, x)) != x:
@@ -216,17 +192,17 @@ def _count(least: float):
 
 
 def near_duplicates(
-    df: DataFrame, least: float = 0.93, whole: int = 200_000, recall: float = 0.999, window: int = 32, block: int = 512,
+    df: DataFrame, least: float = 0.93, recall: float = 0.9995, window: int = 32, block: int = 512,
     id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """One row per input row: ``vec_id``, ``n_links``, ``component_id`` (smallest id that links reach), ``kept``.
 
-    Vectors of one label whose cosine (in doubles) is at least ``least`` are linked. Equal vectors are one class.
-    Within a label of up to ``whole`` classes all pairs are compared, block by block (pairs of blocks are dealt over tasks; no pair
-    is written out): no link is missed. So they are in a larger one that takes no more blocks than passes. Else a pass orders the classes by the concatenated signs of the centred vectors
-    on random directions, and compares each with the ``window`` classes after it; ranges are sorted apart, and the seams between
-    them are compared too. There are as many passes as a sample of the label says the ``recall`` takes (``passes_for``).
-    Verified pairs are united. Links are then counted exactly inside each component, again block by block.
+    Vectors of one label whose cosine (in doubles) is at least ``least`` are linked. Equal vectors are one class. A pass
+    orders the classes of a label by the concatenated signs of the centred vectors on random directions, and compares each with the
+    ``window`` classes after it; ranges are sorted apart, and the seams between them are compared too. A label has as many passes
+    as its size and a sample of it say the ``recall`` of a pair at the threshold takes (``passes_for``), whatever its size; where a label has
+    fewer classes than half a window one pass sees every pair. Verified pairs are united, so a pair that no pass sees is lost
+    only where no other links connect its ends. Links are then counted exactly inside each component, block by block.
 
     Vectors that are null, empty, zero or hold a null or non-finite component, and rows with a null label, link with nothing;
     so do vectors of different length. Rows with a null id are never linked (``component_id`` null, kept). Repeated rows
@@ -243,20 +219,8 @@ def near_duplicates(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sized = firsts.select(F.col("vec_id").alias("id"), "label", "vec", (F.octet_length("vec") / 8).cast("int").alias("dim"))
     rows_of = cut(sized.groupBy("label", "dim").agg(F.count("*").alias("rows")))
-    sized = sized.join(rows_of, ["label", "dim"])
-    per_block = F.greatest(F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))), F.lit(1))
-    sized = sized.withColumn("blocks", F.ceil(F.col("rows") / per_block).cast("int"))
-
-    some = sized.filter(F.col("rows") > whole).filter(F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.col("rows")) < SAMPLE)
-    plan = some.groupBy("label", "dim").applyInArrow(_plan(window, least, recall), "label long, dim int, centre binary, passes int, blocks int")
-    plan = cut(plan.filter("passes < blocks").drop("blocks"))
-
-    together = sized.join(plan.select("label", "dim"), ["label", "dim"], "left_anti")
-    together = together.withColumn("own", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")).cast("int"))
-    together = together.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    together = together.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                               F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "vec")
-    block_links = together.groupBy("label", "dim", "i", "j").applyInArrow(_unite(least), "id long, root long")
+    some = sized.join(rows_of, ["label", "dim"]).filter(F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.col("rows")) < SAMPLE)
+    plan = cut(some.groupBy("label", "dim").applyInArrow(_plan(window, least, recall), "label long, dim int, centre binary, passes int"))
 
     hashed = sized.join(plan, ["label", "dim"]).select("id", "label", "vec", "dim", "centre", "passes").mapInArrow(
         _hashed, "pass int, label long, dim int, key long, id long, vec binary")
@@ -265,7 +229,7 @@ def near_duplicates(
         _sweep(window, least), "seam int, side int, pass int, label long, dim int, key long, id long, vec binary, root long"))
     seams = swept.filter("root is null and seam >= 0")  # ranges are numbered in order: a tail and the next head share a seam
     seam_links = seams.groupBy("seam").applyInArrow(_seams(window, least), "id long, root long")
-    links = swept.filter("root is not null").select("id", "root").unionByName(seam_links).unionByName(block_links)
+    links = swept.filter("root is not null").select("id", "root").unionByName(seam_links)
     groups = cut(components(links, "id", "root"))
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
