@@ -323,40 +323,83 @@ def test_decontamination(spark, corpus):
     assert decontaminate.passages(df.limit(0), bench).count() == 0 and decontaminate.passages(df, bench.limit(0)).count() == 0
 
 
-def test_decontamination_finds_all_at_the_allowed_distance():
+@pytest.mark.parametrize("kind", ["s", "d", "i", "sdi"])
+def test_decontamination_recall_at_the_allowed_distance(kind):
+    """Substitutions, deletions, insertions and mixtures, at even and at random places, for items of 1 to 130 words."""
     rng = random.Random(16)
     items = [(n, [f"i{rng.randrange(10**9)}" for _ in range(n)]) for n in (1, 4, 5, 6, 9, 10, 15, 20, 29, 30, 40, 53, 55, 59, 64, 80, 130)]
-    index = decontaminate.Index([(n, " ".join(w)) for n, w in items], 0.8)
-    known, texts, want = decontaminate.Hashes(), [], []
+    index = decontaminate.Index([(n, " ".join(w)) for n, w in items], 0.8, 0.98)
+    known, texts, want = decontaminate.Hashes(), [], set()
     for k, (n, item) in enumerate(items):
-        for kinds in ("s", "d", "i", "sdi"):
-            for spread in (False, True, True, True):
-                w, edits = list(item), decontaminate.allowed_edits(n, 0.8)
-                inner = list(range(1, n - 1))
-                where = [(i + 1) * n // (edits + 1) for i in range(edits)] if not spread else rng.sample(inner, edits)
-                for at in sorted(where, reverse=True):
-                    kind = rng.choice(kinds)
-                    w[at:at + (kind != "i")] = [] if kind == "d" else [f"new{rng.randrange(10**9)}"]
-                want.append((len(texts), k))
-                texts.append(" ".join(words_of(rng, 150) + w + words_of(rng, rng.randrange(90))))
+        for spread in (False, True, True, True, True, True):
+            w, edits = list(item), decontaminate.allowed_edits(n, 0.8)
+            where = [(i + 1) * n // (edits + 1) for i in range(edits)] if not spread else rng.sample(range(1, n - 1), edits)
+            for at in sorted(where, reverse=True):
+                one = rng.choice(kind)
+                w[at:at + (one != "i")] = [] if one == "d" else [f"new{rng.randrange(10**9)}"]
+            want.add((len(texts), k))
+            texts.append(" ".join(words_of(rng, 150) + w + words_of(rng, rng.randrange(90))))
     hashes = [known.of(t) for t in texts]
     got = index.search(np.concatenate(hashes), np.cumsum([len(h) for h in hashes]))
-    assert sorted({(d, k) for d, k, *_ in got}) == want
+    found = {(d, k) for d, k, *_ in got}
+    assert found <= want and len(found) >= 0.95 * len(want)
     assert all(0 <= x <= index.edits[k] for _, k, _, _, x in got)
 
 
+def least_distance(item, doc):
+    """Edit distance of the item to the closest stretch of the document, cell by cell."""
+    row = [0] * (len(doc) + 1)
+    for i, w in enumerate(item):
+        nxt = [i + 1]
+        for j, x in enumerate(doc):
+            nxt.append(min(row[j] + (w != x), row[j + 1] + 1, nxt[j] + 1))
+        row = nxt
+    return min(row)
+
+
+def test_decontamination_against_a_scan_of_every_stretch(spark):
+    """Words from a small vocabulary, so that near misses abound."""
+    rng = random.Random(23)
+    items = [(i, words_of(rng, rng.choice([12, 20, 33, 47]), 60)) for i in range(12)]
+    docs = []
+    for d in range(60):
+        w = words_of(rng, rng.randrange(0, 60), 60)
+        if d % 2:
+            item = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(0, len(item) // 3)):
+                at = rng.randrange(len(item))
+                item[at:at + rng.choice([0, 1, 1])] = rng.choice([[], words_of(rng, 1, 60)])
+            w += item + words_of(rng, rng.randrange(0, 30), 60)
+        docs.append((d, w))
+    want = {(d, i) for d, w in docs for i, item in items if least_distance(item, w) <= decontaminate.allowed_edits(len(item), 0.8)}
+    df = spark.createDataFrame([(d, " ".join(w), 1, "x") for d, w in docs], "doc_id long, text string, item_id int, start_word string")
+    bench = spark.createDataFrame([(i, " ".join(w), 0) for i, w in items], "item_id long, text string, doc_id int")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.passages(df, bench).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 15
+
+
+def test_null_items_keep_their_null(spark, monkeypatch):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(None, item), (-1, "a b c d e f g h i j k l"), (-1, "a b c d e f g h i j k l")], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"x {item} y"), (None, "a b c d e f g h i j k l"), (None, "a b c d e f g h i j k l")], "doc_id long, text string")
+    want = [(1, None)] + [(None, -1)] * 4
+    for size in (8_000_000, 20):  # the second takes several passes
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert sorted(((r.doc_id, r.item_id) for r in decontaminate.passages(df, bench).collect()), key=str) == sorted(want, key=str)
+
+
 def test_decontamination_of_adjacent_copies():
     rng = random.Random(18)
     item = words_of(rng, 40)
     h = decontaminate.Hashes().of(" ".join(item + item[:15] + item[18:] + item))
-    index = decontaminate.Index([(1, " ".join(item))], 0.8)
+    index = decontaminate.Index([(1, " ".join(item))], 0.8, 0.98)
     assert sorted(index.search(h, np.array([len(h)]))) == [(0, 0, 0, 40, 0), (0, 0, 40, 77, 3), (0, 0, 77, 117, 0)]
 
 
 def test_decontamination_in_small_steps(monkeypatch):
     rng = random.Random(17)
     item = words_of(rng, 40)
-    index = decontaminate.Index([(1, " ".join(item)), (2, " ".join(item))], 0.8)
+    index = decontaminate.Index([(1, " ".join(item)), (2, " ".join(item))], 0.8, 0.98)
     hashes = [decontaminate.Hashes().of(" ".join(words_of(rng, i % 7) + (item if i % 3 else []))) for i in range(40)]
     args = np.concatenate(hashes), np.cumsum([len(h) for h in hashes])
     want = index.search(*args)
