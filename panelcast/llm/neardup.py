@@ -20,7 +20,8 @@ from panelcast.session import cut
 CHUNKS, WIDTH, BITS = 10, 4, 16
 SEED = 20_261
 FINE = 216  # further symbols, of 8 bits, that tell texts below the threshold from those above it; only for pairs left after the pivots
-BLOCK = 1024  # members of a bucket that meet another block in one task
+BLOCK, BLOCK_BYTES = 1024, 16_000_000  # members of a bucket, and bytes of their packed words, that meet another block in one task
+SETS_HELD = 512  # full sets a task keeps while it confirms
 
 
 def index_keys(sigs: np.ndarray) -> np.ndarray:
@@ -87,13 +88,17 @@ def _confirm(k: int, percent: int):
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 if last[0] != x:
                     last = (x, full(x))
-                s, t = last[1], full(y)
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                keep[i] = shared > 0 and 100 * shared >= percent * (len(s) + len(t) - shared)
+                keep[i] = similar(last[1], full(y), percent)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
     return run
 
 
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Exact: 100 * intersection >= percent * union, of sets with something in common."""
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return shared > 0 and 100 * shared >= percent * (len(s) + len(t) - shared)
+
+
 def most_differences(percent: int, symbols: int) -> int:
     """Symbols in which a pair at the threshold differs, with a chance of about 1e-5 of more."""
     p = 1 - percent / 100
@@ -109,13 +114,12 @@ def _fine_sketches(k: int):
             for blob in b.column(1).to_pylist():
                 s = shingles.shingle_set(known.of(open_(blob).split()), k)
                 sigs.append(shingles.minhash(s, coarse, BITS).astype("<u2").tobytes() + shingles.minhash(s, fine, 8, 2048).astype("u1").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["id", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), b.column(1)], ["id", "sig", "words"])
     return run
 
 
-def close_pairs(key: int, coarse: np.ndarray, fine: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(key: int, coarse: np.ndarray, fine: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of ``left`` and ``right`` of different components whose signatures are close, if ``key`` is the first key they share."""
-    xs, ys = [], []
     for r in range(0, len(left), 64):
         some = left[r:r + 64]
         apart = (coarse[some][:, None, :] != coarse[right][None, :, :]).sum(axis=2)
@@ -128,30 +132,51 @@ def close_pairs(key: int, coarse: np.ndarray, fine: np.ndarray, c: np.ndarray, l
         mine = equal[np.arange(len(x)), chunk]
         left_out = np.where(mine.all(axis=1), 0, mine.argmin(axis=1))
         first = chunk * WIDTH + left_out == key >> BITS * (WIDTH - 1)
-        xs.append(x[first])
-        ys.append(y[first])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *xs]), np.concatenate([none, *ys])
+        yield x[first], y[first]
 
 
-def _meet(most: int):
-    """Over rows sorted by (key, i, j): two blocks of a bucket, or one with itself, held at a time."""
+def _meet(k: int, percent: int, most: int):
+    """Over rows sorted by (key, i, j): two blocks of a bucket, or one with itself, held at a time. Pairs with close signatures are
+    confirmed on full sets and united at once, unless other links already connect them; what comes out is the uniting links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(t: pa.Table) -> pa.RecordBatch:
+        known, open_ = shingles.WordHashes(), zstandard.ZstdDecompressor().decompress
+
+        def links(t: pa.Table) -> pa.RecordBatch:
             key, i, j, side, ids, c = (t.column(n).to_numpy() for n in ("key", "i", "j", "side", "id", "c"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
             coarse, fine = np.ascontiguousarray(sig[:, :-FINE]).view("<u2"), sig[:, -FINE:]
+            words = t.column("words")
             edges = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            a, b = [], []
             for lo, hi in zip([0, *edges], [*edges, len(ids)]):
                 here = np.arange(lo, hi)
                 left, right = (here, here) if i[lo] == j[lo] else (here[side[lo:hi] == 0], here[side[lo:hi] == 1])
-                x, y = close_pairs(int(key[lo]), coarse, fine, c, left, right, most)
-                if i[lo] == j[lo]:
-                    x, y = x[x < y], y[x < y]
-                a.append(np.minimum(ids[x], ids[y]))
-                b.append(np.maximum(ids[x], ids[y]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                root: dict[int, int] = {}
+                sets: dict[int, np.ndarray] = {}
+
+                def top(x: int) -> int:
+                    while (up := root.get(x, x)) != x:
+                        root[x] = x = root.get(up, up)
+                    return x
+
+                def full(x: int) -> np.ndarray:
+                    got = sets.get(x)
+                    if got is None:
+                        if len(sets) >= SETS_HELD:
+                            sets.clear()
+                        got = sets[x] = shingles.shingle_set(known.of(open_(words[x].as_py()).split()), k)
+                    return got
+
+                for xs, ys in close_pairs(int(key[lo]), coarse, fine, c, left, right, most):
+                    for x, y in zip(xs.tolist(), ys.tolist()):
+                        if i[lo] == j[lo] and x >= y:
+                            continue
+                        p, q = top(int(c[x])), top(int(c[y]))
+                        if p != q and similar(full(x), full(y), percent):
+                            root[max(p, q)] = min(p, q)
+                            a.append(min(ids[x], ids[y]))
+                            b.append(max(ids[x], ids[y]))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         held = None
         for part in batches:
@@ -163,27 +188,30 @@ def _meet(most: int):
             last = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
             whole = int(last[-1]) + 1 if len(last) else 0
             if whole:
-                yield pairs(t.slice(0, whole))
+                yield links(t.slice(0, whole))
             held = t.slice(whole)
         if held is not None and len(held):
-            yield pairs(held)
+            yield links(held)
     return run
 
 
-def meetings(here: DataFrame, sigs: DataFrame, most: int) -> DataFrame:
-    """(``a``, ``b``): pairs of buckets' members (``key``, ``id``, ``c``) in different components with close signatures, each once.
+def meetings(here: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(``a``, ``b``): confirmed links that unite the components of buckets' members (``key``, ``id``, ``c``).
 
-    A bucket is cut into blocks, and each two blocks meet in one task; only pairs within the signature distance are put out.
+    ``sigs`` has ``sig`` and ``words`` by ``id``. A bucket is cut into blocks of BLOCK members and BLOCK_BYTES of words; each two blocks meet in
+    one task, which puts out fewer links than it holds members.
     """
-    sizes = here.groupBy("key").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    sized = here.join(sigs.select("id", F.octet_length("words").alias("bytes")), "id")
+    sizes = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(SEED)), blocks).cast("int")
     placed = here.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "c")
     dealt = placed.join(sigs, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "side", "id", "c", "sig").mapInArrow(_meet(most), "a long, b long")
+    return dealt.select("key", "i", "j", "side", "id", "c", "sig", "words").mapInArrow(
+        _meet(k, percent, most_differences(percent, CHUNKS * WIDTH + FINE)), "a long, b long")
 
 
 class HammingJoin:
@@ -192,12 +220,12 @@ class HammingJoin:
     A bucket compares its members with one pivot; members confirmed or linked elsewhere share its component and need no
     pair of their own. Further rounds take other pivots of buckets whose members still lie in several components. After
     ``pivots`` rounds what is left - members of one bucket in different components, not compared yet - is given to ``meet``, which
-    tells the pairs to confirm (by default all of them). So every pair of a bucket is either compared or already known to be
-    connected.
+    puts out confirmed links. Without it all pairs that are left are confirmed one by one. So every pair of a bucket is either
+    compared or already known to be connected.
     """
 
     def __init__(self, filed: DataFrame, confirm, pivots: int = 3, meet=None):
-        self.confirm, self.pivots, self.meet = confirm, pivots, meet or self._every_pair
+        self.confirm, self.pivots, self.meet = confirm, pivots, meet
         shared = cut(filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
         self.filed = cut(filed.join(shared, "key"))
 
@@ -231,10 +259,9 @@ class HammingJoin:
             groups = cut(components(links))
         here = self._open(groups)
         if not here.isEmpty():
-            fresh = self._fresh(self.meet(here), tried)
-            if not fresh.isEmpty():
-                links = cut(links.unionByName(self.confirm(fresh)))
-                groups = cut(components(links))
+            more = self.meet(here) if self.meet else self.confirm(self._fresh(self._every_pair(here), tried))
+            links = cut(links.unionByName(more))
+            groups = cut(components(links))
         return groups
 
     @staticmethod
@@ -255,7 +282,8 @@ def near_duplicates(
     Texts whose k-word shingle sets have 100 * intersection >= percent * union are linked. Equal word sequences are one
     class, found by hash, and only the smallest id of a class is searched for further links; so copies never become pairs.
     The other classes are filed by the multi-index, compared as ``HammingJoin`` says, and confirmed on their full sets; after
-    the pivot rounds, members of a bucket meet by blocks on longer signatures (``meetings``), and only close ones are confirmed.
+    the pivot rounds, members of a bucket meet by blocks on longer signatures (``meetings``), and close ones that nothing connects
+    yet are confirmed and united inside the task.
 
     Null and empty texts and texts of white space have no shingles and link with nothing. Rows without an id are never linked
     (``component_id`` null, kept). Repeated rows come back as often as they came; an id with several texts takes the links
@@ -275,8 +303,8 @@ def near_duplicates(
 
     def meet(here: DataFrame) -> DataFrame:
         open_ = packed.join(here.select("id").distinct(), "id", "left_semi")
-        sigs = cut(open_.distinct().mapInArrow(_fine_sketches(k), "id long, sig binary"))
-        return meetings(here, sigs, most_differences(percent, CHUNKS * WIDTH + FINE))
+        firsts = open_.groupBy("id").agg(F.first("words").alias("words"))
+        return meetings(here, cut(firsts.mapInArrow(_fine_sketches(k), "id long, sig binary, words binary")), k, percent)
 
     join = HammingJoin(filed, confirm, pivots, meet)
     needed = cut(join.members().select(F.col("id").alias("doc_id")))

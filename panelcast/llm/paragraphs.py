@@ -178,8 +178,8 @@ def repeats(
     words around them only, and of equal passages the first stays. What goes is joined into stretches; stretches of fewer than
     ``least_words`` words without a whole paragraph stay, as common phrases and lines of a few words do.
 
-    Equal paragraphs are one class, found by a 128-bit hash with map-side aggregation; only one of each class is searched. Pairs of
-    a bucket are never written out whole (``HammingJoin``). Null and empty texts hold no paragraph; rows without an id are left
+    Equal paragraphs are one class, found by a 128-bit hash with map-side aggregation; only one of each class is searched.
+    Pairs that the pivots of a bucket leave are written out and confirmed one by one (``HammingJoin``). Null and empty texts hold no paragraph; rows without an id are left
     alone; repeated rows are documents of their own (of equal ones all but one lose their paragraphs); other columns are not read;
     no rows give no rows.
     """

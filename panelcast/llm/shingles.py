@@ -7,7 +7,7 @@ import xxhash
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
-WORDS_KEPT = 1_000_000  # word hashes a task remembers
+WORDS_KEPT = 200_000  # word hashes a task remembers
 
 
 def words(text: str | None) -> list[bytes]:

@@ -209,7 +209,7 @@ def test_close_pairs_come_once():
         for key in keys:
             members = np.array([y for y in rows if y > x and key in neardup.index_keys(coarse[y:y + 1])[0]], dtype=np.int64)
             if len(members):
-                a, b = neardup.close_pairs(int(key), coarse, fine, c, np.array([x]), members, 80)
+                [(a, b)] = neardup.close_pairs(int(key), coarse, fine, c, np.array([x]), members, 80)
                 found += list(zip(a.tolist(), b.tolist()))
     want = [(x, y) for x in rows for y in rows if x < y and (coarse[x] != coarse[y]).sum() < 2 * neardup.CHUNKS]
     assert sorted(found) == sorted(want) and len(want) > 100
