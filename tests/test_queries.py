@@ -1,7 +1,5 @@
 """All registered queries against DuckDB on the small tables."""
 
-from concurrent.futures import ThreadPoolExecutor
-
 import pytest
 from compare import differences, duck
 
@@ -15,19 +13,10 @@ def con(small):
     return duck(small)
 
 
-NAMES = sorted(n for n in ORACLE if n in entry.REGISTRY)
-
-
-@pytest.fixture(scope="module")
-def answers(spark, small):
-    """All queries, a few at a time: on small tables they wait for each other's scheduling, not for cores."""
-    with ThreadPoolExecutor(6) as pool:
-        yield {n: pool.submit(lambda n=n: entry.queries()[n](spark, small).toPandas()) for n in NAMES}
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_same_answer_as_sql(answers, con, name):
-    assert differences(answers[name].result(), con.execute(ORACLE[name]).df()) == ""
+@pytest.mark.parametrize("name", sorted(n for n in ORACLE if n in entry.REGISTRY))
+def test_same_answer_as_sql(spark, small, con, name):
+    got = entry.queries()[name](spark, small).toPandas()
+    assert differences(got, con.execute(ORACLE[name]).df()) == ""
 
 
 @pytest.fixture(scope="module")
