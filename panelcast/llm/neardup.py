@@ -21,7 +21,7 @@ CHUNKS, WIDTH, BITS = 10, 4, 16
 SEED = 20_261
 FINE = 216  # further symbols, of 8 bits, that tell texts below the threshold from those above it; only for pairs left after the pivots
 BLOCK, BLOCK_BYTES = 1024, 16_000_000  # members of a bucket, and bytes of their packed words, that meet another block in one task
-SETS_HELD = 512  # full sets a task keeps while it confirms
+SETS_BYTES = 64_000_000  # of full sets that a task keeps while it confirms
 
 
 def index_keys(sigs: np.ndarray) -> np.ndarray:
@@ -153,6 +153,7 @@ def _meet(k: int, percent: int, most: int):
                 left, right = (here, here) if i[lo] == j[lo] else (here[side[lo:hi] == 0], here[side[lo:hi] == 1])
                 root: dict[int, int] = {}
                 sets: dict[int, np.ndarray] = {}
+                room = SETS_BYTES
 
                 def top(x: int) -> int:
                     while (up := root.get(x, x)) != x:
@@ -160,11 +161,14 @@ def _meet(k: int, percent: int, most: int):
                     return x
 
                 def full(x: int) -> np.ndarray:
+                    nonlocal room
                     got = sets.get(x)
                     if got is None:
-                        if len(sets) >= SETS_HELD:
+                        if room < 0:
                             sets.clear()
+                            room = SETS_BYTES
                         got = sets[x] = shingles.shingle_set(known.of(open_(words[x].as_py()).split()), k)
+                        room -= got.nbytes
                     return got
 
                 for xs, ys in close_pairs(int(key[lo]), coarse, fine, c, left, right, most):
