@@ -1,6 +1,11 @@
 """DuckDB SQL for the operators that SQL can express, written from their definitions."""
 
-from panelcast.llm.secrets import ACCESS, ALLOWED, ASSIGN, CLASSES, HEX, bits_table
+# The contract's patterns, and the allow-list and windows that the operator documents.
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = "AKIA[A-Z0-9]+"
+HEX = "[0-9a-f]+"
+ALLOWED = "(?i:example|placeholder|changeme|your[_-]?(?:key|token|secret)|abcdefghijklmnop|0123456789abcdef)"
+ENTROPY = [("entropy_hex", 3, "0-9A-Fa-f", 24, 3_200_000), ("entropy_base64", 4, "A-Za-z0-9+/_=-", 24, 4_000_000)]
 
 
 def _text(s: str) -> str:
@@ -19,22 +24,25 @@ def _placed(kind: str, rank: int, pattern: str, keep: str = "true") -> str:
 
 
 def _entropy(kind: str, rank: int, chars: str, window: int, least_bits: int) -> str:
-    """Every window's counts from scratch; qualifying windows merged where they touch."""
-    limit = bits_table(window)[window] - least_bits * window
-    allowed = " AND ".join(f"NOT regexp_matches(m, {_text(p)})" for p in ALLOWED)
-    f = "[" + ", ".join(map(str, bits_table(window))) + "]"
+    """Candidates without what the allow-list cuts out; every window's counts from scratch; qualifying windows merged where they touch."""
+    cut = _text(f"[^/=]{{0,40}}{ALLOWED}[^/=]{{0,40}}")
     return f"""
   SELECT doc_row, {rank} AS rnk, '{kind}' AS kind, min(b) AS s, max(b) + {window} AS e FROM (
-    SELECT doc_row, i, b, sum(fresh) OVER (PARTITION BY doc_row, i ORDER BY b) AS run FROM (
-      SELECT doc_row, i, b, CASE WHEN b - lag(b) OVER (PARTITION BY doc_row, i ORDER BY b) <= {window} THEN 0 ELSE 1 END AS fresh
+    SELECT doc_row, b, sum(fresh) OVER (PARTITION BY doc_row ORDER BY b) AS run FROM (
+      SELECT doc_row, b, CASE WHEN piece = lag(piece) OVER w AND b - lag(b) OVER w <= {window} THEN 0 ELSE 1 END AS fresh
       FROM (
-        SELECT doc_row, i, s + off AS b, sum({f}[n + 1]) AS total FROM (
-          SELECT doc_row, i, s, off, substr(m, off + k, 1) AS ch, count(*) AS n
-          FROM (SELECT *, unnest(range(0, length(m) - {window} + 1)) AS off FROM ({_placed(kind, rank, f'[{chars}]{{{window},}}')}) WHERE {allowed}),
+        SELECT doc_row, b, piece, sum(CAST(round(n * log2(n) * 1000000) AS BIGINT)) AS total FROM (
+          SELECT doc_row, s + off AS b, s AS piece, substr(p, off + k, 1) AS ch, count(*) AS n
+          FROM (SELECT *, unnest(range(0, length(p) - {window} + 1)) AS off FROM (
+              SELECT doc_row, p, s + coalesce(sum(length(p) + length(x)) OVER (PARTITION BY doc_row, i ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+              FROM (SELECT doc_row, i, s, unnest(ps) AS p, unnest(list_concat(xs, [''])) AS x, unnest(range(1, len(ps) + 1)) AS o FROM (
+                SELECT *, string_split_regex(m, {cut}) AS ps, regexp_extract_all(m, {cut}) AS xs
+                FROM ({_placed(kind, rank, f'[{chars}]{{{window},}}')})))) WHERE length(p) >= {window}),
             (SELECT unnest(range(1, {window} + 1)) AS k)
           GROUP BY ALL)
-        GROUP BY ALL HAVING total <= {limit})))
-  GROUP BY doc_row, i, run"""
+        GROUP BY ALL HAVING total <= CAST(round({window} * log2({window}) * 1000000) AS BIGINT) - {least_bits * window})
+      WINDOW w AS (PARTITION BY doc_row ORDER BY b)))
+  GROUP BY doc_row, run"""
 
 
 SECRETS = f"""
@@ -42,9 +50,9 @@ WITH d AS MATERIALIZED (SELECT row_number() OVER () AS doc_row, doc_id, coalesce
 base AS (
   SELECT doc_row, rnk, kind, s, s + length(m) AS e FROM ({_placed("assign", 0, ASSIGN)})
   WHERE length(regexp_extract(m, {_text(ASSIGN)}, 1)) >= 12
-  UNION ALL SELECT doc_row, rnk, kind, s, s + length(m) FROM ({_placed("access", 1, ACCESS)})
-  UNION ALL SELECT doc_row, rnk, kind, s, s + length(m) FROM ({_placed("hex", 2, HEX)})),
-found AS (SELECT * FROM base {" ".join(f"UNION ALL {_entropy(c.kind, 3 + i, c.chars, c.window, c.least_bits)}" for i, c in enumerate(CLASSES))}),
+  UNION ALL SELECT doc_row, rnk, kind, s, s + length(m) FROM ({_placed("access", 1, ACCESS)}) WHERE length(m) >= 18
+  UNION ALL SELECT doc_row, rnk, kind, s, s + length(m) FROM ({_placed("hex", 2, HEX)}) WHERE length(m) >= 16),
+found AS (SELECT * FROM base {" ".join(f"UNION ALL {_entropy(*c)}" for c in ENTROPY)}),
 per AS (
   SELECT doc_row, count(*) FILTER (rnk = 0) AS n_assign, count(*) FILTER (rnk = 1) AS n_access, count(*) FILTER (rnk = 2) AS n_hex,
     string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rnk, e) FILTER (rnk < 3) AS b,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,10 @@ class EntropyClass:
     window: int
     least_bits: int
 
+    def alphabet(self) -> str:
+        """The ASCII characters of the class."""
+        return "".join(chr(i) for i in range(128) if re.fullmatch(f"[{self.chars}]", chr(i)))
+
 
 #: A random 24-character window has 3.5 bits on average over 16 letters and 4.3 over 64.
 CLASSES = (
@@ -37,6 +42,9 @@ ALLOWED = (
     r"(?i)abcdefghijklmnop",
     r"0123456789(?i:abcdef)",
 )
+SEPARATORS = "/="  # between the parts of a path or an assignment, which are candidates of their own to the allow-list
+REACH = 40  # characters of its part that an allow-list match takes along on either side
+BLOCK = 1024  # windows that one fold sweeps
 
 
 def bits_table(window: int) -> list[int]:
@@ -64,50 +72,110 @@ def _placed(found: Column, gaps: Column) -> Column:
     return F.when(F.size(found) > 0, step).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
 
 
-def _windows(text: Column, c: EntropyClass) -> Column:
-    """Spans of a candidate that windows of at least the threshold cover, from counts kept up to date character by character.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _pieces(text: Column, allowed: tuple[str, ...]) -> Column:
+    """What the allow-list leaves of a candidate, with starts: each match goes with up to REACH characters of its part on either side."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), text.alias("text")))
+    if not allowed:
+        return whole
+    any_of = "|".join(f"(?:{p})" for p in allowed)
+    part = f"[^{SEPARATORS}]{{0,{REACH}}}"
+    masks, left = _matches(text, f"{part}(?:{any_of}){part}"), F.split(text, f"{part}(?:{any_of}){part}", -1)
+    step = F.aggregate(
+        F.arrays_zip(left.alias("p"), masks.alias("m")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out")),
+        lambda acc, x: F.struct(
+            (acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x["p"].alias("text")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.when(F.rlike(text, F.lit(any_of)), step).otherwise(whole)
+
+
+def _symbols(text: Column, alphabet: str) -> Column:
+    return F.transform(F.split(text, "", -1), lambda ch: F.instr(F.lit(alphabet), ch) - 1)
 
-    A step drops the character that leaves and adds the one that enters; the sum of c * log2(c) changes by the two
-    counts concerned alone. Windows at the threshold that touch make one span.
+
+def _sweep(symbols: Column, c: EntropyClass) -> Column:
+    """Spans that windows of at least the threshold cover, from counts kept up to date symbol by symbol.
+
+    The counts of the window are kept in a few long numbers, ``bits`` bits a symbol. A step takes out the symbol that leaves and
+    counts the one that enters; the sum of c * log2(c) changes by these two counts alone. Windows that touch make one span.
     """
     w = c.window
-    table = F.array(*[F.lit(b) for b in bits_table(w)])
     most = bits_table(w)[w]  # w * log2(w)
     limit = most - c.least_bits * w  # entropy >= least  <=>  sum of c * log2(c) <= limit
+    bits = w.bit_length()
+    each = 62 // bits
+    n_symbols = len(c.alphabet())
+    table = F.array(*[F.lit(b) for b in bits_table(w)])
+    shifts = F.array(*[F.lit(i % each * bits) for i in range(n_symbols)])
+    longs = F.array(*[F.lit(i // each) for i in range(n_symbols)])
+    one = F.lit(1).cast("long")
+
+    def of(lookup: Column, i: Column) -> Column:
+        return F.element_at(lookup, i + 1)
+
+    def count(counts: Column, symbol: Column) -> Column:
+        return F.call_function("shiftright", of(counts, of(longs, symbol)), of(shifts, symbol)).bitwiseAND(F.lit(2 ** bits - 1)).cast("int")
+
+    def unit(i: Column, symbol: Column) -> Column:
+        return F.when(i == of(longs, symbol), F.call_function("shiftleft", one, of(shifts, symbol))).otherwise(F.lit(0))
+
+    def step(acc: Column, entering: Column) -> Column:
+        j = acc["at"] + 1
+        full = j > w
+        leaving = F.element_at(symbols, F.greatest(j - w, F.lit(1)))
+        dropped = F.when(full, F.transform(acc["counts"], lambda x, i: x - unit(i, leaving))).otherwise(acc["counts"])
+        less = F.when(full, _let(count(acc["counts"], leaving), lambda n: of(table, n) - of(table, n - 1))).otherwise(0)
+
+        def enter(counts: Column) -> Column:
+            more = _let(count(counts, entering), lambda n: of(table, n + 1) - of(table, n))
+            return F.struct(F.transform(counts, lambda x, i: x + unit(i, entering)).alias("counts"), (acc["total"] - less + more).cast("int").alias("total"))
+
+        def close(now: Column) -> Column:
+            hit = (j >= w) & (now["total"] <= limit)
+            fresh = hit & (acc["end"] < j - w)
+            return F.struct(
+                j.cast("int").alias("at"), now["counts"].alias("counts"), now["total"].alias("total"),
+                F.when(fresh, j - w).otherwise(acc["start"]).alias("start"), F.when(hit, j).otherwise(acc["end"]).alias("end"),
+                F.when(fresh & (acc["end"] > 0), F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"]).alias("out"),
+            )
+        return _let(_let(dropped, enter), close)
+
+    nothing = F.array().cast("array<struct<start:int,end:int>>")
+    zero = F.array(*[F.lit(0).cast("long")] * -(-n_symbols // each))
+    start = F.struct(F.lit(0).alias("at"), zero.alias("counts"), F.lit(0).alias("total"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), nothing.alias("out"))
+    return F.aggregate(symbols, start, step, lambda acc: F.when(
+        acc["end"] > 0, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"]))
 
-    def count(within: Column, char: Column) -> Column:
-        return F.length(within) - F.length(F.replace(within, char, F.lit("")))
-
-    def f(n: Column) -> Column:
-        return F.element_at(table, (n + 1).cast("int"))
-
-    def step(acc: Column, j: Column) -> Column:
-        entering = F.substring(text, j, F.lit(1))
-        now = F.substring(text, F.greatest(j - w + 1, F.lit(1)), F.least(j, F.lit(w)))
-        added = count(now, entering)
-        before = F.substring(text, F.greatest(j - w, F.lit(1)), F.lit(w))
-        left = count(before, F.substring(text, F.greatest(j - w, F.lit(1)), F.lit(1)))
-        total = acc["total"] + f(added) - f(added - 1) + F.when(j > w, f(left - 1) - f(left)).otherwise(0)
-        hit = (j >= w) & (total <= limit)
-        joins = hit & (F.size(acc["out"]) > 0) & (acc["until"] >= j - w)
-        span = F.struct((j - w).alias("start"), j.alias("end"))
-        grown = F.concat(
-            F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1),
-            F.array(F.struct(F.element_at(acc["out"], -1)["start"].alias("start"), j.alias("end"))),
-        )
-        return F.struct(
-            total.cast("int").alias("total"),
-            F.when(hit, j).otherwise(acc["until"]).alias("until"),
-            F.when(joins, grown).when(hit, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
 
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("total"), F.lit(-1).alias("until"), empty.alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda acc: acc["out"])
+def _windows(text: Column, c: EntropyClass) -> Column:
+    """Spans of a text of one class: stretches of BLOCK windows are swept one after another, spans that touch across them joined.
 
+    A stretch starts its counts anew, so time and the arrays of the fold grow with the text, not with its square.
+    """
+    w = c.window
+
+    def swept(symbols: Column) -> Column:
+        begins = F.sequence(F.lit(0), F.size(symbols) - w, F.lit(BLOCK))
+        blocks = F.transform(begins, lambda b: F.struct(b.alias("begin"), F.slice(symbols, b + 1, BLOCK + w - 1).alias("symbols")))
+        return F.flatten(F.transform(blocks, lambda x: F.transform(_sweep(x["symbols"], c), lambda s: F.struct(
+            (x["begin"] + s["start"]).alias("start"), (x["begin"] + s["end"]).alias("end")))))
 
-def _without(found: Column, pattern: str) -> Column:
-    return F.filter(found, lambda x: ~F.rlike(x["text"], F.lit(pattern)))
+    def merged(spans: Column) -> Column:
+        n = F.size(spans)
+        begins = F.filter(spans, lambda s, i: (i == 0) | (s["start"] > F.element_at(spans, F.greatest(i, F.lit(1)))["end"]))
+        ends = F.filter(spans, lambda s, i: (i == n - 1) | (F.element_at(spans, F.least(i + 2, n))["start"] > s["end"]))
+        return F.zip_with(begins, ends, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    return F.when(F.length(text) >= w, _let(_let(_symbols(text, c.alphabet()), swept), merged)).otherwise(empty)
 
 
 def _count(rank: int) -> Column:
@@ -123,7 +191,9 @@ def scan(
 
     Positions are code points, ends exclusive. Base kinds are pattern matches, leftmost and not overlapping per kind.
     The entropy kinds take runs of one character class as candidates, slide a window over each, and report what windows
-    of high entropy cover; a candidate that meets an allow-list pattern is left out (base matches never are).
+    of high entropy cover. An allow-list match is cut out of its candidate with up to REACH characters on either side that no
+    separator parts from it (leftmost matches first, none overlapping); what is left is scanned on (base matches are never cut).
+    Time is linear in the length of a candidate.
     Null and empty texts have no spans; repeated rows are scanned each for itself; other columns are not read.
     Everything happens within a row: no exchange.
     """
@@ -150,10 +220,9 @@ def scan(
             x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["text"])).alias("end")))
 
     def entropy(c: EntropyClass, rank: int) -> Column:
-        kept = F.col(c.kind)
-        for pattern in allowed:
-            kept = _without(kept, pattern)
-        return F.flatten(F.transform(kept, lambda x: F.transform(_windows(x["text"], c), lambda s: F.struct(
+        left = F.flatten(F.transform(F.col(c.kind), lambda x: F.transform(_pieces(x["text"], allowed), lambda p: F.struct(
+            (x["start"] + p["start"]).alias("start"), p["text"].alias("text")))))
+        return F.flatten(F.transform(left, lambda x: F.transform(_windows(x["text"], c), lambda s: F.struct(
             (x["start"] + s["start"]).alias("start"), F.lit(rank).alias("rank"), F.lit(c.kind).alias("kind"), (x["start"] + s["end"]).alias("end")))))
 
     every = [spans(k, i) for i, k in enumerate(KINDS)] + [entropy(c, len(KINDS) + i) for i, c in enumerate(classes)]

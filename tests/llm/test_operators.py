@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
+import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -309,6 +313,65 @@ def test_secrets(spark):
     assert redacted[2] == "[SECRET]" and key not in redacted[9] and redacted[4] is None
 
 
+def entropy_spans(text, c):
+    """Every window of every piece counted from scratch; touching windows joined."""
+    allowed = re.compile("[^/=]{0,40}(?i:example|placeholder|changeme|your[_-]?(?:key|token|secret)|abcdefghijklmnop|0123456789abcdef)[^/=]{0,40}")
+    out = []
+    for m in re.finditer(f"[{c.chars}]{{{c.window},}}", text):
+        at, run = 0, m.group()
+        for lo, hi in [x.span() for x in allowed.finditer(run)] + [(len(run), len(run))]:
+            own = []
+            for b in range(at, lo - c.window + 1):
+                n = Counter(run[b:b + c.window]).values()
+                if sum(round(x * math.log2(x) * 1e6) for x in n) <= round(c.window * math.log2(c.window) * 1e6) - c.least_bits * c.window:
+                    if own and b <= own[-1][1]:
+                        own[-1][1] = b + c.window
+                    else:
+                        own.append([b, b + c.window])
+            out += [(m.start() + a, c.kind, m.start() + z) for a, z in own]
+            at = hi
+    return out
+
+
+def test_secret_windows_against_brute_force(spark):
+    """Runs of changing entropy, over more than one stretch of windows, with allow-list matches, separators and odd characters."""
+    rng = random.Random(41)
+    rows = []
+    for i in range(60):
+        bits = []
+        for _ in range(rng.choice([3, 12, 120])):
+            letters = rng.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "ab", "ABCdefG1"])
+            bits.append("".join(rng.choice(letters) for _ in range(rng.choice([5, 24, 30, 70]))))
+            bits.append(rng.choice(["", "", "", "/", "=", " ", "é", "Example", "0123456789abcdef", "your_key"]))
+        rows.append((i, "".join(bits), 0, ""))
+    key = "".join(rng.sample("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", 40))
+    rows += [(60, f"path/example/deploy_key={key}", 0, ""), (61, f"{key}/example-{key}", 0, "")]
+    got = {r.doc_id: r.found for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    spans = 0
+    for i, text, *_ in rows:
+        want = sorted(x for c in secrets.CLASSES for x in entropy_spans(text, c))
+        assert sorted((f.start, f.kind, f.end) for f in got[i] if f.rank >= 3) == want
+        spans += len(want)
+    assert spans > 100
+    assert [f for f in got[60] if f.kind == "entropy_base64"][-1].end == 24 + 40 and [f.end for f in got[61] if f.rank >= 3] == [41]
+
+
+def test_secret_scan_of_a_very_long_run(spark):
+    """A run of a million characters takes seconds, as its time grows with its length."""
+    rng = random.Random(42)
+    text = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=1_000_000))
+    began = time.monotonic()
+    found = secrets.scan(spark.createDataFrame([(1, text, 0, "")], DOCS)).collect()[0].found
+    assert time.monotonic() - began < 60
+    spans = [(f.start, f.end) for f in found if f.kind == "entropy_base64"]
+    assert sum(z - a for a, z in spans) > 900_000 and all(a >= z for (_, z), (a, _) in zip(spans, spans[1:]))
+
+
+def test_secret_scan_of_no_rows(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert secrets.digest(secrets.scan(none)).count() == 0 and secrets.redact(secrets.scan(none)).count() == 0
+
+
 def test_decontamination(spark, corpus):
     rng = random.Random(6)
     item = words_of(rng, 40)
