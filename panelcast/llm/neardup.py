@@ -20,8 +20,7 @@ from panelcast.session import cut
 CHUNKS, WIDTH, BITS = 10, 4, 16
 SEED = 20_261
 FINE = 216  # further symbols, of 8 bits, that tell texts below the threshold from those above it; only for pairs left after the pivots
-BLOCK, BLOCK_BYTES = 1024, 16_000_000  # members of a bucket, and bytes of their packed words, that meet another block in one task
-SETS_BYTES = 64_000_000  # of full sets that a task keeps while it confirms
+BLOCK, BLOCK_BYTES = 1024, 8_000_000  # members of a bucket, and bytes of their packed words, that meet another block in one task
 
 
 def index_keys(sigs: np.ndarray) -> np.ndarray:
@@ -118,8 +117,9 @@ def _fine_sketches(k: int):
     return run
 
 
-def close_pairs(key: int, coarse: np.ndarray, fine: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of ``left`` and ``right`` of different components whose signatures are close, if ``key`` is the first key they share."""
+def close_pairs(key: int | None, coarse: np.ndarray, fine: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``left`` and ``right`` of different components whose signatures are close; with a ``key`` of the multi-index, those
+    pairs alone of which it is the first key that they share."""
     for r in range(0, len(left), 64):
         some = left[r:r + 64]
         apart = (coarse[some][:, None, :] != coarse[right][None, :, :]).sum(axis=2)
@@ -127,15 +127,52 @@ def close_pairs(key: int, coarse: np.ndarray, fine: np.ndarray, c: np.ndarray, l
         x, y, apart = some[x], right[y], apart[x, y]
         near = apart + (fine[x] != fine[y]).sum(axis=1) <= most
         x, y = x[near], y[near]
-        equal = (coarse[x] == coarse[y]).reshape(len(x), CHUNKS, WIDTH)
-        chunk = (equal.sum(axis=2) >= WIDTH - 1).argmax(axis=1)
-        mine = equal[np.arange(len(x)), chunk]
-        left_out = np.where(mine.all(axis=1), 0, mine.argmin(axis=1))
-        first = chunk * WIDTH + left_out == key >> BITS * (WIDTH - 1)
-        yield x[first], y[first]
+        if key is not None:
+            equal = (coarse[x] == coarse[y]).reshape(len(x), CHUNKS, WIDTH)
+            chunk = (equal.sum(axis=2) >= WIDTH - 1).argmax(axis=1)
+            mine = equal[np.arange(len(x)), chunk]
+            left_out = np.where(mine.all(axis=1), 0, mine.argmin(axis=1))
+            first = chunk * WIDTH + left_out == key >> BITS * (WIDTH - 1)
+            x, y = x[first], y[first]
+        yield x, y
 
 
-def _meet(k: int, percent: int, most: int):
+def uniting_links(xs: np.ndarray, ys: np.ndarray, label: np.ndarray, full, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs, similar on their full sets (``full`` by row), that unite labels; a pair whose labels agree by then is not compared.
+
+    The shingles of all rows concerned are numbered once; a row then marks its own and counts the marks of all its partners at once.
+    """
+    if not len(xs):
+        return
+    rows, at = np.unique(np.concatenate([xs, ys]), return_inverse=True)
+    label = label[rows]
+    sets = [full(r) for r in rows]
+    size = np.array([len(s) for s in sets])
+    begin = np.cumsum(size) - size
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    del sets
+    mark = np.zeros(int(number.max()) + 1, dtype=bool)
+    order = np.argsort(at[:len(xs)], kind="stable")
+    x, y = at[:len(xs)][order], at[len(xs):][order]
+    for lo, hi in zip((edges := np.flatnonzero(np.append(True, x[1:] != x[:-1]))), np.append(edges[1:], len(x))):
+        one, others = x[lo], y[lo:hi]
+        others = others[label[others] != label[one]]
+        if not len(others):
+            continue
+        own = number[begin[one]:begin[one] + size[one]]
+        mark[own] = True
+        n = size[others]
+        first = np.cumsum(n) - n
+        shared = np.add.reduceat(mark[number[np.repeat(begin[others] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+        mark[own] = False
+        for other in others[(shared > 0) & (100 * shared >= percent * (size[one] + n - shared))]:
+            p, q = label[one], label[other]
+            if p != q:
+                label[label == q] = p
+                yield int(rows[one]), int(rows[other])
+
+
+def _meet(k: int, percent: int, most: int, indexed: bool):
     """Over rows sorted by (key, i, j): two blocks of a bucket, or one with itself, held at a time. Pairs with close signatures are
     confirmed on full sets and united at once, unless other links already connect them; what comes out is the uniting links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,40 +183,23 @@ def _meet(k: int, percent: int, most: int):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
             coarse, fine = np.ascontiguousarray(sig[:, :-FINE]).view("<u2"), sig[:, -FINE:]
             words = t.column("words")
+
+            def full(row: int) -> np.ndarray:
+                return shingles.shingle_set(known.of(open_(words[int(row)].as_py()).split()), k)
+
             edges = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             a, b = [], []
             for lo, hi in zip([0, *edges], [*edges, len(ids)]):
                 here = np.arange(lo, hi)
                 left, right = (here, here) if i[lo] == j[lo] else (here[side[lo:hi] == 0], here[side[lo:hi] == 1])
-                root: dict[int, int] = {}
-                sets: dict[int, np.ndarray] = {}
-                room = SETS_BYTES
-
-                def top(x: int) -> int:
-                    while (up := root.get(x, x)) != x:
-                        root[x] = x = root.get(up, up)
-                    return x
-
-                def full(x: int) -> np.ndarray:
-                    nonlocal room
-                    got = sets.get(x)
-                    if got is None:
-                        if room < 0:
-                            sets.clear()
-                            room = SETS_BYTES
-                        got = sets[x] = shingles.shingle_set(known.of(open_(words[x].as_py()).split()), k)
-                        room -= got.nbytes
-                    return got
-
-                for xs, ys in close_pairs(int(key[lo]), coarse, fine, c, left, right, most):
-                    for x, y in zip(xs.tolist(), ys.tolist()):
-                        if i[lo] == j[lo] and x >= y:
-                            continue
-                        p, q = top(int(c[x])), top(int(c[y]))
-                        if p != q and similar(full(x), full(y), percent):
-                            root[max(p, q)] = min(p, q)
-                            a.append(min(ids[x], ids[y]))
-                            b.append(max(ids[x], ids[y]))
+                if not len(left):
+                    continue
+                xs, ys = map(np.concatenate, zip(*close_pairs(int(key[lo]) if indexed else None, coarse, fine, c, left, right, most)))
+                if i[lo] == j[lo]:
+                    xs, ys = xs[xs < ys], ys[xs < ys]
+                for x, y in uniting_links(xs, ys, c, full, percent):
+                    a.append(min(ids[x], ids[y]))
+                    b.append(max(ids[x], ids[y]))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         held = None
@@ -199,12 +219,15 @@ def _meet(k: int, percent: int, most: int):
     return run
 
 
-def meetings(here: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
+def meetings(here: DataFrame, packed: DataFrame, k: int, percent: int, indexed: bool = True) -> DataFrame:
     """(``a``, ``b``): confirmed links that unite the components of buckets' members (``key``, ``id``, ``c``).
 
-    ``sigs`` has ``sig`` and ``words`` by ``id``. A bucket is cut into blocks of BLOCK members and BLOCK_BYTES of words; each two blocks meet in
-    one task, which puts out fewer links than it holds members.
+    ``packed`` has compressed ``words`` by ``id``; the members that are left get longer signatures. A bucket is cut into blocks of BLOCK members
+    and BLOCK_BYTES of words; each two blocks meet in one task, which puts out fewer links than it holds members. ``indexed``: keys are those
+    of the multi-index, which tell the bucket that a pair is to be compared in; otherwise each bucket compares its own.
     """
+    left = packed.join(here.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("words").alias("words"))
+    sigs = cut(left.mapInArrow(_fine_sketches(k), "id long, sig binary, words binary"))
     sized = here.join(sigs.select("id", F.octet_length("words").alias("bytes")), "id")
     sizes = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
@@ -215,7 +238,7 @@ def meetings(here: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFram
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "c")
     dealt = placed.join(sigs, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.select("key", "i", "j", "side", "id", "c", "sig", "words").mapInArrow(
-        _meet(k, percent, most_differences(percent, CHUNKS * WIDTH + FINE)), "a long, b long")
+        _meet(k, percent, most_differences(percent, CHUNKS * WIDTH + FINE), indexed), "a long, b long")
 
 
 class HammingJoin:
@@ -224,11 +247,11 @@ class HammingJoin:
     A bucket compares its members with one pivot; members confirmed or linked elsewhere share its component and need no
     pair of their own. Further rounds take other pivots of buckets whose members still lie in several components. After
     ``pivots`` rounds what is left - members of one bucket in different components, not compared yet - is given to ``meet``, which
-    puts out confirmed links. Without it all pairs that are left are confirmed one by one. So every pair of a bucket is either
+    puts out confirmed links. So every pair of a bucket is either
     compared or already known to be connected.
     """
 
-    def __init__(self, filed: DataFrame, confirm, pivots: int = 3, meet=None):
+    def __init__(self, filed: DataFrame, confirm, meet, pivots: int = 3):
         self.confirm, self.pivots, self.meet = confirm, pivots, meet
         shared = cut(filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
         self.filed = cut(filed.join(shared, "key"))
@@ -263,16 +286,10 @@ class HammingJoin:
             groups = cut(components(links))
         here = self._open(groups)
         if not here.isEmpty():
-            more = self.meet(here) if self.meet else self.confirm(self._fresh(self._every_pair(here), tried))
-            links = cut(links.unionByName(more))
+            links = cut(links.unionByName(self.meet(here)))
             groups = cut(components(links))
         return groups
 
-    @staticmethod
-    def _every_pair(here: DataFrame) -> DataFrame:
-        other = here.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-        return here.join(other, "key").filter("id < id2 and c <> c2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-
     @staticmethod
     def _fresh(pairs: DataFrame, tried: DataFrame) -> DataFrame:
         return cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
@@ -306,11 +323,9 @@ def near_duplicates(
         return both.select("a", "b", "wa", "wb").mapInArrow(_confirm(k, percent), "a long, b long")
 
     def meet(here: DataFrame) -> DataFrame:
-        open_ = packed.join(here.select("id").distinct(), "id", "left_semi")
-        firsts = open_.groupBy("id").agg(F.first("words").alias("words"))
-        return meetings(here, cut(firsts.mapInArrow(_fine_sketches(k), "id long, sig binary, words binary")), k, percent)
+        return meetings(here, packed, k, percent)
 
-    join = HammingJoin(filed, confirm, pivots, meet)
+    join = HammingJoin(filed, confirm, meet, pivots)
     needed = cut(join.members().select(F.col("id").alias("doc_id")))
     packed = cut(docs.filter("doc_id is not null").mapInArrow(_pack, "id long, words binary").join(needed.select(F.col("doc_id").alias("id")), "id", "left_semi"))
     groups = join.components()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm import shingles
-from panelcast.llm.neardup import HammingJoin, _confirm
+from panelcast.llm.neardup import HammingJoin, _confirm, meetings
 from panelcast.llm.shingles import LOWER, P1, P2, P3, mixed
 from panelcast.session import cut
 
@@ -26,7 +26,7 @@ def recall(similarity: float, bands: int, rows: int) -> float:
     return 1 - (1 - similarity ** rows) ** bands
 
 
-def tune(similarity: float = 0.8, least_recall: float = 0.999, most_bands: int = 8) -> tuple[int, int]:
+def tune(similarity: float = 0.8, least_recall: float = 0.999, most_bands: int = 14) -> tuple[int, int]:
     """(bands, rows): as many rows as a pair at the threshold allows - so that few other pairs collide - with the recall asked for."""
     best = None
     for rows in range(1, 33):
@@ -149,18 +149,27 @@ def _pack(least_line: int):
     """The words of each paragraph that is long enough, compressed, by the two hashes that name it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
+
+        def out(texts: list[bytes]) -> pa.RecordBatch:
+            w = Words(texts)
+            starts = w.line_starts()
+            ends = np.append(starts[1:], len(w.hash))[:len(starts)]
+            one, two = w.names(starts) if len(starts) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            long = np.flatnonzero(ends - starts >= least_line)
+            where = zip(w.text[starts[long]].tolist(), w.start[starts[long]].tolist(), w.end[ends[long] - 1].tolist())
+            packed = [press(b" ".join(texts[t][lo:hi].translate(LOWER).split())) for t, lo, hi in where]
+            return pa.RecordBatch.from_arrays([pa.array(one[long]), pa.array(two[long]), pa.array(packed, pa.binary())], ["one", "two", "words"])
+
         for b in batches:
+            texts, held = [], 0
             for t in b.column(0):
-                text = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                w = Words([text])
-                if not len(w.hash):
-                    continue
-                starts = w.line_starts()
-                ends = np.append(starts[1:], len(w.hash))
-                one, two = w.names(starts)
-                long = np.flatnonzero(ends - starts >= least_line)
-                packed = [press(b" ".join(text[w.start[starts[i]]:w.end[ends[i] - 1]].translate(LOWER).split())) for i in long]
-                yield pa.RecordBatch.from_arrays([pa.array(one[long]), pa.array(two[long]), pa.array(packed, pa.binary())], ["one", "two", "words"])
+                texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+                held += len(texts[-1])
+                if held > BATCH_BYTES:
+                    yield out(texts)
+                    texts, held = [], 0
+            if texts:
+                yield out(texts)
     return run
 
 
@@ -179,7 +188,7 @@ def repeats(
     ``least_words`` words without a whole paragraph stay, as common phrases and lines of a few words do.
 
     Equal paragraphs are one class, found by a 128-bit hash with map-side aggregation; only one of each class is searched.
-    Pairs that the pivots of a bucket leave are written out and confirmed one by one (``HammingJoin``). Null and empty texts hold no paragraph; rows without an id are left
+    What the pivots of a bucket leave meets by blocks; close pairs are confirmed and united inside the task (``meetings``). Null and empty texts hold no paragraph; rows without an id are left
     alone; repeated rows are documents of their own (of equal ones all but one lose their paragraphs); other columns are not read;
     no rows give no rows.
     """
@@ -201,7 +210,10 @@ def repeats(
         both = b.join(packed.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
         return both.select("a", "b", "wa", "wb").mapInArrow(_confirm(k, percent), "a long, b long")
 
-    join = HammingJoin(first.select("id", "bands").mapInArrow(_file(bands), "key long, id long"), confirm)
+    def meet(here: DataFrame) -> DataFrame:
+        return meetings(here, packed, k, percent, indexed=False)
+
+    join = HammingJoin(first.select("id", "bands").mapInArrow(_file(bands), "key long, id long"), confirm, meet)
     needed = cut(first.select("id", *name).join(join.members(), "id", "left_semi"))
     texts = docs.select("text").mapInArrow(_pack(least_line), "one long, two long, words binary")
     packed = cut(texts.join(needed, name).groupBy("id").agg(F.first("words").alias("words")))

@@ -225,6 +225,38 @@ def test_components(spark):
     assert got == {1: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8} | {i: 100 for i in range(100, 140)}
 
 
+def test_lines_of_a_bucket_meet(spark, monkeypatch):
+    """Lines whose bands collide: without a pivot round, block meetings alone must link what all pairs of lines link."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup.HammingJoin.__init__, "__defaults__", (0,))
+    rng = random.Random(14)
+    base = words_of(rng, 60)
+    lines = []
+    for i in range(90):
+        w = list(base)
+        for at in rng.sample(range(60), rng.randrange(4)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        lines.append(" ".join(w))
+    sets = [shingle_sets(t, 5) for t in lines]
+    links = [(a, b) for a in range(90) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = roots(range(90), links)
+    gone = {r.doc_id for r in paragraphs.repeats(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect() if r.n_words == 60}
+    assert 0 < len(links) < 90 * 89 / 2 and {i for i in range(90) if root[i] != i} <= gone
+
+
+def test_uniting_links_unite_what_all_pairs_do():
+    rng = np.random.default_rng(15)
+    for _ in range(50):
+        sets = [np.unique(rng.integers(0, 14, rng.integers(1, 14)).astype(np.uint64)) for _ in range(25)]
+        label = rng.integers(0, 20, 25)
+        xs, ys = np.nonzero(np.triu(label[:, None] != label[None, :], 1))
+        got = list(neardup.uniting_links(xs, ys, label.copy(), lambda r: sets[int(r)], 60))
+        assert all(neardup.similar(sets[x], sets[y], 60) for x, y in got)
+        every = [(int(x), int(y)) for x, y in zip(xs, ys) if neardup.similar(sets[x], sets[y], 60)]
+        same = [(int(np.flatnonzero(label == v)[0]), int(i)) for i, v in enumerate(label)]
+        assert roots(range(25), got + same) == roots(range(25), every + same) and len(got) < 25
+
+
 def test_paragraphs(spark, corpus):
     rng = random.Random(8)
     lines = [" ".join(words_of(rng, 45)) for _ in range(6)]
