@@ -26,7 +26,7 @@ def recall(similarity: float, bands: int, rows: int) -> float:
     return 1 - (1 - similarity ** rows) ** bands
 
 
-def tune(similarity: float = 0.8, least_recall: float = 0.999, most_bands: int = 14) -> tuple[int, int]:
+def tune(similarity: float = 0.8, least_recall: float = 0.999, most_bands: int = 10) -> tuple[int, int]:
     """(bands, rows): as many rows as a pair at the threshold allows - so that few other pairs collide - with the recall asked for."""
     best = None
     for rows in range(1, 33):
