@@ -244,16 +244,16 @@ def meetings(here: DataFrame, packed: DataFrame, k: int, percent: int, indexed:
 class HammingJoin:
     """Candidate pairs of a key table (``key``, ``id``), without writing out the pairs of a bucket.
 
-    A bucket compares its members with one pivot; members confirmed or linked elsewhere share its component and need no
-    pair of their own. Further rounds take other pivots of buckets whose members still lie in several components. After
+    A bucket compares its members with one pivot, its least id; members confirmed or linked elsewhere share its component and need no
+    pair of their own. Further rounds, if asked for, take other pivots of buckets whose members still lie in several components. After
     ``pivots`` rounds what is left - members of one bucket in different components, not compared yet - is given to ``meet``, which
     puts out confirmed links. So every pair of a bucket is either
     compared or already known to be connected.
     """
 
-    def __init__(self, filed: DataFrame, confirm, meet, pivots: int = 3):
+    def __init__(self, filed: DataFrame, confirm, meet, pivots: int = 1):
         self.confirm, self.pivots, self.meet = confirm, pivots, meet
-        shared = cut(filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+        shared = cut(filed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("p")).filter("n > 1").select("key", "p"))
         self.filed = cut(filed.join(shared, "key"))
 
     def members(self) -> DataFrame:
@@ -261,28 +261,27 @@ class HammingJoin:
 
     def _open(self, groups: DataFrame) -> DataFrame:
         """Members, with components, of the buckets that lie in several components."""
-        here = self.filed.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        here = cut(here)
-        several = cut(here.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"))
+        here = cut(self.filed.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+        several = here.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
         return cut(here.join(several, "key"))
 
+    def _pairs(self, turn: int, groups: DataFrame) -> DataFrame:
+        if not turn:
+            return self.filed.filter("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
+        here = self._open(groups)
+        pivot = here.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), "id", "c")).alias("p"))
+        pairs = here.join(pivot.select("key", F.col("p.id").alias("p"), F.col("p.c").alias("pc")), "key").filter("id <> p and c <> pc")
+        return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
     def components(self) -> DataFrame:
         spark = self.filed.sparkSession
-        links = spark.createDataFrame([], "a long, b long")
-        tried = links
+        links = tried = spark.createDataFrame([], "a long, b long")
         groups = spark.createDataFrame([], "id long, component long")
         for turn in range(self.pivots):
-            here = self.filed.withColumn("c", F.col("id")) if turn == 0 else self._open(groups)
-            rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            pivot = cut(here.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "c")).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.c").alias("pc")))
-            pairs = here.join(pivot, "key").filter((F.col("id") != F.col("p")) & (F.col("c") != F.col("pc")))
-            fresh = self._fresh(pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")), tried)
-            if fresh.isEmpty():
-                if turn:
-                    continue
-                break
+            fresh = self._pairs(turn, groups)
+            fresh = cut(fresh.join(tried, ["a", "b"], "left_anti") if turn else fresh)
             links = cut(links.unionByName(self.confirm(fresh)))
-            tried = cut(tried.unionByName(fresh))
+            tried = tried.unionByName(fresh)
             groups = cut(components(links))
         here = self._open(groups)
         if not here.isEmpty():
@@ -290,20 +289,16 @@ class HammingJoin:
             groups = cut(components(links))
         return groups
 
-    @staticmethod
-    def _fresh(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-        return cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-
 
 def near_duplicates(
-    df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 3,
+    df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 1,
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``kept``.
 
     Texts whose k-word shingle sets have 100 * intersection >= percent * union are linked. Equal word sequences are one
     class, found by hash, and only the smallest id of a class is searched for further links; so copies never become pairs.
     The other classes are filed by the multi-index, compared as ``HammingJoin`` says, and confirmed on their full sets; after
-    the pivot rounds, members of a bucket meet by blocks on longer signatures (``meetings``), and close ones that nothing connects
+    the pivot round, members of a bucket meet by blocks on longer signatures (``meetings``), and close ones that nothing connects
     yet are confirmed and united inside the task.
 
     Null and empty texts and texts of white space have no shingles and link with nothing. Rows without an id are never linked

@@ -223,6 +223,30 @@ def test_components(spark):
     links = [(5, 4), (4, 3), (9, 8), (8, 9), (7, 7), (3, 1), (20, None)] + [(100, i) for i in range(101, 140)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8} | {i: 100 for i in range(100, 140)}
+    assert components.components(spark.createDataFrame([(7, 7), (None, 3)], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [3, 1 << 20])
+def test_components_of_paths_hubs_and_random_links(spark, monkeypatch, chunk):
+    """Links dealt over many tasks and thinned a few at a time, so that rounds by id and by hash have to do the rest."""
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    rng = random.Random(21)
+    links = [(i, i + 1) for i in range(1000, 1120)] + [(2500, 2000 + i) for i in range(300)]
+    links += [(3000 + rng.randrange(150), 3000 + rng.randrange(150)) for _ in range(110)]
+    rng.shuffle(links)
+    ids = {i for x, y in links if x != y for i in (x, y)}
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()
+    assert len(got) == len(ids) and {r["id"]: r["component"] for r in got} == roots(ids, links)
+
+
+def test_a_forest_connects_what_the_links_do():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 400):
+        u, v = rng.integers(0, n, n), rng.integers(0, n, n)
+        x, y = components.forest(u, v)
+        assert len(set(x.tolist())) == len(x) and (y < x).all()
+        every, kept = (roots(range(n), list(zip(p.tolist(), q.tolist()))) for p, q in ((u, v), (x, y)))
+        assert every == kept
 
 
 def test_lines_of_a_bucket_meet(spark, monkeypatch):
