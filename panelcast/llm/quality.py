@@ -102,21 +102,32 @@ def fit_space(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, dimens
     return Space(idf.astype(np.float32), (q @ vt[:dimensions].T).astype(np.float32))
 
 
-def _vote(space: Space, labelled: np.ndarray, good: np.ndarray, prior: float, neighbours: int, sharpness: float, block: int):
-    """Exact cosines of a block of documents with all labelled vectors; the nearest vote, weighted by similarity."""
-    k = min(neighbours, len(labelled))
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """The k columns of greatest value in each row, the lower column first among equals; in the order of the columns."""
+    kth = -np.partition(-cos, k - 1, axis=1)[:, k - 1:k]
+    chosen, tied = cos > kth, cos == kth
+    room = k - chosen.sum(axis=1)
+    crowded = np.flatnonzero(tied.sum(axis=1) > room)
+    tied[crowded] &= np.cumsum(tied[crowded], axis=1) <= room[crowded, None]
+    return np.nonzero(chosen | tied)[1].reshape(len(cos), k)
+
+
+def _vote(labelled: np.ndarray, good: np.ndarray, prior: float, neighbours: int, sharpness: float, block: int):
+    """Exact cosines of a block of documents with all labelled vectors, in doubles and rounded at nine decimals so that they do not
+    depend on the block; the nearest vote, weighted by similarity."""
+    k, across = min(neighbours, len(labelled)), labelled.T.astype(np.float64)
 
     def score(vectors: np.ndarray) -> np.ndarray:
         out = np.full(len(vectors), prior)
         if not k:
             return out
         for i in range(0, len(vectors), block):
-            cos = vectors[i:i + block] @ labelled.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, axis=1), 0).astype(np.float64) ** sharpness
+            cos = np.round(vectors[i:i + block].astype(np.float64) @ across, 9)
+            near = nearest(cos, k)
+            w = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** sharpness
             total = w.sum(axis=1)
             votes = (w * good[near]).sum(axis=1)
-            out[i:i + block] = np.where(total > 0, (votes + 0.5 * prior) / (total + 0.5), prior)
+            out[i:i + block] = np.where(total > 0, np.round((votes + 0.5 * prior) / (total + 0.5), 9), prior)
         return out
     return score
 
@@ -131,7 +142,8 @@ def score(
 
     Documents become vectors of hashed words and word outlines, weighted by term and document frequency (counted over all
     documents) and projected on the leading singular directions of the labelled ones. Each document is multiplied with every
-    labelled vector, in blocks; the nearest vote with their similarity. Only the text enters a score.
+    labelled vector, in blocks; the nearest vote with their similarity (of equally near ones those that come first in the order of
+    their terms). Only the text enters a score; equal texts have equal scores.
 
     Labels are learned from ids with crc32(id as text) mod 5 <> 0. At most about ``max_labelled`` labelled documents (by a hash of
     the id) are used: the bound of what the driver and a broadcast hold. Every other step covers all rows.
@@ -167,6 +179,7 @@ def score(
 
     idf = document_frequencies(docs)
     rows = docs.select("doc_id", "text").mapInArrow(labelled_terms, "q int, at binary, c binary").collect() if n else []
+    rows.sort(key=lambda r: (r["at"], r["c"], r["q"]))
     terms = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["c"], "<f4")) for r in rows]
     good = np.array([r["q"] for r in rows], dtype=np.float64)
     space = fit_space(terms, idf, dimensions, seed)
@@ -175,7 +188,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, vectors, good, prior = model.value
-        vote, index = _vote(space, vectors, good, prior, neighbours, sharpness, block=256), TermIndex()
+        vote, index = _vote(vectors, good, prior, neighbours, sharpness, block=256), TermIndex()
         for b in batches:
             mine = [space.vector(*term_counts(t.as_py(), index)) for t in b.column(1)]
             scores = vote(np.array(mine, dtype=np.float32).reshape(len(mine), space.axes.shape[1]))

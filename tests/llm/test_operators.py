@@ -79,6 +79,30 @@ def test_communication_matrix_keeps_margins():
     assert rows.sum(axis=1).tolist() == [3, 0, 9, 8] and rows.sum(axis=0).tolist() == cells.tolist()
 
 
+@pytest.mark.parametrize("limit", [0, 1_000_000_000])
+def test_communication_matrix_is_hypergeometric(monkeypatch, limit):
+    """Both samplers against the exact law: two rows of each of two partitions dealt to cells of two."""
+    monkeypatch.setattr(sharding, "NUMPY_LIMIT", limit)
+    n = 6000
+    seen = Counter(int(sharding.CommunicationMatrix([2, 2], np.array([2, 2], dtype=np.int64), seed).row(0)[0]) for seed in range(n))
+    for value, share in ((0, 1 / 6), (1, 4 / 6), (2, 1 / 6)):
+        assert abs(seen[value] - n * share) < 4.5 * math.sqrt(n * share * (1 - share))
+
+
+def test_shards_are_shuffled_uniformly(spark):
+    """Source partition against shard, and neighbours in the input against neighbours in the output."""
+    n, shards = 12_000, 6
+    got = sharding.shard(spark.range(n, numPartitions=5).withColumnRenamed("id", "doc_id"), shards, seed=11, block_rows=500).collect()
+    counts = Counter((r.doc_id * 5 // n, r.shard) for r in got)
+    expected = n / 5 / shards
+    assert sum((counts[p, s] - expected) ** 2 / expected for p in range(5) for s in range(shards)) < 50  # 20 degrees of freedom
+    place = {r.doc_id: (r.shard, r.slot) for r in got}
+    ranks = np.array([place[i][1] for i in range(n)], dtype=float)
+    assert abs(np.corrcoef(ranks, np.arange(n))[0, 1]) < 0.05 and abs(np.corrcoef(ranks[1:], ranks[:-1])[0, 1]) < 0.05
+    together = sum(place[i][0] == place[i + 1][0] for i in range(n - 1))
+    assert abs(together - n / shards) < 5 * math.sqrt(n / shards)
+
+
 def test_run_index_gives_matching_statistics():
     rng = np.random.default_rng(1)
     for _ in range(25):
@@ -603,6 +627,36 @@ def test_quality_learns_and_keeps_rows(spark):
     assert {r.score for r in quality.score(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_votes_as_a_plain_search():
+    """Cosines and votes row by row, with ties at the last neighbour and blocks of any size."""
+    rng = np.random.default_rng(31)
+    labelled = rng.integers(-2, 3, (60, 4)).astype(np.float32)
+    labelled = labelled[(labelled != 0).any(axis=1)]
+    labelled = np.concatenate([labelled, labelled[:20]])  # equal vectors with other labels
+    labelled /= np.linalg.norm(labelled, axis=1, keepdims=True)
+    good = rng.integers(0, 2, len(labelled)).astype(float)
+    docs = np.concatenate([labelled[:30], np.zeros((2, 4), np.float32), labelled[:30]])
+    want = []
+    for v in docs:
+        cos = [round(float(np.dot(v.astype(float), x.astype(float))), 9) for x in labelled]
+        best = sorted(range(len(cos)), key=lambda i: (-cos[i], i))[:7]
+        w = [max(cos[i], 0) ** 4.0 for i in best]
+        want.append((sum(x * good[i] for x, i in zip(w, best)) + 0.5 * 0.4) / (sum(w) + 0.5) if sum(w) else 0.4)
+    for block in (1, 3, 256):
+        got = quality._vote(labelled, good, 0.4, 7, 4.0, block)(docs)
+        assert np.allclose(got, want, atol=2e-9) and (got[:30] == got[32:]).all()
+    assert (quality._vote(labelled[:3], good[:3], 0.4, 7, 4.0, 2)(docs[:5]) >= 0).all()
+
+
+def test_equal_texts_have_equal_scores(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = docs.unionByName(docs.selectExpr("doc_id + 1000000 as doc_id", "text")).repartition(5)
+    scores = {}
+    for r in quality.score(more, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), keep=("text",)).collect():
+        scores.setdefault(r.text, set()).add(r.score)
+    assert all(len(s) == 1 for s in scores.values())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_as_sql(spark, name):
     d = "/root/testdata/sf0.001"
