@@ -682,3 +682,42 @@ def test_pipeline_stages(spark, corpus):
     clean = stages["secret scans"](spark, docs, d)
     assert clean.count() == len(corpus) and clean.columns == docs.columns
     assert stages["BPE encoding and decoding"](spark, docs, d).count() == len(corpus)
+
+
+def test_pipeline_run_keeps_what_brute_force_keeps(spark, tmp_path):
+    """The whole chain over a small table with odd rows: no stage loses a row it has no reason to drop."""
+    from tokenizers import Tokenizer
+
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    first = docs.orderBy("doc_id").first()
+    odd = [(700_001, first.text, "en", "s", 1), (700_002, None, None, None, None), (700_003, "", "en", "s", 0), (None, first.text, "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.orderBy("doc_id").limit(1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    d = str(tmp_path)
+    got = Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, d).collect())
+
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    good = [(r.doc_id, r.text) for r in quality.score(docs, spark.read.parquet(f"{d}/labels.parquet"), keep=("text",)).filter("predicted = 1").collect()]
+    sets = [(i, shingle_sets(t, 5)) for i, t in good if i is not None]
+    links = [(a, b) for a, x in sets for b, y in sets if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y)]
+    root = roots({i for i, _ in sets}, links)
+    single = [(i, t) for i, t in good if i is None or root[i] == i]
+    assert 0 < len(single) < len(good) <= docs.count()
+    leaks = decontaminate.passages(spark.createDataFrame(single, "doc_id long, text string"), spark.read.parquet(f"{d}/benchmark.parquet"))
+    leaked = {r.doc_id for r in leaks.collect()}
+    rest = [(i, t) for i, t in single if i is None or i not in leaked]
+    masked = secrets.redact(secrets.scan(spark.createDataFrame(rest, "doc_id long, text string"))).select("doc_id", "text").collect()
+    library = Tokenizer.from_file(tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
+    ids = [np.array(library.encode(r.text or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for r in masked]
+    assert got == Counter((r.doc_id, hashlib.sha256(x).hexdigest()) for r, x in zip(masked, ids))
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0 if name == "documents" else 1000).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
