@@ -102,14 +102,15 @@ def fit_space(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, dimens
     return Space(idf.astype(np.float32), (q @ vt[:dimensions].T).astype(np.float32))
 
 
-def nearest(cos: np.ndarray, k: int) -> np.ndarray:
-    """The k columns of greatest value in each row, the lower column first among equals; in the order of the columns."""
-    kth = -np.partition(-cos, k - 1, axis=1)[:, k - 1:k]
-    chosen, tied = cos > kth, cos == kth
-    room = k - chosen.sum(axis=1)
-    crowded = np.flatnonzero(tied.sum(axis=1) > room)
-    tied[crowded] &= np.cumsum(tied[crowded], axis=1) <= room[crowded, None]
-    return np.nonzero(chosen | tied)[1].reshape(len(cos), k)
+def nearest(cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k columns of greatest value in each row, and the values, rounded at nine decimals; the lower column first among equals."""
+    least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+    row, column = np.nonzero(cos >= least - 2e-9)  # all that rounding can bring among the first k
+    value = np.round(cos[row, column], 9)
+    order = np.lexsort((column, -value, row))
+    begin = np.searchsorted(row, np.arange(len(cos)))
+    order = order[np.arange(len(row)) - begin[row] < k].reshape(len(cos), k)
+    return column[order], value[order]
 
 
 def _vote(labelled: np.ndarray, good: np.ndarray, prior: float, neighbours: int, sharpness: float, block: int):
@@ -122,9 +123,8 @@ def _vote(labelled: np.ndarray, good: np.ndarray, prior: float, neighbours: int,
         if not k:
             return out
         for i in range(0, len(vectors), block):
-            cos = np.round(vectors[i:i + block].astype(np.float64) @ across, 9)
-            near = nearest(cos, k)
-            w = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** sharpness
+            near, cos = nearest(vectors[i:i + block].astype(np.float64) @ across, k)
+            w = np.maximum(cos, 0) ** sharpness
             total = w.sum(axis=1)
             votes = (w * good[near]).sum(axis=1)
             out[i:i + block] = np.where(total > 0, np.round((votes + 0.5 * prior) / (total + 0.5), 9), prior)
