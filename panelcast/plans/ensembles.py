@@ -1,6 +1,7 @@
 """Combining the forecasts of several seeds of one model.
 
-Groups here are one window's seeds, so their size is the number of seeds.
+Groups here are one window's seeds, so their size is the number of seeds. Forecasts come long, with a row per seed, or
+side by side: a row per forecast with the seeds' values in an array ``preds``. The latter needs no grouping at all.
 """
 
 from __future__ import annotations
@@ -20,22 +21,42 @@ def _carried(df: DataFrame, keys) -> list:
 
 
 def _back(c):
-    return F.greatest(F.expm1(c), F.lit(0.0))
+    return floor0(F.expm1(c))
+
+
+def _side_by_side(df: DataFrame, keys, combined) -> DataFrame:
+    """``combined`` maps the known log values of a row to one log value."""
+    logs = F.filter(F.transform("preds", lambda p: F.log1p(floor0(p))), lambda x: x.isNotNull())
+    kept = [c for c in CARRIED if c in df.columns and c not in keys]
+    return df.select(*keys, *kept, logs.alias("_logs")).select(*keys, *kept, combined(F.col("_logs")).alias("pred"))
+
+
+def _sum(logs):
+    return F.aggregate(logs, F.lit(0.0), lambda a, x: a + x)
 
 
 def log_mean(preds: DataFrame, keys=KEYS) -> DataFrame:
+    if "preds" in preds.columns:
+        return _side_by_side(preds, keys, lambda x: F.when(F.size(x) > 0, _back(_sum(x) / F.size(x))))
     log = F.log1p(floor0(F.col("pred")))
     return preds.groupBy(*keys).agg(*_carried(preds, keys), _back(F.avg(log)).alias("pred"))
 
 
 def trimmed_log_mean(preds: DataFrame, keys=KEYS) -> DataFrame:
     """Log mean without one smallest and one largest seed; null when no seed is left."""
+    if "preds" in preds.columns:
+        return _side_by_side(preds, keys, lambda x: F.when(F.size(x) > 2, _back(
+            (_sum(x) - F.array_min(x) - F.array_max(x)) / (F.size(x) - 2))))
     log = F.log1p(floor0(F.col("pred")))
     inner = F.try_divide(F.sum(log) - F.min(log) - F.max(log), F.count(log) - 2)
     return preds.groupBy(*keys).agg(*_carried(preds, keys), F.when(F.count(log) > 2, _back(inner)).alias("pred"))
 
 
 def log_median(preds: DataFrame, keys=KEYS) -> DataFrame:
+    if "preds" in preds.columns:
+        at = lambda x, i: F.get(F.sort_array(x), F.floor(i).cast("int"))
+        return _side_by_side(preds, keys, lambda x: F.when(F.size(x) > 0, _back(
+            (at(x, (F.size(x) - 1) / 2) + at(x, F.size(x) / 2)) / 2)))
     log = F.log1p(floor0(F.col("pred")))
     return preds.groupBy(*keys).agg(*_carried(preds, keys), _back(F.median(log)).alias("pred"))
 

@@ -237,3 +237,24 @@ def test_an_observation_on_the_end_of_its_interval_is_covered(spark):
     assert U.interval_report(ends, ["series_id"]).filter("coverage < 1").count() == 0
     assert U.interval_report(ends.withColumn("q", F.col("q") * 0.999), ["series_id"]).filter("coverage > 0").count() == 0
     assert U.interval_report(ends.drop("score"), ["series_id"]).filter("coverage < 1").count() > 0  # ends alone tell no more
+
+
+@pytest.mark.parametrize("combine", [E.log_mean, E.trimmed_log_mean, E.log_median])
+def test_seeds_side_by_side_give_what_long_rows_give(spark, combine):
+    rng = np.random.default_rng(1)
+    rows = [("a", t, 1 + t % 3, float(t), [None if rng.random() < 0.3 else float(v) for v in rng.normal(20, 30, t % 6)]) for t in range(40)]
+    wide = spark.createDataFrame(rows, "series_id string, slot_utc long, lead int, y double, preds array<double>")
+    long = wide.select("series_id", "slot_utc", "lead", "y", F.explode_outer("preds").alias("pred"))
+    got = combine(wide).orderBy("slot_utc").toPandas()
+    want = combine(long.filter("slot_utc % 6 > 0")).orderBy("slot_utc").toPandas()
+    assert got[got.slot_utc % 6 == 0].pred.isna().all() and list(got.columns) == list(want.columns)
+    pd.testing.assert_frame_equal(got[got.slot_utc % 6 > 0].reset_index(drop=True), want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("name", ["log_mean_ensemble", "trimmed_ensemble", "median_ensemble"])
+def test_ensembles_group_nothing_after_the_windows(spark, small, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Window")]
+    assert "Aggregate" not in above and "Sort" not in above
