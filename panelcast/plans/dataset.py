@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.functions.columns import zscore
 from panelcast.operators.features import WIND_ROWS, add_features, add_windows, feature_rows, open_panel
@@ -49,31 +54,98 @@ def fit(panel: DataFrame, layout: Layout | None = None, wind: bool = True, lookb
     return Scaling(kept, params, {f: stats[f] for f in WIND_FEATURES if f in stats})
 
 
+WINDOW_ROWS = 512  # windows cut out at once: what a task holds beside the rows of a series (or block)
+
+
+def _deviation(x: np.ndarray) -> np.ndarray:
+    """Deviation (ddof 0) of each line over its known values; NaN without any."""
+    known = ~np.isnan(x)
+    n = known.sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.where(known, x, 0.0).sum(axis=1) / n
+        return np.sqrt((np.where(known, x - mean[:, None], 0.0) ** 2).sum(axis=1) / n)
+
+
+def _cut_windows(scaling: Scaling, keep: list[str], lookback: int):
+    """Over the rows of one series (or block): the windows that end at its marked rows, some at a time.
+
+    The first steps of a window see trailing wind frames that stop at its first row; these few steps are worked out for each
+    window, every other channel of a step is that of its row.
+    """
+    early = min(WIND_ROWS - 1, lookback)
+    wind = scaling.wind
+
+    def clipped(raw: dict, at) -> dict:
+        """Per clipped channel its first steps, window by window; a row without the value counts for nothing."""
+        first = at[:, :early]
+        u, v, speed = (raw[c][first] for c in ("u10", "v10", "wind_speed_850"))
+        spread, most = np.full(first.shape, np.nan), np.full(first.shape, np.nan)
+        for s in range(first.shape[1]):
+            spread[:, s] = _deviation(u[:, :s + 1]) + _deviation(v[:, :s + 1])
+        np.fmax.accumulate(speed, axis=1, out=most)
+        return {CLIPPED[0]: spread, CLIPPED[1]: most}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("row_no").combine_chunks()
+        ends = np.flatnonzero(t.column("_mine").to_numpy(zero_copy_only=False))
+        columns = [t.column(f"_x{i}").combine_chunks() for i in range(len(scaling.channels))]
+        raw = {c: t.column(f"_raw_{c}").to_numpy() for c in ("u10", "v10", "wind_speed_850")} if wind else {}
+        for lo in range(0, len(ends), WINDOW_ROWS):
+            some = ends[lo:lo + WINDOW_ROWS]
+            at = some[:, None] + np.arange(1 - lookback, 1)
+            own = clipped(raw, at) if wind else {}
+            steps = []
+            for name, column in zip(scaling.channels, columns):
+                if name not in own and not column.null_count:  # whole stretches are copied
+                    steps.append(pa.array(sliding_window_view(column.to_numpy(), lookback)[at[:, 0]].ravel()))
+                    continue
+                x = column.take(pa.array(at.ravel()))
+                if name in own:
+                    values, lost = (a.to_numpy(zero_copy_only=False).reshape(at.shape).copy() for a in (x, x.is_null()))
+                    mean, std = wind[name]
+                    values[:, :early], lost[:, :early] = (own[name] - mean) / std, np.isnan(own[name])
+                    x = pa.array(values.ravel(), mask=lost.ravel())
+                steps.append(x)
+            inputs = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * lookback),
+                                              pa.StructArray.from_arrays(steps, names=list(scaling.channels)))
+            kept = [t.column(c).combine_chunks().take(pa.array(some)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, inputs], names=[*keep, "inputs"])
+    return run
+
+
+WINDOW_COLUMNS = ("split", "slot_utc", "row_no", "input_start_utc", "target_end_utc", "target_mean_frp", "target_max_frp", "fire_active", "targets")
+
+
 def scaled_windows(panel: DataFrame, scaling: Scaling, layout: Layout | None = None, lookback: int = LOOKBACK) -> DataFrame:
-    """Windows with ``inputs``: one struct of all channels per step, z-scored.
+    """Windows with ``inputs``: one struct of all channels per step, z-scored; series by series, in order of time."""
+    return map_windows(panel, scaling, None, None, layout, lookback)
 
-    The first steps of a window see trailing wind frames that stop at its first row. What they see is the same as the
-    frames that grow forward from that row, so each row carries the values of its few growing frames, and a window
-    takes them from its first row. All other channels of a step are those of its row.
+
+def map_windows(panel: DataFrame, scaling: Scaling, run: Callable | None, fields: T.StructType | None, layout: Layout | None = None,
+                lookback: int = LOOKBACK, keep=WINDOW_COLUMNS) -> DataFrame:
+    """``run`` over the windows of ``scaled_windows`` (Arrow batches of ``keep`` and ``inputs`` in, batches of ``fields`` out; the
+    windows themselves without ``run``) in the task that cuts them out: only results leave it.
+
+    Rows are scaled once. Those of a series are already together (and bounded by the layout), so its windows are cut out inside
+    the task by array arithmetic, without an exchange, and nothing wide is ever ordered.
     """
     pw = open_panel(panel, layout)
     df = add_windows(add_features(pw, wind=bool(scaling.wind)), pw, scaling.features, lookback)
-    steps = pw.w.rowsBetween(-(lookback - 1), 0)
-    early = min(WIND_ROWS - 1, lookback)
-    inputs = F.col("_inputs")
-    if scaling.wind:
-        grown = [pw.w.rowsBetween(0, s) for s in range(early)]
-        df = df.withColumns({
-            "_grown_var": F.array(*[scaling.scaled(CLIPPED[0], F.stddev_pop("u10").over(g) + F.stddev_pop("v10").over(g)) for g in grown]),
-            "_grown_max": F.array(*[scaling.scaled(CLIPPED[1], F.max("wind_speed_850").over(g)) for g in grown]),
-        })
-        df = df.withColumns({"_first_var": F.lag("_grown_var", lookback - 1).over(pw.w), "_first_max": F.lag("_grown_max", lookback - 1).over(pw.w)})
-        inputs = F.transform("_inputs", lambda x, i: F.when(
-            i < early, x.withField(CLIPPED[0], F.get("_first_var", i)).withField(CLIPPED[1], F.get("_first_max", i))).otherwise(x))
-    df = df.withColumn("_inputs", F.collect_list(F.struct(*[scaling.scaled(f).alias(f) for f in scaling.channels])).over(steps))
-    out = pw.close(df).filter("is_anchor").withColumn("inputs", inputs)
-    return out.select(*pw.layout.keys, "split", "slot_utc", "row_no", "input_start_utc", "target_end_utc",
-                      "target_mean_frp", "target_max_frp", "fire_active", "targets", "inputs")
+    blocked = pw.layout.blocked
+    mine = F.col("is_anchor") & (F.col("_block") == F.col("_home")) if blocked else F.col("is_anchor")
+    keep = [*pw.layout.keys, *keep]
+    by = [*pw.layout.keys, *(["_block"] if blocked else [])]
+    raw = [F.col(c).cast("double").alias(f"_raw_{c}") for c in ("u10", "v10", "wind_speed_850")] if scaling.wind else []
+    channels = [scaling.scaled(f).cast("double").alias(f"_x{i}") for i, f in enumerate(scaling.channels)]
+    rows = df.select(*dict.fromkeys([*keep, *by, "row_no"]), F.coalesce(mine, F.lit(False)).alias("_mine"), *raw, *channels)
+    step = T.StructType([T.StructField(f, T.DoubleType()) for f in scaling.channels])
+    windows = T.StructType([*[rows.schema[c] for c in keep], T.StructField("inputs", T.ArrayType(step))])
+    cut_out = _cut_windows(scaling, keep, lookback)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(cut_out(batches)) if run else cut_out(batches)
+
+    return rows.groupBy(*by).applyInArrow(whole, fields or windows)
 
 
 def scaled_rows(panel: DataFrame, scaling: Scaling, layout: Layout | None = None, lookback: int = LOOKBACK) -> DataFrame:

@@ -20,8 +20,16 @@ def predict_windows(windows: DataFrame, model: Callable[[np.ndarray], np.ndarray
 
     Arrow batches become arrays column by column; no Python object per cell.
     """
+    return windows.select(*keep, "inputs").mapInArrow(scorer(model, features, keep, batch_size), forecast_fields(windows, keep))
+
+
+def forecast_fields(rows: DataFrame, keep=("series_id", "slot_utc")) -> T.StructType:
+    return T.StructType([*[rows.schema[k] for k in keep], T.StructField("preds", T.ArrayType(T.DoubleType()))])
+
+
+def scorer(model, features=FEATURES, keep=("series_id", "slot_utc"), batch_size: int = 256):
+    """What ``predict_windows`` does to Arrow batches; ``dataset.map_windows`` takes it to the tasks that build the windows."""
     names = tuple(features)
-    schema = T.StructType([*[windows.schema[k] for k in keep], T.StructField("preds", T.ArrayType(T.DoubleType()))])
 
     def score(batches):
         for batch in batches:
@@ -36,7 +44,7 @@ def predict_windows(windows: DataFrame, model: Callable[[np.ndarray], np.ndarray
             kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays([*kept, preds], names=[*keep, "preds"])
 
-    return windows.select(*keep, "inputs").mapInArrow(score, schema)
+    return score
 
 
 def predict_panel(panel: DataFrame, model, features=FEATURES, layout: Layout | None = None, batch_size: int = 256) -> DataFrame:

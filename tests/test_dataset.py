@@ -325,3 +325,42 @@ def test_nested_results_with_bare_nan(spark, tmp_path):
     assert readers.value_norm(n) == (1.0, 2.0)
     with pytest.raises(KeyError):
         readers.value_norm(n, "absent")
+
+
+def test_windows_leave_their_build_in_order_and_are_stored_without_a_sort(spark, panel, tmp_path):
+    w = D.scaled_windows(panel, D.fit(panel, PLAIN), PLAIN)
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Sort") == 1  # that of the series' rows
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    writers.write_samples(w, str(tmp_path / "a"), in_order=True)
+    writers.write_samples(w, str(tmp_path / "b"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    a, b = (readers.read_samples(spark, str(tmp_path / x)) for x in "ab")
+    assert a.count() == b.count() > 20 and a.exceptAll(b).count() == 0
+    for f in (tmp_path / "a").rglob("*.parquet"):
+        rows = [(r.series_id, r.slot_utc) for r in spark.read.parquet(str(f)).collect()]
+        assert rows == sorted(rows)
+
+
+def test_build_checks_count_cells_in_one_pass(spark, panel):
+    scaling = D.fit(panel, PLAIN)
+    rows, w = D.scaled_rows(panel, scaling, PLAIN), D.scaled_windows(panel, scaling, PLAIN).cache()
+    n = w.count()
+    odd = w.withColumn("inputs", F.when(F.col("split") == "val", F.slice("inputs", 1, 47)).when(
+        F.col("split") == "test", F.slice("inputs", 1, 0)).otherwise(F.transform("inputs", lambda x, i: x.withField("v10", F.when(i > 1, x["v10"]).when(i > 0, float("nan"))))))
+    odd = odd.withColumn("targets", F.transform("targets", lambda y, i: F.when(i > 1, y).when(i > 0, -1.0)))
+    checks = R.build_checks(odd, rows, scaling.channels, scaling.params)
+    assert "aggregate(inputs" not in checks._jdf.queryExecution().executedPlan().toString()
+    got = {r.check: r.detail for r in checks.collect()}
+    per = {r.split: r["count"] for r in w.groupBy("split").count().collect()}
+    assert got["null_inputs"] == 2 * per["train"] and got["feature_count"] == per["val"] + per["test"]
+    assert got["null_targets"] >= n and got["negative_targets"] >= n
+
+
+@pytest.mark.parametrize("name", ["window_inputs_scaled", "constant_feature_windows", "model_scoring"])
+def test_windows_are_used_in_the_task_that_builds_them(spark, small, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "InArrow" in plan  # the hourly cells, then the series
+    assert "collect_list" not in plan and "inputs" not in plan.split("FlatMapGroupsInArrow")[0]
