@@ -217,16 +217,19 @@ def build_checks(windows: DataFrame, rows: DataFrame, names, scaled=SCALED, look
     ``windows`` have ``inputs`` and ``targets`` as stored, ``rows`` are the z-scored panel rows, ``names`` the channels that the
     store's metadata lists.
     """
-    bad = lambda f: F.size(F.filter("targets", f))
     held = windows.schema["inputs"].dataType.elementType.names
-    cells = F.aggregate("inputs", F.lit(0), lambda n, x: n + sum(
-        (F.when(x[c].isNull() | F.isnan(x[c]), 1).otherwise(0) for c in held), F.lit(0)))
+    lost = lambda c: c.isNull() | F.isnan(c)
+    # One pass over the cells, step by step; what belongs to a whole window counts at its first step.
+    first = F.coalesce(F.col("_step"), F.lit(0)) == 0
+    cells = windows.select("targets", F.size("inputs").alias("_size"), F.posexplode_outer("inputs").alias("_step", "_x"))
+    off_targets = lambda f: F.when(first, F.size(F.filter("targets", f)))
     channels = len(set(held) ^ set(names))
-    t = windows.agg(
-        F.coalesce(F.sum(cells), F.lit(0)).alias("null_inputs"),
-        F.coalesce(F.sum(bad(lambda x: x.isNull() | F.isnan(x))), F.lit(0)).alias("null_targets"),
-        F.coalesce(F.sum(bad(lambda x: x < 0)), F.lit(0)).alias("negative_targets"),
-        (F.count_if(F.size("inputs") != lookback) + F.lit(channels)).alias("feature_count"))
+    n_lost = sum((F.when(F.col("_step").isNotNull() & lost(F.col("_x")[c]), 1).otherwise(0) for c in held), F.lit(0))
+    t = cells.agg(
+        F.coalesce(F.sum(n_lost), F.lit(0)).alias("null_inputs"),
+        F.coalesce(F.sum(off_targets(lost)), F.lit(0)).alias("null_targets"),
+        F.coalesce(F.sum(off_targets(lambda x: x < 0)), F.lit(0)).alias("negative_targets"),
+        (F.count_if(first & (F.col("_size") != lookback)) + F.lit(channels)).alias("feature_count"))
     aggs = []
     for f in scaled:
         aggs += [F.avg(f).alias(f"{f}__mean"), F.stddev_pop(f).alias(f"{f}__std")]

@@ -40,7 +40,7 @@ def _built(spark, d):
     """The store as files: windows and metadata read back, with the scaled rows beside them."""
     panel, lay, scaling = dataset(spark, d)
     path = stage_path(spark)
-    writers.write_samples(D.scaled_windows(panel, scaling, lay), path)
+    writers.write_samples(D.scaled_windows(panel, scaling, lay), path, in_order=True)
     writers.write_metadata(spark, path, scaling.params | scaling.wind, scaling.channels)
     names = readers.read_metadata(spark, path).first()["feature_names"]  # one row: channel names
     rows = cut(D.scaled_rows(panel, scaling, lay).select("split", *scaling.params))
@@ -60,7 +60,8 @@ def _(spark, d):
     s = F.col("series_id")
     hurt = windows.withColumns({
         "targets": F.transform("targets", lambda y, i: F.when((i == 0) & (s % 3 == 0), -1.0).when(~((i == 1) & (s % 5 == 0)), y)),
-        "inputs": F.transform("inputs", lambda x, i: x.withField("vpd_kPa", F.when(~((i == 3) & (s % 7 == 0)), x["vpd_kPa"])))})
+        "inputs": F.when(s % 7 != 0, F.col("inputs")).otherwise(
+            F.transform("inputs", lambda x, i: x.withField("vpd_kPa", F.when(i != 3, x["vpd_kPa"]))))})
     return R.build_checks(hurt, rows.withColumn("u10", F.col("u10") + 1.0), names, scaled_names)
 
 
