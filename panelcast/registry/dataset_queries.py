@@ -131,6 +131,7 @@ def _series_files(spark, d):
     obs = src.hourly(spark, d, lay).join(names, "series_id").drop("series_id")
     cov = src.covariates(spark, d, lay).join(names, "series_id").drop("series_id").withColumn("tp_m", F.lit(0.0))
     writers.write_series_files(obs, folder, "series_name", "_hourly")
+    cov = cut(cov)  # two kinds of files are written from it
     other = F.col("series_name").substr(-1, 1).isin("1", "3", "5")  # files of some years have other columns in another order
     writers.write_series_files(cov.filter(~other), folder, "series_name", "_era5_hourly")
     writers.write_series_files(cov.filter(other).select(*reversed([c for c in cov.columns if c != "tp_m"])), folder, "series_name", "_era5_hourly")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.schema import CATALOGUE_SCHEMA, COVARIATE_SCHEMA, NORM_SCHEMA, OBSERVATION_SCHEMA
+from panelcast.session import cut
 
 SEALED = "test"
 
@@ -22,53 +23,62 @@ def _named(path, suffix: str):
     return F.url_decode(F.replace(F.regexp_extract(path, rf"([^/=]+){suffix}\.csv", 1), F.lit("+"), F.lit("%2B")))
 
 
+# Names that end in ``_hourly.csv`` but not in ``_era5_hourly.csv``: weather lies beside and is not even listed.
+NOT_WEATHER = "{*[^5],*[^a]5,*[^r]a5,*[^e]ra5,*[^_]era5,5,a5,ra5,era5}_hourly.csv"
+
+
 def read_observations(spark: SparkSession, folder: str) -> DataFrame:
     """CSV files (or folders of parts) named ``<series>_hourly.csv``; the name gives the series.
 
-    Weather files lie in the same folder; the filter on the path prunes them unread.
+    Weather files lie in the same folder; the pattern leaves them out.
     """
     df = (
         spark.read.schema(OBSERVATION_SCHEMA).option("header", True).option("enforceSchema", False)
-        .csv(f"{folder}/*_hourly.csv")
+        .csv(f"{folder}/{NOT_WEATHER}")
         .withColumn("_path", F.col("_metadata.file_path"))
-        .filter(~F.col("_path").contains("_era5_hourly.csv"))
     )
     name = _named(F.col("_path"), "_hourly")
     return _nan_to_null(df.withColumn("series_id", name)).select("series_id", *[f.name for f in OBSERVATION_SCHEMA])
 
 
-def _files_by_header(spark: SparkSession, glob: str, mark: str) -> dict[tuple[str, ...], list[str]]:
-    """Files with the same header line, which is the one that names the column ``mark``.
-
-    One pass over the lines, with one row per file beyond it: the driver gets the file names it lists for any read, and a
-    header for each kind of file. A file with lines but without a header is an error.
-    """
-    lines = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("path")).filter("value <> ''")
-    heads = lines.groupBy("path").agg(F.max(F.when(F.col("value").contains(mark), F.col("value"))).alias("head"))
-    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    found = {r["head"]: sorted(r["paths"]) for r in heads.groupBy("head").agg(F.collect_list(path).alias("paths")).collect()}
-    if None in found:
-        raise ValueError(f"no header with {mark} in {found[None][0]}")
-    return {tuple(c.strip().strip('"').lstrip("\ufeff") for c in h.split(",")): files for h, files in sorted(found.items())}
+def _plain_path(path):
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def read_covariates(spark: SparkSession, folder: str) -> DataFrame:
     """Weather tables, each file read by its own header: columns may stand in any order and further ones (a raw accumulation
-    ``tp_m``) may be there in some files only; an absent covariate is an error that names the file."""
+    ``tp_m``) may be there in some files only; an absent covariate is an error that names the file.
+
+    Files are listed once. The driver gets a row for each kind of header; which file has which is a table of Spark. The header
+    is the line that names the column ``slot_utc``; a file with lines but without it is an error.
+    """
     wanted = [f.name for f in COVARIATE_SCHEMA]
-    out = None
-    for header, files in _files_by_header(spark, f"{folder}/*_era5_hourly.csv", "slot_utc").items():
+    lines = spark.read.text(f"{folder}/*_era5_hourly.csv").select("value", F.col("_metadata.file_path").alias("path")).filter("value <> ''")
+    heads = lines.groupBy("path").agg(F.max(F.when(F.col("value").contains("slot_utc"), F.col("value"))).alias("head"))
+    heads = cut(heads)
+    kinds = {r["head"]: r["path"] for r in heads.groupBy("head").agg(F.min(_plain_path(F.col("path"))).alias("path")).collect()}
+    if not kinds:
+        raise FileNotFoundError(f"no weather rows in {folder}")
+    if None in kinds:
+        raise ValueError(f"no header with slot_utc in {kinds[None]}")
+    places = {}
+    for head, path in sorted(kinds.items()):
+        header = [c.strip().strip('"').lstrip("\ufeff") for c in head.split(",")]
         absent = [c for c in wanted if c not in header]
         if absent:
-            raise ValueError(f"missing columns: {absent} in {files[0]}")
-        schema = T.StructType([T.StructField(c or f"_c{i}", T.StringType()) for i, c in enumerate(header)])
-        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(files)
-        name = _named(F.col("_metadata.file_path"), "_era5_hourly")
-        part = raw.select(name.alias("series_id"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in COVARIATE_SCHEMA])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise FileNotFoundError(f"no weather rows in {folder}")
-    return _nan_to_null(out)
+            raise ValueError(f"missing columns: {absent} in {path}")
+        places[head] = header
+    width = max(map(len, places.values()))
+    cells = F.from_csv("value", ", ".join(f"_{i} string" for i in range(width))).alias("_s")
+    rows = lines.join(heads, "path").filter("value <> head").select("path", "head", cells)
+
+    def column(f):
+        at = F
+        for head, header in places.items():
+            at = at.when(F.col("head") == head, F.col(f"_s._{header.index(f.name)}"))
+        return at.cast(f.dataType).alias(f.name)
+
+    return _nan_to_null(rows.select(_named(F.col("path"), "_era5_hourly").alias("series_id"), *[column(f) for f in COVARIATE_SCHEMA]))
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:

@@ -364,3 +364,18 @@ def test_windows_are_used_in_the_task_that_builds_them(spark, small, name):
     plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "InArrow" in plan  # the hourly cells, then the series
     assert "collect_list" not in plan and "inputs" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_weather_files_are_neither_listed_as_observations_nor_listed_twice(spark, tmp_path, monkeypatch):
+    p = series("x", 5, 1)
+    obs = p[["slot_utc", "slot_type", "frp_sum_mw", "sat_fraction"]].assign(n_pixels=3)
+    names = ["5", "a5", "ra5", "era5", "xera5", "x2015", "a_ra5", "x", "odd name+5"]
+    for n in names:
+        obs.to_csv(tmp_path / f"{n}_hourly.csv", index=False)
+        p[["slot_utc", *COVARIATES]].to_csv(tmp_path / f"{n}_era5_hourly.csv", index=False)
+    got = readers.read_observations(spark, str(tmp_path))
+    assert not [f for f in got.inputFiles() if f.endswith("_era5_hourly.csv") and not f.endswith("/era5_hourly.csv")]
+    assert {r.series_id: r["count"] for r in got.groupBy("series_id").count().collect()} == dict.fromkeys(names, 5)
+    weather = readers.read_covariates(spark, str(tmp_path))
+    assert "Scan csv" not in weather._jdf.queryExecution().executedPlan().toString()  # the lines that told the headers are parsed
+    assert {r.series_id: r["count"] for r in weather.groupBy("series_id").count().collect()} == dict.fromkeys(names, 5)
