@@ -19,6 +19,7 @@ START = -1
 NEVER = 1 << 60
 beyond_latin = re.compile("[^\0-\u024f]").search
 WORD_CACHE = 500_000  # words remembered by a task; the automaton answers the others again
+BATCH_BYTES = 2_000_000  # of ids that a task holds before it passes them on, or those of one longer text
 
 
 def byte_letters() -> list[str]:
@@ -125,7 +126,7 @@ class WordTokenizer:
     """A word-level tokenizer file: normalise, split into words, encode each by the automaton, decode by arc labels."""
 
     def __init__(self, spec: dict):
-        library = Tokenizer.from_str(json.dumps(spec))
+        library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self.library_normal, self.library_split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
@@ -180,27 +181,43 @@ def load(path: str) -> WordTokenizer:
         return WordTokenizer(json.load(f))
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokens: bool = True) -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_tokens``, ``ids`` (array<int>; left out with ``tokens=False``),
-    ``ids_sha256``, ``decoded_sha256`` (of the labels of exactly these ids).
-
-    ``path`` is a tokenizer file that every executor can read. It is a map over the rows: no exchange, one Arrow batch in
-    memory. Null and empty texts have no token; equal rows get equal results; other columns are not read.
-    """
+def _encoded(path: str, tokens: bool):
+    """Rows of ids and checksums, passed on in parts of BATCH_BYTES; the labels of a text are held one text at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(path)
-        for b in batches:
-            ids = [tok.encode(t or "") for t in b.column(1).to_pylist()]
-            cols = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())]
-            names = ["doc_id", "n_tokens"]
+
+        def out(doc_id: pa.Array, ids: list[bytes], sums: list[str], decoded: list[str]) -> pa.RecordBatch:
+            sizes = [len(x) // 4 for x in ids]
+            cols, names = [doc_id, pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"]
             if tokens:
                 flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(edges), flat))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), flat))
                 names.append("ids")
-            cols += [pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                     pa.array([hashlib.sha256(tok.decode(x)).hexdigest() for x in ids], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names + ["ids_sha256", "decoded_sha256"])
+            return pa.RecordBatch.from_arrays(
+                [*cols, pa.array(sums, pa.string()), pa.array(decoded, pa.string())], [*names, "ids_sha256", "decoded_sha256"])
 
+        for b in batches:
+            lo, held = 0, 0
+            ids, sums, decoded = [], [], []
+            for i, t in enumerate(b.column(1)):
+                x = tok.encode(t.as_py() or "")
+                ids.append(x)
+                sums.append(hashlib.sha256(x).hexdigest())
+                decoded.append(hashlib.sha256(tok.decode(x)).hexdigest())
+                held += len(x)
+                if held >= BATCH_BYTES or i == b.num_rows - 1:
+                    yield out(b.column(0).slice(lo, i + 1 - lo), ids, sums, decoded)
+                    lo, held = i + 1, 0
+                    ids, sums, decoded = [], [], []
+    return run
+
+
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokens: bool = True) -> DataFrame:
+    """One row per input row: ``doc_id``, ``n_tokens``, ``ids`` (array<int>; left out with ``tokens=False``),
+    ``ids_sha256``, ``decoded_sha256`` (of the labels of exactly these ids).
+
+    ``path`` is a tokenizer file that every executor can read. It is a map over the rows: no exchange, one Arrow batch of
+    texts in memory, and the ids of a part of it. Null and empty texts have no token; equal rows get equal results; other columns are not read.
+    """
     schema = "doc_id long, n_tokens long, " + "ids array<int>, " * tokens + "ids_sha256 string, decoded_sha256 string"
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encoded(path, tokens), schema)

@@ -12,6 +12,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -365,6 +366,24 @@ def test_perspectives(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_bpe_passes_ids_on_in_parts(monkeypatch):
+    """A large batch of texts is not held as one batch of ids; rows, order and results stay."""
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 400)
+    texts = ["one two three " * n for n in (1, 40, 0, 90, 3, 3)] + [None, "last"]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 3, 3, None, 1, 2, 9, 4], pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for tokens in (True, False):
+        parts = list(bpe._encoded(tokenizer_path(), tokens)(iter([batch, batch.slice(0, 0), batch.slice(7)])))
+        assert len(parts) > 3 and all(sum(p.column("n_tokens").to_pylist()[:-1]) * 4 < 400 for p in parts)
+        rows = pa.Table.from_batches(parts)
+        assert rows.column("doc_id").to_pylist() == [7, 3, 3, None, 1, 2, 9, 4, 4]
+        tok = bpe.load(tokenizer_path())
+        ids = [tok.encode(t or "") for t in [*texts, "last"]]
+        assert rows.column("ids_sha256").to_pylist() == [hashlib.sha256(x).hexdigest() for x in ids]
+        assert rows.column("decoded_sha256").to_pylist() == [hashlib.sha256(tok.decode(x)).hexdigest() for x in ids]
+        if tokens:
+            assert rows.column("ids").to_pylist() == [np.frombuffer(x, "<u4").tolist() for x in ids]
+
+
 def test_bpe_as_the_library(spark, corpus):
     from tokenizers import Tokenizer
 
