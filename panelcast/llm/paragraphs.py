@@ -93,8 +93,8 @@ class Words:
         a, b = shingles.permutations(bands * rows, SEED)
         out = np.repeat((np.arange(1, bands + 1, dtype=np.uint64) * P1)[None, :], len(starts), axis=0)
         for i in range(bands * rows):
-            least = np.minimum.reduceat(mixed(s * a[i] + b[i]), edge)[::2]
-            out[:, i // rows] = mixed(out[:, i // rows] * P2 + least)
+            least = np.minimum.reduceat(s * a[i] + b[i], edge)[::2]
+            out[:, i // rows] = mixed(out[:, i // rows] * P2 + mixed(least))
         return out
 
 
@@ -145,32 +145,44 @@ def _file(bands: int):
     return run
 
 
-def _pack(least_line: int):
-    """The words of each paragraph that is long enough, compressed, by the two hashes that name it."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1).compress
-
-        def out(texts: list[bytes]) -> pa.RecordBatch:
-            w = Words(texts)
-            starts = w.line_starts()
-            ends = np.append(starts[1:], len(w.hash))[:len(starts)]
-            one, two = w.names(starts) if len(starts) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            long = np.flatnonzero(ends - starts >= least_line)
-            where = zip(w.text[starts[long]].tolist(), w.start[starts[long]].tolist(), w.end[ends[long] - 1].tolist())
-            packed = [press(b" ".join(texts[t][lo:hi].translate(LOWER).split())) for t, lo, hi in where]
-            return pa.RecordBatch.from_arrays([pa.array(one[long]), pa.array(two[long]), pa.array(packed, pa.binary())], ["one", "two", "words"])
-
-        for b in batches:
-            texts, held = [], 0
-            for t in b.column(0):
-                texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
-                held += len(texts[-1])
-                if held > BATCH_BYTES:
-                    yield out(texts)
-                    texts, held = [], 0
-            if texts:
-                yield out(texts)
-    return run
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts, compressed for the way to the lines that are wanted of them."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        texts = [press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words, compressed, of the lines wanted of each text (``id``, ``one``, ``two``, ``start``, ``end``). A line counts if the two
+    hashes that name it fit, as texts with equal ids may differ."""
+    press, open_ = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+    def out(cuts: list[bytes], wanted: list[pa.StructArray]) -> pa.RecordBatch:
+        ids, one, two = (np.concatenate([x.field(f).to_numpy() for x in wanted]) for f in ("id", "one", "two"))
+        w = Words(cuts)
+        starts = w.line_starts()
+        ends = np.append(starts[1:], len(w.hash))[:len(starts)]
+        own = w.text[starts]
+        if len(starts):
+            names = w.names(starts)
+            fits = (names[0] == one[own]) & (names[1] == two[own])
+            starts, ends, own = starts[fits], ends[fits], own[fits]
+        where = zip(own.tolist(), w.start[starts].tolist(), w.end[ends - 1].tolist())
+        packed = [press(b" ".join(cuts[c][lo:hi].translate(LOWER).split())) for c, lo, hi in where]
+        return pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(packed, pa.binary())], ["id", "words"])
+
+    for b in batches:
+        cuts, wanted, held = [], [], 0
+        for i, (text, lines) in enumerate(zip(b.column(0), b.column(1))):
+            t = open_(text.as_py())
+            wanted.append(lines.values)
+            for lo, hi in zip(lines.values.field("start").to_numpy().tolist(), lines.values.field("end").to_numpy().tolist()):
+                cuts.append(t[lo:hi])
+                held += hi - lo
+            if held > BATCH_BYTES or i == b.num_rows - 1:
+                yield out(cuts, wanted)
+                cuts, wanted, held = [], [], 0
 
 
 def repeats(
@@ -188,7 +200,7 @@ def repeats(
     ``least_words`` words without a whole paragraph stay, as common phrases and lines of a few words do.
 
     Equal paragraphs are one class, found by a 128-bit hash with map-side aggregation; only one of each class is searched.
-    What the pivots of a bucket leave meets by blocks; close pairs are confirmed and united inside the task (``meetings``). Null and empty texts hold no paragraph; rows without an id are left
+    Only lines that meet another in a band are cut out of the texts. What the pivots of a bucket leave meets by blocks; close pairs are confirmed and united inside the task (``meetings``). Null and empty texts hold no paragraph; rows without an id are left
     alone; repeated rows are documents of their own (of equal ones all but one lose their paragraphs); other columns are not read;
     no rows give no rows.
     """
@@ -203,7 +215,7 @@ def repeats(
     lines = units.filter(F.col("kind") == PARAGRAPH).drop("kind")
     line_classes = several.filter(F.col("kind") == PARAGRAPH).drop("kind")
     first = lines.join(line_classes, name, "left").filter(F.col("kept").isNull() | (F.col("kept") == place))
-    first = cut(first.select(F.monotonically_increasing_id().alias("id"), *name, place.alias("place"), "bands"))
+    first = cut(first.select(F.monotonically_increasing_id().alias("id"), *name, place.alias("place"), "end", "bands"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         b = pairs.join(packed.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
@@ -214,9 +226,10 @@ def repeats(
         return meetings(here, packed, k, percent, indexed=False)
 
     join = HammingJoin(first.select("id", "bands").mapInArrow(_file(bands), "key long, id long"), confirm, meet)
-    needed = cut(first.select("id", *name).join(join.members(), "id", "left_semi"))
-    texts = docs.select("text").mapInArrow(_pack(least_line), "one long, two long, words binary")
-    packed = cut(texts.join(needed, name).groupBy("id").agg(F.first("words").alias("words")))
+    needed = first.select("id", *name, F.col("place.doc_id").alias("doc_id"), F.col("place.start").alias("start"), "end")
+    wanted = needed.join(join.members(), "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("id", *name, "start", "end")).alias("lines"))
+    texts = docs.mapInArrow(_pack, "doc_id long, text binary").join(wanted, "doc_id").select("text", "lines")
+    packed = cut(texts.mapInArrow(_lines, "id long, words binary").groupBy("id").agg(F.first("words").alias("words")))
     groups = join.components()
 
     linked = cut(first.join(groups, "id").select(*name, "place", "component"))

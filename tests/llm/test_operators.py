@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 import corpus_pipeline
 from panelcast.llm import bpe, chat, components, decontaminate, neardup, paragraphs, quality, secrets, sharding, shingles, substrings, vectors
@@ -366,6 +367,19 @@ def test_perspectives(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_only_wanted_lines_are_cut_out_of_texts():
+    """Of texts with equal ids, the one whose line has the wanted name gives it; other lines are not packed."""
+    texts = ["First line of Five words\nthe second line has six\n", "first", None, "other words stand at this place\nthe second line has six"]
+    packed = list(paragraphs._pack(iter([pa.RecordBatch.from_arrays([pa.array([5, 5, 5, 5]), pa.array(texts)], ["doc_id", "text"])])))
+    w = paragraphs.Words([texts[0].encode()])
+    one, two = w.names(w.line_starts())
+    line = [{"id": 9, "one": int(one[0]), "two": int(two[0]), "start": 0, "end": 24}]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([packed[0].column(1), pa.array([line] * 4, kind)], ["text", "lines"])
+    rows = [r for b in paragraphs._lines(iter([batch, batch.slice(0, 0), batch.slice(2)])) for r in b.to_pylist()]
+    assert [(r["id"], zstandard.ZstdDecompressor().decompress(r["words"])) for r in rows] == [(9, b"first line of five words")]
+
+
 def test_bpe_passes_ids_on_in_parts(monkeypatch):
     """A large batch of texts is not held as one batch of ids; rows, order and results stay."""
     monkeypatch.setattr(bpe, "BATCH_BYTES", 400)
