@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,13 @@ from panelcast.llm.runindex import RunIndex, joined
 from panelcast.llm.shingles import P1, P2, mixed
 from panelcast.session import cut
 
-ANCHOR = 16  # bytes of an anchor
-ANCHOR_BITS = 48  # of its hash: anchors only bring windows together, so a rare false meeting costs time, not correctness
+ANCHOR = 24  # bytes of an anchor: short ones stand in many texts of a large table that share no window
+ANCHOR_BITS = 40  # of its hash: anchors only bring windows together, so a rare false meeting costs time, not correctness
 PIECE = 64  # windows of a piece at most
 BLOCK_BYTES = 8_000_000  # of text, as a rule, that a task holds at once
 INDEX_BYTES = 3_000_000  # of pieces, as a rule, in one index
+HASH_BYTES = 1_000_000  # of pieces, as a rule, hashed together
+STRETCH = 250_000  # places of texts that are hashed together
 KINDS = 4096  # rows of a batch looked at together
 
 
@@ -55,13 +58,16 @@ class Anchored:
         self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         lens = np.array([len(t) for t in texts], dtype=np.int64)
         self.begin = np.cumsum(lens) - lens
-        self.length, width = length, min(ANCHOR, length)
+        self.length, width = length, min(ANCHOR, max(1, length * 4 // 5))
         n = len(self.data) - length + 1
         if n <= 0:
             self.anchor, self.owner, self.inside = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
             return
-        self.anchor = sliding_least(anchor_hashes(self.data, width), length - width + 1)
-        owner = np.repeat(np.arange(len(texts)), lens)
+        self.anchor = np.empty(n, dtype=np.uint64)
+        for lo in range(0, n, STRETCH):
+            hashes = anchor_hashes(self.data[lo:lo + STRETCH + length - 1], width)
+            self.anchor[lo:lo + STRETCH] = sliding_least(hashes, length - width + 1)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), lens)
         self.owner = owner[:n]
         self.inside = self.owner == owner[length - 1:]
 
@@ -87,7 +93,7 @@ class Anchored:
 
 
 def _anchors(length: int):
-    """(anchor, doc_id), once per text: what is compared across documents."""
+    """(anchor, doc_id, name), once per text: what is compared across documents. Equal texts have equal names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
@@ -102,34 +108,41 @@ def _anchors(length: int):
                     order = np.lexsort((anchor, owner))
                     owner, anchor = owner[order], anchor[order]
                     new = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))[:len(anchor)]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[lo:][owner[new]])], ["anchor", "doc_id"])
+                    name = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], dtype=np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor[new].view(np.int64)), pa.array(ids[lo:][owner[new]]), pa.array(name[owner[new]])], ["anchor", "doc_id", "name"])
                     texts, lo, held = [], i + 1, 0
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, those whose anchor stands in several documents. Rows of a group are passed on as they come;
-    only the first is held back until a second document shows up."""
-    held: tuple[int, int] | None = None  # anchor and document of a group that has one document so far
+    """Of rows sorted by anchor, those whose anchor stands in several texts; the last column names the text. Rows of a group are
+    passed on as they come; only one, of the smallest id, is held back until a second text shows up: of equal texts, later ones
+    are not searched."""
+    held: tuple[int, int, int] | None = None  # anchor, document and text of a group that has one text so far
     last = None  # anchor of the row before
     several = False
     for b in batches:
-        a, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+        a, d, w = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(b.num_columns - 1).to_numpy()
         if not len(a):
             continue
         fresh = np.append(a[0] != last, a[1:] != a[:-1])
         group = np.cumsum(fresh)  # 0: goes on from the batch before
         edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        lo, hi = np.minimum.reduceat(d, edge), np.maximum.reduceat(d, edge)
+        lo, hi = np.minimum.reduceat(w, edge), np.maximum.reduceat(w, edge)
         many = lo < hi
         if group[0] == 0:
-            many[0] |= several or lo[0] != held[1]
+            many[0] |= several or lo[0] != held[2]
         keep = np.repeat(many, np.diff(np.append(edge, len(a))))
         out_a, out_d = a[keep], d[keep]
         if group[0] == 0 and many[0] and not several:
             out_a, out_d = np.append(out_a, held[0]), np.append(out_d, held[1])
         last, several = int(a[-1]), bool(many[-1])
-        held = None if several else (last, int(d[-1]))
+        least = int(d[edge[-1]:].min())
+        if several:
+            held = None
+        else:
+            held = (last, min(least, held[1]) if group[-1] == 0 else least, int(w[-1]))
         yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_d)], ["anchor", "doc_id"])
 
 
@@ -191,7 +204,8 @@ class Earlier:
 
     Equal pieces are one class; its first document decides. A later document of the class has every window earlier. For the
     first one, the classes of an anchor are numbered by first document, and halved by the bits of that number: the earlier
-    half of each pair of blocks goes into a run-length index, the later half is streamed through it.
+    half of each pair of blocks goes into a run-length index, the later half is streamed through it. Classes that share no longer
+    anchor (of 4/5 of a window) with another one of their anchor hold no equal windows, and stay out.
     """
 
     def __init__(self, length: int):
@@ -211,10 +225,12 @@ class Earlier:
     def marks(self) -> list[np.ndarray]:
         """Per class, which windows stand in a class of the same anchor with an earlier first document."""
         anchors, docs = np.array(self.anchors, dtype=np.int64), np.array(self.docs, dtype=np.int64)
-        lens = np.array([len(p) for p in self.pieces], dtype=np.int64)
+        sizes = np.array([len(p) for p in self.pieces], dtype=np.int64)
         data = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
-        starts = np.cumsum(lens) - lens
+        begin = np.cumsum(sizes) - sizes
         found = np.zeros(len(data), dtype=bool)
+        live = self._meeting(data, begin, sizes, anchors)
+        anchors, docs, lens, starts = anchors[live], docs[live], sizes[live], begin[live]
         order = np.lexsort((docs, anchors))
         a, d = anchors[order], docs[order]
         fresh = np.append(True, a[1:] != a[:-1])[:len(a)]
@@ -236,7 +252,32 @@ class Earlier:
                 for live, place, n in index.statistics(joined(data, starts[new], lens[new]), lens[new], lanes[new] - lanes[some].min()):
                     long = n >= self.length
                     found[starts[new[live[long]]] + place[long]] = True
-        return [found[s:s + n - self.length + 1] for s, n in zip(starts, lens)]
+        return [found[s:s + n - self.length + 1] for s, n in zip(begin, sizes)]
+
+    def _meeting(self, data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+        """The classes that share a longer anchor with another class of their anchor; equal windows have equal ones."""
+        wide = max(1, self.length * 4 // 5)
+        keys, owners = [], []
+        share = begin // HASH_BYTES
+        for some in np.split(np.arange(len(sizes)), np.flatnonzero(share[1:] != share[:-1]) + 1):
+            if not len(some):
+                continue
+            lo, hi = begin[some[0]], begin[some[-1]] + sizes[some[-1]]
+            least = sliding_least(anchor_hashes(data[lo:hi], wide), self.length - wide + 1)
+            windows = sizes[some] - self.length + 1
+            owner = np.repeat(some, windows)
+            least = least[np.arange(len(owner)) + np.repeat(begin[some] - lo - (np.cumsum(windows) - windows), windows)]
+            fresh = np.append(True, (owner[1:] != owner[:-1]) | (least[1:] != least[:-1]))
+            owners.append(owner[fresh])
+            keys.append(mixed(least[fresh] ^ mixed(anchors[owner[fresh]].view(np.uint64))))
+        if not keys:
+            return np.zeros(0, np.int64)
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")  # owners stay in order
+        key, owner = key[order], owner[order]
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(edge, len(key)))
+        return np.unique(owner[np.repeat(owner[edge] != owner[edge + count - 1], count)])
 
     @staticmethod
     def _shares(use: np.ndarray, lanes: np.ndarray, lens: np.ndarray) -> Iterator[np.ndarray]:
@@ -284,11 +325,15 @@ def _removals(length: int):
                 same[1:] = pc.equal(piece.slice(1), piece.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False) & (anchor[1:] == anchor[:-1])
                 same[0] = last[0] == anchor[0] and last[1] == piece[0].as_py()
                 head = np.flatnonzero(~same)
+                # a class alone with its anchor meets no other; the last class of the slice may go on
+                near = np.concatenate([[last[0] is not None and last[0] == anchor[0]], anchor[head[1:]] == anchor[head[:-1]], [True]]) if len(head) else np.ones(1, bool)
+                alone = np.append(False, ~(near[:-1] | near[1:]))
+                skip = alone[np.cumsum(~same)]
                 first = np.repeat(np.append(np.int64(last[2] or 0), doc[head]), np.diff(np.concatenate([[0], head, [len(doc)]])))
                 later = doc > first
                 size = pc.binary_length(piece).to_numpy()
                 yield out(doc[later], nth[later], at[later], (at + size)[later])
-                for r in np.flatnonzero(~later).tolist():
+                for r in np.flatnonzero(~later & ~skip).tolist():
                     if not same[r]:
                         if state.bytes > INDEX_BYTES and state.anchors[-1] != anchor[r]:
                             yield settle(state)
@@ -344,7 +389,7 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
     UTF-8 bytes as they came in; matches never cross documents.
 
     0. Of equal texts only those with the smallest id are searched; the later ones go whole (if they have a window).
-    1. Every window gets an anchor; equal windows have equal ones. Anchors that stand in one document alone drop out. Their
+    1. Every window gets an anchor; equal windows have equal ones. Anchors that stand in one text alone (by a 64-bit hash of it) drop out. Their
        groups are streamed from sorted rows, and hold one row each, whatever their size.
     2. Around the others, pieces are cut out and meet by anchor. Equal pieces of later documents are removed at once; the
        first ones of different pieces are matched by run-length indexes (``Earlier``).
@@ -365,7 +410,7 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
     copies = cut(named.filter(F.octet_length("text") >= length).select("doc_id", text_name.alias("name")).join(firsts, "name")
                  .filter("doc_id > first").select(block, "doc_id", "name").distinct())
 
-    anchors = named.mapInArrow(_anchors(length), "anchor long, doc_id long").repartition("anchor").sortWithinPartitions("anchor")
+    anchors = named.mapInArrow(_anchors(length), "anchor long, doc_id long, name long").repartition("anchor").sortWithinPartitions("anchor")
     shared = anchors.mapInArrow(_shared, "anchor long, doc_id long").select(block, "anchor")
     both = shared.unionByName(copies, allowMissingColumns=True)
     pieces = packed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(

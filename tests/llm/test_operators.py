@@ -165,6 +165,39 @@ def test_substrings_small_indexes_and_empty(spark, corpus, monkeypatch):
     assert substrings.dedup(df.limit(0)).count() == 0
 
 
+def test_pieces_without_a_common_window_stay_out_of_the_index():
+    """A common string shorter than a window brings pieces together, but none of them is indexed; an equal window is."""
+    rng = random.Random(8)
+    noise = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    short, long = noise(45), noise(50)
+    pieces = [noise(20) + short + noise(20), noise(20) + short + noise(20), noise(10) + long + noise(10), noise(10) + long + noise(10), noise(90)]
+    for anchors, live in (([1, 1, 1, 1, 1], [2, 3]), ([1, 1, 2, 3, 3], [])):
+        state = substrings.Earlier(50)
+        for i, (a, x) in enumerate(zip(anchors, pieces)):
+            state.add(a, x, i)
+        sizes = np.array([len(x) for x in pieces])
+        got = state._meeting(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, sizes, np.array(anchors))
+        assert got.tolist() == live
+        assert [np.flatnonzero(m).tolist() for m in state.marks()] == [[], [], [], [10] if live else [], []]
+    assert substrings.Earlier(50).marks() == []
+
+
+def test_removals_over_slices_of_any_size(monkeypatch):
+    """Classes alone with their anchor are passed over, wherever a batch or slice ends."""
+    rng = random.Random(9)
+    bodies = [bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(6)]
+    rows = sorted((rng.randrange(25), rng.choice(bodies), rng.randrange(8)) for _ in range(90))
+    whole = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows]),
+         pa.array(np.zeros(len(rows), np.int32)), pa.array(100 * np.arange(len(rows)))], ["anchor", "piece", "doc_id", "nth", "at"])
+    want = {(d, 100 * i + j) for i, (a, x, d) in enumerate(rows) for s in range(3) if any(b == a and e < d and x[s:s + 10] in y for b, y, e in rows) for j in range(s, s + 10)}
+    for kinds in (1, 2, 5, 4096):
+        monkeypatch.setattr(substrings, "KINDS", kinds)
+        for size in (1, 7, 90):
+            out = [r for b in substrings._removals(10)(iter([whole.slice(i, size) for i in range(0, len(rows), size)])) for r in b.to_pylist()]
+            assert {(r["doc_id"], i) for r in out for i in range(r["start"], r["end"])} == want
+
+
 def test_shared_anchors_over_batches():
     import pyarrow as pa
 
@@ -177,6 +210,15 @@ def test_shared_anchors_over_batches():
         assert set(got) == set(want)
 
 
+def test_anchors_shared_by_copies_only_drop_out():
+    rows = [(1, 5, 0), (1, 4, 0), (1, 6, 0), (2, 9, 1), (2, 8, 1), (2, 7, 2), (3, 1, 3), (3, 1, 4), (4, 2, 5), (4, 3, 5)]
+    for cut in (1, 2, 3, 20):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i:i + cut]], pa.int64()) for c in range(3)], ["anchor", "doc_id", "name"])
+                   for i in range(0, len(rows), cut)]
+        got = {(a, d) for b in substrings._shared(iter(batches)) for a, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        assert {(2, 8), (2, 7), (3, 1)} <= got <= {(2, 9), (2, 8), (2, 7), (3, 1)}
+
+
 def shingle_sets(text, k):
     w = shingles.words(text)
     return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
