@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -440,6 +441,56 @@ def test_bpe_passes_ids_on_in_parts(monkeypatch):
             assert rows.column("ids").to_pylist() == [np.frombuffer(x, "<u4").tolist() for x in ids]
 
 
+def test_bpe_takes_transitions_of_many_words_at_once(monkeypatch):
+    """New words are not encoded one by one, at less than half the time; the paths are those of single words and of the library."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    tok, library = bpe.load(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    parts = ["the", "ing", "tion", "un", "re", "st", "a", "e", "ou", "th", "qu", "zz", "é", "ß", "ñ", "ł"]
+    words = sorted({"".join(rng.choices(parts, k=rng.randrange(1, 7))) for _ in range(20_000)})
+    letters = ["".join(map(tok.letters.__getitem__, w.encode())) for w in words]
+    begin = time.process_time()
+    single = [np.array(tok.auto.encode(w), "<u4").tobytes() for w in letters]
+    between = time.process_time()
+    assert tok.auto.encode_all(letters) == single
+    assert time.process_time() - between < 0.5 * (between - begin)
+    odd = ["", "x", *("".join(rng.choices(tok.letters[97] + tok.letters[98] + tok.letters[200] + tok.letters[32], k=n)) for n in (2, 127, 128, 129, 700))]
+    with monkeypatch.context() as m:
+        m.setattr(bpe, "BLOCK_LETTERS", 50)
+        m.setattr(bpe, "PAIR_SLOTS", 2)
+        small = bpe.load(tokenizer_path()).auto
+        assert small.encode_all(letters[:500] + odd) == single[:500] + [np.array(small.encode(w), "<u4").tobytes() for w in odd]
+
+    def alone(self, letters):
+        raise AssertionError(letters)
+    monkeypatch.setattr(bpe.MergeAutomaton, "encode", alone)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 3000)
+    monkeypatch.setattr(bpe, "WORD_CACHE", 700)
+    texts = [" ".join(rng.choices(words, k=rng.randrange(40))) + rng.choice(["", "<|endoftext|>", "日本語 été"]) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], ["doc_id", "text"])
+    got = pa.Table.from_batches(bpe._encoded(tokenizer_path(), True)(iter([batch]))).column("ids").to_pylist()
+    assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_words_of_latin_text():
+    """The spelled-out pattern cuts like the pattern itself and like the library, whatever two characters meet."""
+    import regex
+    from tokenizers import Tokenizer
+
+    tok, library = bpe.load(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        pattern = next(p for p in json.load(f)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+    plain = regex.compile(pattern).findall
+    kinds = ["a", "1", "'", "-", " ", "s", "é", "²", "'s", "\x85", "\u0307"]
+    texts = ["".join(f"{c}{k}{c}x{k}{c}" for k in kinds).lower() for c in map(chr, range(0x250))]
+    assert tok.words is not plain and [tok.words(t) for t in texts] == [plain(t) for t in texts]
+    texts = [f"a{c}b {c} 1{c}{c}'{c}s" for c in map(chr, range(0x250))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode_all(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for other in (r"\p{L}+|\p{N}", r"[\p{L}\p{M}]+", r"(?i:'s)|[\p{L}]+", r"[\p{L}]+\s"):
+        assert bpe.latin_words(other)("Éa's 1 b́") == regex.findall(other, "Éa's 1 b́")
+
+
 def test_bpe_as_the_library(spark, corpus):
     from tokenizers import Tokenizer
 
