@@ -25,10 +25,11 @@ INDEX_BYTES = 3_000_000  # of pieces, as a rule, in one index
 HASH_BYTES = 1_000_000  # of pieces, as a rule, hashed together
 STRETCH = 250_000  # places of texts that are hashed together
 KINDS = 4096  # rows of a batch looked at together
+KEYS = 2_000_000  # of windows, as a rule, sorted together
 
 
-def anchor_hashes(b: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the ``width`` bytes from each place on, put together from hashes of powers of two."""
+def window_hashes(b: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the ``width`` bytes from each place on, put together from hashes of powers of two."""
     pieces, w = {1: b.astype(np.uint64) + np.uint64(1)}, 1
     while w * 2 <= width:
         h = pieces[w]
@@ -39,7 +40,11 @@ def anchor_hashes(b: np.ndarray, width: int) -> np.ndarray:
         w = max(x for x in pieces if x <= width - done)
         n = max(0, len(b) - done - w + 1)
         out, done = mixed(out[:n] * P2 + pieces[w][done:done + n]), done + w
-    return out >> np.uint64(64 - ANCHOR_BITS)
+    return out
+
+
+def anchor_hashes(b: np.ndarray, width: int) -> np.ndarray:
+    return window_hashes(b, width) >> np.uint64(64 - ANCHOR_BITS)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -203,33 +208,150 @@ class Earlier:
     """Marks windows that stand in earlier documents, for pieces sorted by anchor, piece and document.
 
     Equal pieces are one class; its first document decides. A later document of the class has every window earlier. For the
-    first one, the classes of an anchor are numbered by first document, and halved by the bits of that number: the earlier
-    half of each pair of blocks goes into a run-length index, the later half is streamed through it. Classes that share no longer
-    anchor (of 4/5 of a window) with another one of their anchor hold no equal windows, and stay out.
+    first one, windows of an anchor meet by a hash. Of each hash that several first documents have, the first window of the
+    earliest one goes into a run-length index, and the windows of later documents are streamed through it, in runs of
+    neighbours: those found whole in the index are marked. So a window is indexed once and streamed once, however many pieces
+    an anchor has. A window that is streamed but not found has the hash of a different one; its anchor goes to ``_halved``,
+    which needs no hash of windows.
     """
 
     def __init__(self, length: int):
         self.length = length
-        self.anchors: list[np.ndarray] = []
-        self.pieces: list[bytes] = []
-        self.docs: list[int] = []
-        self.rows: list[tuple[int, int, int]] = []  # class, nth, at of rows of the first document
-        self.bytes = 0
+        self.held: list[tuple[np.ndarray, ...]] = []  # anchors, bytes, sizes and documents of classes
+        self.rows: list[tuple[np.ndarray, ...]] = []  # class, nth, at of rows of the first document
+        self.last: int | None = None  # anchor
+        self.count = self.bytes = 0
+
+    def extend(self, anchors: np.ndarray, data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> None:
+        if len(sizes):
+            self.held.append((anchors, data, sizes, docs))
+            self.count += len(sizes)
+            self.bytes += len(data)
+            self.last = int(anchors[-1])
 
     def add(self, anchor: int, piece: bytes, doc: int) -> None:
-        self.anchors.append(anchor)
-        self.pieces.append(piece)
-        self.docs.append(doc)
-        self.bytes += len(piece)
+        one = lambda x: np.array([x], dtype=np.int64)
+        self.extend(one(anchor), np.frombuffer(piece, dtype=np.uint8), one(len(piece)), one(doc))
+
+    def _all(self) -> tuple[np.ndarray, ...]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.held) > 1:
+            self.held = [tuple(np.concatenate(x) for x in zip(*self.held))]
+        return self.held[0]
 
     def marks(self) -> list[np.ndarray]:
         """Per class, which windows stand in a class of the same anchor with an earlier first document."""
-        anchors, docs = np.array(self.anchors, dtype=np.int64), np.array(self.docs, dtype=np.int64)
-        sizes = np.array([len(p) for p in self.pieces], dtype=np.int64)
-        data = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
-        begin = np.cumsum(sizes) - sizes
+        sizes = self._all()[2]
+        begin, found = np.cumsum(sizes) - sizes, self._found()
+        return [found[s:s + n - self.length + 1] for s, n in zip(begin, sizes)]
+
+    def spans(self) -> tuple[np.ndarray, ...]:
+        """(doc_id, nth, start, end) of stretches of marked windows in the rows."""
+        _, _, sizes, docs = self._all()
+        begin, (start, windows) = np.cumsum(sizes) - sizes, self._runs(self._found())
+        holder = np.searchsorted(begin, start, side="right") - 1
+        first, last = np.searchsorted(holder, np.arange(len(sizes))), np.searchsorted(holder, np.arange(len(sizes)), side="right")
+        kind, nth, at = (np.concatenate(x) for x in zip(*self.rows))
+        times = (last - first)[kind]
+        row = np.repeat(np.arange(len(kind)), times)
+        which = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + first[kind[row]]
+        lo = at[row] + start[which] - begin[kind[row]]
+        return docs[kind[row]], nth[row], lo, lo + windows[which] - 1 + self.length
+
+    def _runs(self, flag: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First place and length of runs of flagged neighbours in one class, and in one group where given."""
+        sizes = self._all()[2]
+        edge = np.zeros(len(flag), dtype=bool)
+        edge[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        at = np.flatnonzero(flag)
+        fresh = np.append(True, (at[1:] != at[:-1] + 1) | edge[at[1:]])[:len(at)]
+        if group is not None:
+            fresh[1:] |= group[1:] != group[:-1]
+        head = np.flatnonzero(fresh)
+        return at[head], np.diff(np.append(head, len(at)))
+
+    def _origins(self) -> np.ndarray:
+        """For each byte, if the window there has a hash that a window of the same anchor and of an earlier document has: the
+        place of the earliest such one, else -1. The windows of many classes are taken in turns, each of a share of the hashes."""
+        anchors, data, sizes, docs = self._all()
+        begin, windows = np.cumsum(sizes) - sizes, np.maximum(0, sizes - self.length + 1)
+        turns = max(1, -(-int(windows.sum()) // KEYS))
+        share = begin // HASH_BYTES
+        parts = np.split(np.arange(len(sizes)), np.flatnonzero(share[1:] != share[:-1]) + 1)
+        origins = np.full(len(data), -1, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        for turn in range(turns if len(sizes) else 0):
+            keys, places, owners = [], [], []
+            for some in parts:
+                lo, hi = begin[some[0]], begin[some[-1]] + sizes[some[-1]]
+                h, owner = window_hashes(data[lo:hi], self.length), np.repeat(some, windows[some])
+                place = np.arange(len(owner)) + np.repeat(begin[some] - (np.cumsum(windows[some]) - windows[some]), windows[some])
+                key = mixed(h[place - lo] ^ np.repeat(mixed(anchors[some].view(np.uint64)), windows[some]))
+                if turns > 1:
+                    now = key % np.uint64(turns) == np.uint64(turn)
+                    key, place, owner = key[now], place[now], owner[now]
+                keys.append(key)
+                places.append(place)
+                owners.append(owner)
+            key, place, owner = np.concatenate(keys), np.concatenate(places), np.concatenate(owners)
+            order = np.argsort(key)
+            key = key[order]
+            same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+            some = np.flatnonzero(same[1:] | same[:-1])  # of hashes that come more than once
+            place, doc = place[order[some]], docs[owner[order[some]]]
+            edge = np.flatnonzero(~same[some])
+            if not len(edge):
+                continue
+            times = np.diff(np.append(edge, len(some)))
+            least = np.repeat(np.minimum.reduceat(doc, edge), times)
+            origin = np.repeat(np.minimum.reduceat(np.where(doc == least, place, len(data)), edge), times)
+            origins[place[doc > least]] = origin[doc > least]
+        return origins
+
+    def _found(self) -> np.ndarray:
+        """Places of bytes where a marked window begins."""
+        anchors, data, sizes, docs = self._all()
         found = np.zeros(len(data), dtype=bool)
-        live = self._meeting(data, begin, sizes, anchors)
+        origins = self._origins()
+        later = np.flatnonzero(origins >= 0)
+        if not len(later):
+            return found
+        earliest = origins[later]
+        del origins
+        begin, lane = np.cumsum(sizes) - sizes, np.unique(anchors, return_inverse=True)[1].ravel()
+        lane_of = lambda start: lane[np.searchsorted(begin, start, side="right") - 1]
+        flag = np.zeros(len(data), dtype=bool)
+        flag[earliest] = True
+        old, windows = self._runs(flag)
+        old_lens, old_lanes = windows + self.length - 1, lane_of(old)
+        share = (np.cumsum(old_lens) - old_lens) // INDEX_BYTES
+        goes_to = share[np.searchsorted(old, earliest, side="right") - 1]
+        flag[:] = False
+        flag[later] = True
+        new, windows = self._runs(flag, goes_to)
+        new_lens, new_lanes, new_share = windows + self.length - 1, lane_of(new), goes_to[np.searchsorted(later, new)]
+        for k in np.unique(share):
+            there, streamed = np.flatnonzero(share == k), np.flatnonzero(new_share == k)
+            least = old_lanes[there].min()
+            index = RunIndex(joined(data, old[there], old_lens[there]), old_lens[there], old_lanes[there] - least)
+            part = np.cumsum(new_lens[streamed]) // INDEX_BYTES
+            for some in np.split(streamed, np.flatnonzero(part[1:] != part[:-1]) + 1):
+                for live, place, n in index.statistics(joined(data, new[some], new_lens[some]), new_lens[some], new_lanes[some] - least):
+                    long = n >= self.length
+                    found[new[some[live[long]]] + place[long]] = True
+        if not found[later].all():
+            again = np.isin(lane, lane_of(later[~found[later]]))
+            self._halved(np.flatnonzero(again), found)
+        return found
+
+    def _halved(self, live: np.ndarray, found: np.ndarray) -> None:
+        """Marks the windows of some classes by indexes alone. The classes of an anchor are numbered by first document, and
+        halved by the bits of that number: the earlier half of each pair of blocks goes into an index, the later half is
+        streamed through it. Classes that share no longer anchor (of 4/5 of a window) with another one of their anchor hold no
+        equal windows, and stay out."""
+        anchors, data, sizes, docs = self._all()
+        begin = np.cumsum(sizes) - sizes
+        live = live[self._meeting(joined(data, begin[live], sizes[live]), np.cumsum(sizes[live]) - sizes[live], sizes[live], anchors[live])]
         anchors, docs, lens, starts = anchors[live], docs[live], sizes[live], begin[live]
         order = np.lexsort((docs, anchors))
         a, d = anchors[order], docs[order]
@@ -252,7 +374,6 @@ class Earlier:
                 for live, place, n in index.statistics(joined(data, starts[new], lens[new]), lens[new], lanes[new] - lanes[some].min()):
                     long = n >= self.length
                     found[starts[new[live[long]]] + place[long]] = True
-        return [found[s:s + n - self.length + 1] for s, n in zip(begin, sizes)]
 
     def _meeting(self, data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, anchors: np.ndarray) -> np.ndarray:
         """The classes that share a longer anchor with another class of their anchor; equal windows have equal ones."""
@@ -303,19 +424,6 @@ def _removals(length: int):
                 [pa.array(doc, pa.int64()), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
                 ["doc_id", "nth", "start", "end"])
 
-        def settle(state: Earlier) -> pa.RecordBatch:
-            marks = state.marks()
-            docs, nths, starts, ends = [], [], [], []
-            for c, nth, at in state.rows:
-                if marks[c].any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], marks[c].view(np.int8), [0]])))
-                    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                        docs.append(state.docs[c])
-                        nths.append(nth)
-                        starts.append(at + s)
-                        ends.append(at + e - 1 + length)
-            return out(docs, nths, starts, ends)
-
         for whole in batches:
             for i in range(0, whole.num_rows, KINDS):
                 b = whole.slice(i, KINDS)
@@ -331,18 +439,26 @@ def _removals(length: int):
                 skip = alone[np.cumsum(~same)]
                 first = np.repeat(np.append(np.int64(last[2] or 0), doc[head]), np.diff(np.concatenate([[0], head, [len(doc)]])))
                 later = doc > first
-                size = pc.binary_length(piece).to_numpy()
+                size = pc.binary_length(piece).to_numpy().astype(np.int64)
                 yield out(doc[later], nth[later], at[later], (at + size)[later])
-                for r in np.flatnonzero(~later & ~skip).tolist():
-                    if not same[r]:
-                        if state.bytes > INDEX_BYTES and state.anchors[-1] != anchor[r]:
-                            yield settle(state)
-                            state = Earlier(length)
-                        state.add(int(anchor[r]), piece[r].as_py(), int(doc[r]))
-                    state.rows.append((len(state.docs) - 1, int(nth[r]), int(at[r])))
+                rows = np.flatnonzero(~later & ~skip)
+                shares = [rows]
+                if state.bytes > INDEX_BYTES:
+                    other = np.flatnonzero(~same[rows] & (anchor[rows] != state.last))[:1]
+                    shares = np.split(rows, other)
+                for n, some in enumerate(shares):
+                    if n:
+                        yield out(*state.spans())
+                        state = Earlier(length)
+                    fresh = ~same[some]
+                    heads, kind = some[fresh], state.count + np.cumsum(fresh) - 1
+                    _, offsets, data = pc.take(piece, pa.array(heads)).buffers() if len(heads) else (None, None, None)
+                    if len(heads) and data is not None:
+                        state.extend(anchor[heads], np.frombuffer(data, dtype=np.uint8, count=int(size[heads].sum())), size[heads], doc[heads])
+                    state.rows.append((kind, nth[some], at[some]))
                 last = (int(anchor[-1]), piece[-1].as_py(), int(first[-1]))
-        if state.docs:
-            yield settle(state)
+        if state.count:
+            yield out(*state.spans())
     return run
 
 

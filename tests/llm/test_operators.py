@@ -183,6 +183,58 @@ def test_pieces_without_a_common_window_stay_out_of_the_index():
     assert substrings.Earlier(50).marks() == []
 
 
+def brute_marks(pieces, anchors, docs, k):
+    starts = lambda x: range(len(x) - k + 1)
+    first = {}
+    for x, a, d in zip(pieces, anchors, docs):
+        for j in starts(x):
+            first[a, x[j:j + k]] = min(d, first.get((a, x[j:j + k]), d))
+    return [[j for j in starts(x) if first[a, x[j:j + k]] < d] for x, a, d in zip(pieces, anchors, docs)]
+
+
+def test_marks_in_shares_turns_and_with_equal_hashes_of_other_windows(monkeypatch):
+    """Small indexes, windows taken in turns, and hashes that different windows share leave the marks as they are."""
+    rng = random.Random(10)
+    body = [bytes(rng.choice(b"abc") for _ in range(14)) for _ in range(5)]
+    pieces = sorted({body[i % 5][rng.randrange(3):] + bytes(rng.choice(b"abc") for _ in range(rng.randrange(8))) for i in range(160)})
+    anchors = sorted(rng.randrange(4) for _ in pieces)
+    docs = [rng.randrange(40) for _ in pieces]
+    want = brute_marks(pieces, anchors, docs, 9)
+    assert sum(map(len, want)) > 100
+    real = substrings.window_hashes
+    for name, value in ((None, None), ("KEYS", 50), ("INDEX_BYTES", 60), ("HASH_BYTES", 40), ("window_hashes", lambda b, width: real(b, width) & np.uint64(7))):
+        with monkeypatch.context() as patch:
+            if name:
+                patch.setattr(substrings, name, value)
+            state = substrings.Earlier(9)
+            for a, x, d in zip(anchors, pieces, docs):
+                state.add(a, x, d)
+            assert [np.flatnonzero(m).tolist() for m in state.marks()] == want
+
+
+def test_a_window_is_indexed_and_streamed_once_however_many_pieces_share_an_anchor(monkeypatch):
+    """A line that many documents have between words of their own: the work per piece does not grow with their number."""
+    rng = random.Random(11)
+    noise = lambda n: bytes(rng.choice(b"abcdefghij") for _ in range(n))
+    line, done = noise(60), []
+
+    class Counted(substrings.RunIndex):
+        def __init__(self, data, lens, lanes):
+            done.append(len(data))
+            super().__init__(data, lens, lanes)
+
+        def statistics(self, data, lens, lanes):
+            done.append(len(data))
+            return super().statistics(data, lens, lanes)
+
+    monkeypatch.setattr(substrings, "RunIndex", Counted)
+    state = substrings.Earlier(50)
+    for doc in range(1000):
+        state.add(1, noise(20) + line + noise(20), doc)
+    assert all(m[20:31].all() for m in state.marks()[1:])
+    assert sum(done) < 1.5 * state.bytes
+
+
 def test_removals_over_slices_of_any_size(monkeypatch):
     """Classes alone with their anchor are passed over, wherever a batch or slice ends."""
     rng = random.Random(9)
