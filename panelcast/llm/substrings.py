@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.runindex import RunIndex, joined
-from panelcast.llm.shingles import P1, P2, mixed
+from panelcast.llm.shingles import P1, P3, mixed
 from panelcast.session import cut
 
 ANCHOR = 24  # bytes of an anchor: short ones stand in many texts of a large table that share no window
@@ -25,21 +25,26 @@ INDEX_BYTES = 3_000_000  # of pieces, as a rule, in one index
 HASH_BYTES = 1_000_000  # of pieces, as a rule, hashed together
 STRETCH = 250_000  # places of texts that are hashed together
 KINDS = 4096  # rows of a batch looked at together
+ROWS = 2_000_000  # of anchors that are sorted together
 KEYS = 2_000_000  # of windows, as a rule, sorted together
 
 
 def window_hashes(b: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of the ``width`` bytes from each place on, put together from hashes of powers of two."""
-    pieces, w = {1: b.astype(np.uint64) + np.uint64(1)}, 1
-    while w * 2 <= width:
-        h = pieces[w]
-        pieces[2 * w] = mixed(h[:-w] * P1 + h[w:]) if len(h) > w else h[:0]
-        w *= 2
-    out, done = pieces[w], w
-    while done < width:
-        w = max(x for x in pieces if x <= width - done)
-        n = max(0, len(b) - done - w + 1)
-        out, done = mixed(out[:n] * P2 + pieces[w][done:done + n]), done + w
+    """A 64-bit hash of the ``width`` bytes from each place on: a polynomial put together from those of powers of two, mixed."""
+    bits, power = b.astype(np.uint64) + np.uint64(1), int(P1)
+    out, done, w = None, 0, 1
+    while True:
+        if width & w:
+            n = max(0, len(b) - done - w + 1)
+            out, done = bits[:n].copy() if out is None else out[:n] * np.uint64(power) + bits[done:done + n], done + w
+        if w * 2 > width:
+            break
+        bits = bits[:-w] * np.uint64(power) + bits[w:] if len(bits) > w else bits[:0]
+        power, w = power * power % (1 << 64), w * 2
+    for shift, factor in ((33, P3), (29, P1)):  # as ``mixed`` does, in place
+        out ^= out >> np.uint64(shift)
+        out *= factor
+    out ^= out >> np.uint64(32)
     return out
 
 
@@ -109,13 +114,14 @@ def _anchors(length: int):
                 if held > BLOCK_BYTES // 4 or i == b.num_rows - 1:
                     a = Anchored(texts, length)
                     at, _, anchor = a.pieces(most=1 << 40)
-                    owner = a.owner[at]
-                    order = np.lexsort((anchor, owner))
-                    owner, anchor = owner[order], anchor[order]
+                    owner = a.owner[at].astype(np.uint64)
+                    if len(texts) <= 1 << 64 - ANCHOR_BITS:  # by owner, then anchor
+                        both = np.sort(owner << np.uint64(ANCHOR_BITS) | anchor)
+                        owner, anchor = both >> np.uint64(ANCHOR_BITS), both & np.uint64((1 << ANCHOR_BITS) - 1)
                     new = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))[:len(anchor)]
                     name = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], dtype=np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[new].view(np.int64)), pa.array(ids[lo:][owner[new]]), pa.array(name[owner[new]])], ["anchor", "doc_id", "name"])
+                        [pa.array(anchor[new].view(np.int64)), pa.array(ids[lo:][owner[new].astype(np.int64)]), pa.array(name[owner[new].astype(np.int64)])], ["anchor", "doc_id", "name"])
                     texts, lo, held = [], i + 1, 0
     return run
 
@@ -151,6 +157,39 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_d)], ["anchor", "doc_id"])
 
 
+def _shared_unsorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_shared``, of rows in any order, where all rows of an anchor are. After ROWS of them, each anchor keeps one row of its
+    text, or two of different texts; the others have been passed on, or have the same text and a larger id."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def ordered() -> tuple[np.ndarray, ...]:
+        a, d, w = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(a)
+        return a[order], d[order], w[order]
+
+    def told(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(rows[0]), KEYS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + KEYS]) for x in rows], ["anchor", "doc_id", "name"])
+
+    n, kept = 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(tuple(b.column(j).to_numpy() for j in range(3)))
+        n += b.num_rows
+        if n - kept > ROWS:
+            a, d, w = ordered()
+            yield from _shared(told((a, d, w)))
+            order = np.lexsort((d, w, a))
+            a, d, w = a[order], d[order], w[order]
+            fresh = np.append(True, a[1:] != a[:-1])
+            stay = fresh | (np.append(fresh[1:], True) & (w != np.repeat(w[fresh], np.diff(np.append(np.flatnonzero(fresh), len(a))))))
+            held = [(a[stay], d[stay], w[stay])]
+            n = kept = int(stay.sum())
+    if held:
+        yield from _shared(told(ordered()))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts of a batch that go to one block, compressed together, with ids and lengths."""
     press = zstandard.ZstdCompressor(level=3).compress
@@ -526,8 +565,8 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
     copies = cut(named.filter(F.octet_length("text") >= length).select("doc_id", text_name.alias("name")).join(firsts, "name")
                  .filter("doc_id > first").select(block, "doc_id", "name").distinct())
 
-    anchors = named.mapInArrow(_anchors(length), "anchor long, doc_id long, name long").repartition("anchor").sortWithinPartitions("anchor")
-    shared = anchors.mapInArrow(_shared, "anchor long, doc_id long").select(block, "anchor")
+    anchors = named.mapInArrow(_anchors(length), "anchor long, doc_id long, name long").repartition(-(-blocks // 2), "anchor")
+    shared = anchors.mapInArrow(_shared_unsorted, "anchor long, doc_id long").select(block, "anchor")
     both = shared.unionByName(copies, allowMissingColumns=True)
     pieces = packed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
         _pieces(length), "anchor long, piece binary, doc_id long, nth int, at long")

@@ -263,6 +263,35 @@ def test_shared_anchors_over_batches():
         assert set(got) == set(want)
 
 
+def test_shared_anchors_in_any_order_held_in_parts(monkeypatch):
+    """Rows come unsorted and are sorted in parts; what is known of an anchor outlives its part. Of equal texts the least id may
+    not be lost, and every text of an anchor that several texts have is named."""
+    rng = random.Random(12)
+    name = [rng.randrange(30) for _ in range(60)]
+    rows = [(rng.randrange(40), d, name[d]) for d in range(60) for _ in range(3)]
+    texts = {a: {w for b, _, w in rows if b == a} for a, _, _ in rows}
+    most = {(a, d) for a, d, w in rows if len(texts[a]) > 1}
+    least = {(a, min(d for b, d, v in rows if (b, v) == (a, w))) for a, _, w in rows if len(texts[a]) > 1}
+    for part, size in ((1, 1), (5, 3), (20, 50), (50, 7), (1000, 60)):
+        monkeypatch.setattr(substrings, "ROWS", part)
+        monkeypatch.setattr(substrings, "KEYS", size)
+        rng.shuffle(rows)
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i:i + size]], pa.int64()) for c in range(3)], ["anchor", "doc_id", "name"])
+                   for i in range(0, len(rows), size)]
+        got = {(a, d) for b in substrings._shared_unsorted(iter(batches)) for a, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        assert least <= got <= most
+
+
+def test_window_hashes_are_of_the_bytes_in_the_window():
+    rng = np.random.default_rng(13)
+    for n in (0, 1, 23, 24, 90):
+        b = rng.integers(97, 100, n).astype(np.uint8)
+        for width in (1, 2, 3, 24, 50):
+            got = substrings.window_hashes(b, width)
+            cuts = [bytes(b[i:i + width]) for i in range(n - width + 1)]
+            assert len(got) == len(cuts) and len(set(got.tolist())) == len(set(cuts)) == len(set(zip(got.tolist(), cuts)))
+
+
 def test_anchors_shared_by_copies_only_drop_out():
     rows = [(1, 5, 0), (1, 4, 0), (1, 6, 0), (2, 9, 1), (2, 8, 1), (2, 7, 2), (3, 1, 3), (3, 1, 4), (4, 2, 5), (4, 3, 5)]
     for cut in (1, 2, 3, 20):
