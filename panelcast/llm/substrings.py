@@ -567,11 +567,11 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
 
     anchors = named.mapInArrow(_anchors(length), "anchor long, doc_id long, name long").repartition(-(-blocks // 2), "anchor")
     shared = anchors.mapInArrow(_shared_unsorted, "anchor long, doc_id long").select(block, "anchor")
-    both = shared.unionByName(copies, allowMissingColumns=True)
+    both = cut(shared, release=True).unionByName(copies, allowMissingColumns=True)
     pieces = packed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
         _pieces(length), "anchor long, piece binary, doc_id long, nth int, at long")
     sorted_pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "piece", "doc_id")
-    spans = cut(sorted_pieces.mapInArrow(_removals(length), "doc_id long, nth int, start long, end long"))
+    spans = cut(sorted_pieces.mapInArrow(_removals(length), "doc_id long, nth int, start long, end long"), release=True)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", removed array<struct<start:long,end:long>>, kept binary" * texts
     found = spans.select(block, "nth", "start", "end").unionByName(copies, allowMissingColumns=True)
