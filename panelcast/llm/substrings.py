@@ -161,6 +161,7 @@ def _shared_unsorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """As ``_shared``, of rows in any order, where all rows of an anchor are. After ROWS of them, each anchor keeps one row of its
     text, or two of different texts; the others have been passed on, or have the same text and a larger id."""
     held: list[tuple[np.ndarray, ...]] = []
+    n, kept = 0, 0
 
     def ordered() -> tuple[np.ndarray, ...]:
         a, d, w = (np.concatenate(x) for x in zip(*held))
@@ -168,10 +169,8 @@ def _shared_unsorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return a[order], d[order], w[order]
 
     def told(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(rows[0]), KEYS):
-            yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + KEYS]) for x in rows], ["anchor", "doc_id", "name"])
+        return _shared(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["anchor", "doc_id", "name"])]))
 
-    n, kept = 0, 0
     for b in batches:
         if not b.num_rows:
             continue
@@ -179,7 +178,7 @@ def _shared_unsorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         n += b.num_rows
         if n - kept > ROWS:
             a, d, w = ordered()
-            yield from _shared(told((a, d, w)))
+            yield from told((a, d, w))
             order = np.lexsort((d, w, a))
             a, d, w = a[order], d[order], w[order]
             fresh = np.append(True, a[1:] != a[:-1])
@@ -187,7 +186,7 @@ def _shared_unsorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             held = [(a[stay], d[stay], w[stay])]
             n = kept = int(stay.sum())
     if held:
-        yield from _shared(told(ordered()))
+        yield from told(ordered())
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,12 +544,12 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
 
     0. Of equal texts only those with the smallest id are searched; the later ones go whole (if they have a window).
     1. Every window gets an anchor; equal windows have equal ones. Anchors that stand in one text alone (by a 64-bit hash of it) drop out. Their
-       groups are streamed from sorted rows, and hold one row each, whatever their size.
+       rows are sorted in parts of ROWS; from one part to the next an anchor keeps two rows at most, whatever the size of its group.
     2. Around the others, pieces are cut out and meet by anchor. Equal pieces of later documents are removed at once; the
-       first ones of different pieces are matched by run-length indexes (``Earlier``).
+       first ones of different pieces are matched by run-length indexes (``Earlier``), each window indexed or streamed once.
     3. Removed spans and texts meet by block of documents.
 
-    A task holds a block of texts (about ``BLOCK_BYTES``, or one longer document) or the different pieces of one anchor.
+    A task holds a block of texts (about ``BLOCK_BYTES``, or one longer document) or the different pieces of one anchor, as bytes.
     Null and empty texts have no bytes. Rows without an id neither remove nor lose anything. Rows with equal ids are no earlier
     ones of each other. Repeated rows come back as often as they came; other columns are not read; no rows give no rows.
     """

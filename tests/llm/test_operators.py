@@ -18,6 +18,7 @@ import pytest
 import zstandard
 
 import corpus_pipeline
+from panelcast import session
 from panelcast.llm import bpe, chat, components, decontaminate, neardup, paragraphs, quality, secrets, sharding, shingles, substrings, vectors
 from panelcast.llm.queries import ORACLES, QUERIES, tokenizer_path
 from panelcast.llm.runindex import RunIndex
@@ -274,7 +275,6 @@ def test_shared_anchors_in_any_order_held_in_parts(monkeypatch):
     least = {(a, min(d for b, d, v in rows if (b, v) == (a, w))) for a, _, w in rows if len(texts[a]) > 1}
     for part, size in ((1, 1), (5, 3), (20, 50), (50, 7), (1000, 60)):
         monkeypatch.setattr(substrings, "ROWS", part)
-        monkeypatch.setattr(substrings, "KEYS", size)
         rng.shuffle(rows)
         batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i:i + size]], pa.int64()) for c in range(3)], ["anchor", "doc_id", "name"])
                    for i in range(0, len(rows), size)]
@@ -282,6 +282,26 @@ def test_shared_anchors_in_any_order_held_in_parts(monkeypatch):
         assert least <= got <= most
 
 
+def test_shuffle_files_go_with_the_stage_they_served(spark):
+    """``release`` holds for the one write, and the setting is as before after it."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def left(release):
+        names = lambda: {x.toString() for x in (lambda s: [s.apply(i) for i in range(s.size())])(disk.getAllBlocks()) if x.toString().startswith("shuffle_")}
+        old = names()
+        written = session.cut(spark.range(1000).repartition(3, "id"), release=release)
+        new = names() - old
+        assert written.count() == 1000
+        return new
+
+    for before in (None, "false"):
+        if before:
+            spark.conf.set(session.RELEASE, before)
+        assert not left(True) and spark.conf.get(session.RELEASE, None) == before
+        assert left(False)
+    spark.conf.unset(session.RELEASE)
+
+
 def test_window_hashes_are_of_the_bytes_in_the_window():
     rng = np.random.default_rng(13)
     for n in (0, 1, 23, 24, 90):
